@@ -69,7 +69,8 @@ def apply_vin_rules(
             "modelid": F.coalesce(chosen("modelid", ""), F.lit("")),
         }
     )
-    return result.drop(*[name for name in result.columns if name.startswith("_")])
+    helpers = [n for n in joined.columns if n.startswith("_") and n not in df.columns]
+    return result.drop(*helpers)
 
 
 def flat_rule(table: DataFrame, name: str) -> DataFrame:

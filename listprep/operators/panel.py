@@ -22,7 +22,8 @@ LAYOUT_SOURCES = {
     "ADDRESS": ("address_line1",),
     "ZIP": ("zip", "zip_code", "zipcode"),
     "SVI CELL": ("cell", "svi cell"),
-    "MOD YR": ("modyy", "model_year", "mod yr"),
+    "MOD YR": ("modyy", "model_year"),
+    "PURCH/LSE": ("purch_lse",),
     "SEQUENCE #(8)": ("seq8",),
 }
 ROTATION = "A"
@@ -77,7 +78,12 @@ def panel_metadata(df: DataFrame, file_source: Column | str = "") -> DataFrame:
 
 
 def final_table(df: DataFrame, file_source: Column | str = "") -> DataFrame:
-    """The final list: one spelling per column, metadata, upper-case ``EMAIL``."""
+    """The final list: one spelling per column, metadata, upper-case ``EMAIL``.
+
+    Brand and description are those of the VIN rule that gave the cell.
+    """
+    if "desc" in df.columns and "description" not in map(str.lower, df.columns):
+        df = df.withColumnRenamed("desc", "Description")
     for name in ("Brand", "Description", "MO Purch", "YR Purch"):
         df = merge_case_variants(df, name)
     return panel_metadata(df, file_source).withColumnRenamed("email", "EMAIL")

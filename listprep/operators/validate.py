@@ -136,7 +136,10 @@ def verdict(place: Column, outcomes: Sequence[tuple[str, str]]) -> dict[str, Col
     """``reject_step`` and ``reject_reason`` of the outcome at this place."""
 
     def pick(values: Sequence[str]) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), place + 1)
+        chosen = F.when(place == 0, values[0])
+        for n, value in enumerate(values[1:], 1):
+            chosen = chosen.when(place == n, value)
+        return chosen
 
     steps, reasons = zip(*outcomes, strict=True)
     return {"reject_step": pick(steps), "reject_reason": pick(reasons)}

@@ -45,7 +45,7 @@ STATE_ZIP_RULES = StateZipRules(
 BUSINESS_RULES = BusinessRules(
     indicators=["LLC", "LEASING", "CLUB"],
     manufacturers=["ford"],
-    allowed=[{"name": "First44 Auto Leasing LLC", "city": "NATION_9"}, {"name": "First7 Ford Club"}],
+    allowed=[{"name": "First25 Auto Leasing LLC", "city": "NATION_22"}, {"name": "Arie Ford Club"}],
 )
 SETTINGS = Settings(
     manufacturer="mercedes",

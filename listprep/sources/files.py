@@ -58,7 +58,7 @@ def detect_delimiter(line: str, candidates: Sequence[str] = DELIMITERS) -> str:
 
 def decoded(line: Column, fallback: str = "ISO-8859-1") -> Column:
     """A raw line as text: UTF-8 where it is valid, the fallback character set elsewhere."""
-    return F.when(F.is_valid_utf8(line), line).otherwise(F.decode(line.cast("binary"), F.lit(fallback)))
+    return F.when(F.is_valid_utf8(line), line).otherwise(F.decode(line.cast("binary"), fallback))
 
 
 def unquoted_delimiters(line: Column, sep: str) -> Column:
@@ -75,7 +75,7 @@ def scan_lines(
     Returns the text columns and ``bad_line``: the line itself when it has more fields than the
     header, else NULL. Line breaks inside quotes need ``scan_csv``.
     """
-    first = header_line(spark, path)
+    first = header_line(spark, path) if names is None or sep is None else ""
     sep = sep or detect_delimiter(first)
     lines = spark.read.text(path).select(
         F.regexp_replace(decoded(F.col("value")), "^﻿|\r$", "").alias("line")
