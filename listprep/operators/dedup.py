@@ -58,24 +58,26 @@ def split_duplicate_addresses(df: DataFrame, blank_is_duplicate: bool = True) ->
     return keyed.join(first, "row_id", "left_semi"), dropped.withColumn("drop_reason", F.lit(DUPLICATE_ADDRESS))
 
 
-def vin_survivors(df: DataFrame, exclusions: DataFrame | None, order: Sequence[str]) -> DataFrame:
-    """(row_id, excluded) of the first row of every VIN.
+def vin_survivors(
+    df: DataFrame, exclusions: DataFrame | None, order: Sequence[str], carry: Sequence[str] = ()
+) -> DataFrame:
+    """The first row of every VIN: its order, ``row_id``, ``carry`` and ``excluded``.
 
     The exclusions are joined after the reduction, when each VIN is there once and the table is
     already partitioned by it.
     """
-    first = df.groupBy("vin").agg(F.min(F.struct(*order, "row_id"))["row_id"].alias("row_id"))
+    first = df.groupBy("vin").agg(F.min(F.struct(*order, "row_id", *carry)).alias("_first"))
     if exclusions is None:
-        return first.select("row_id", F.lit(False).alias("excluded"))
-    listed = exclusions.select(F.col("vin"), F.lit(True).alias("excluded"))
-    return first.join(listed, "vin", "left").select(
-        "row_id", F.coalesce("excluded", F.lit(False)).alias("excluded")
-    )
+        listed = first.withColumn("excluded", F.lit(False))
+    else:
+        marks = exclusions.select("vin", F.lit(True).alias("_listed"))
+        listed = first.join(marks, "vin", "left").withColumn("excluded", F.coalesce("_listed", F.lit(False)))
+    return listed.select("_first.*", "excluded")
 
 
 def mark_duplicate_vins(df: DataFrame, exclusions: DataFrame | None, order: Sequence[str]) -> DataFrame:
     """``dedup_reason`` per row, NULL for the rows kept."""
-    first = vin_survivors(df, exclusions, order)
+    first = vin_survivors(df, exclusions, order).select("row_id", "excluded")
     reason = F.when(F.col("excluded").isNull(), DUPLICATE_VIN).when(F.col("excluded"), DUPLICATE_RECORD)
     return df.join(first, "row_id", "left").withColumn("dedup_reason", reason).drop("excluded")
 

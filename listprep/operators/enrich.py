@@ -1,4 +1,8 @@
-"""Codes joined on to the surviving records. Every join keeps the number of rows."""
+"""Codes joined on to the surviving records. Every join keeps the number of rows.
+
+``broadcast`` tells whether the reference table fits a broadcast; without it the table is
+measured.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from ..functions.codes import MISSING_DESCRIPTION, MISSING_UCC, clean_ucc, elect
 from ..functions.text import cell_key, match_key
 from ..functions.vin import four_digit_year
 from ..sources.rules import DEFAULT_CELL
-from .lookup import BROADCAST_BYTES, first_per_key, fits_broadcast, lookup
+from .lookup import first_per_key, fits_broadcast, lookup
 
 SEGMENTS = ["vin13", "vin48", "vin10"]
 DEFAULT_CELL_COLUMNS = (
@@ -39,7 +43,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
 
 
 def apply_vin_rules(
-    df: DataFrame, rules: DataFrame, default_cell: str = DEFAULT_CELL, broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame, rules: DataFrame, default_cell: str = DEFAULT_CELL, broadcast: bool | None = None
 ) -> DataFrame:
     """``cell``, ``brand``, ``desc`` and ``modelid`` from the VIN rules.
 
@@ -50,7 +54,7 @@ def apply_vin_rules(
     own = table.withColumnRenamed("_rule", "_own")
     shared = table.filter("_model = ''").select(*_segment_keys(), F.col("_rule").alias("_shared"))
     keyed = df.withColumns({**_segment_keys(), "_model": _model_key("bodycode")})
-    small = fits_broadcast(rules, broadcast_bytes)
+    small = fits_broadcast(rules) if broadcast is None else broadcast
     joined = lookup(keyed, flat_rule(own, "_own"), [*_segment_keys(), "_model"], small)
     joined = lookup(joined, flat_rule(shared, "_shared"), list(_segment_keys()), small)
 
@@ -81,14 +85,14 @@ def flat_rule(table: DataFrame, name: str) -> DataFrame:
     )
 
 
-def look_up_brand(df: DataFrame, rules: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def look_up_brand(df: DataFrame, rules: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """``Brand`` and ``Description`` from the first rule for the segments, whatever its model id."""
     keyed = rules.select(
         "ord", F.col("brand").alias("_brand"), F.col("desc").alias("_desc"),
         *[expr.alias(name) for name, expr in _segment_keys().items()],
     )
     first = first_per_key(keyed, list(_segment_keys()), ["ord"]).drop("ord")
-    small = fits_broadcast(rules, broadcast_bytes)
+    small = fits_broadcast(rules) if broadcast is None else broadcast
     joined = lookup(df.withColumns(_segment_keys()), first, list(_segment_keys()), small)
     brand, text = F.coalesce("_brand", F.lit("")), F.coalesce("_desc", F.lit(""))
     # one projection: ``Brand`` and ``brand`` are one name to Spark
@@ -119,14 +123,14 @@ def missing_ucc_pairs(df: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def add_ucc(
-    df: DataFrame, master: DataFrame, strict: bool = False, broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame, master: DataFrame, strict: bool = False, broadcast: bool | None = None
 ) -> DataFrame:
     """``ucc`` by (cell, modyy), ``MISSING_UCC`` where the master has none.
 
     Of several master rows with one key the first counts; ``strict`` raises instead.
     """
     keyed = df.withColumns({"cell": match_key(F.col("cell")), "modyy": four_digit_year(F.col("modyy"))})
-    small = fits_broadcast(master, broadcast_bytes)
+    small = fits_broadcast(master) if broadcast is None else broadcast
     joined = lookup(keyed.drop("ucc"), _unique_ucc(master, strict), ["cell", "modyy"], small)
     return joined.withColumn("ucc", clean_ucc(F.col("ucc")))
 
@@ -141,10 +145,11 @@ def unique_descriptions(master: DataFrame) -> DataFrame:
     return first_per_key(master.select("ord", "cell", "description_long"), ["cell"], ["ord"]).drop("ord")
 
 
-def add_description(df: DataFrame, master: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def add_description(df: DataFrame, master: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """``description_long`` by cell."""
     keyed = df.withColumn("cell", cell_key(F.col("cell"))).drop("description_long")
-    joined = lookup(keyed, unique_descriptions(master), ["cell"], fits_broadcast(master, broadcast_bytes))
+    small = fits_broadcast(master) if broadcast is None else broadcast
+    joined = lookup(keyed, unique_descriptions(master), ["cell"], small)
     return joined.withColumn("description_long", F.coalesce("description_long", F.lit(MISSING_DESCRIPTION)))
 
 
@@ -158,8 +163,9 @@ def add_electric(df: DataFrame, whole_words: bool = False) -> DataFrame:
     return df.withColumn("electric", electric_flag(columns, whole_words=whole_words))
 
 
-def add_listed_electric(df: DataFrame, listed: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def add_listed_electric(df: DataFrame, listed: DataFrame, key: str, broadcast: bool | None = None) -> DataFrame:
     """Raise the flag of the rows whose key is in a separate list of electric vehicles."""
     marks = listed.select(F.col(key)).dropna().distinct().withColumn("_listed", F.lit(True))
-    joined = lookup(df, marks, [key], fits_broadcast(listed.select(key), broadcast_bytes))
+    small = fits_broadcast(listed.select(key)) if broadcast is None else broadcast
+    joined = lookup(df, marks, [key], small)
     return joined.withColumn("electric", F.when(F.col("_listed"), "1").otherwise(F.col("electric"))).drop("_listed")

@@ -32,12 +32,12 @@ def vin_problems(df: DataFrame, vin: str = "vin") -> DataFrame:
     return df.select("row_id", F.col(vin).alias("vin"), reason.alias("reason")).filter("reason IS NOT NULL")
 
 
-def decode_vins(vins: DataFrame, rules: DataFrame) -> DataFrame:
+def decode_vins(vins: DataFrame, rules: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """Structured fields of every VIN from the segment rules (M2)."""
     rows = vins.withColumns(vin_segments(F.col("vin"))).withColumns(
         {"bodycode": F.lit(""), "model_year": model_year(F.col("vin10")), "row_id": F.xxhash64("vin")}
     )
-    decoded = apply_vin_rules(rows, rules)
+    decoded = apply_vin_rules(rows, rules, broadcast=broadcast)
     return decoded.select("vin", F.col("brand").alias("make"), F.col("desc").alias("model"), "model_year", "cell")
 
 

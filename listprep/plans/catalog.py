@@ -35,20 +35,17 @@ def valid_vins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with a valid VIN and model year, with their cell."""
     rows = valid_vins(spark, sf_dir).filter(F.col("modyy").isin(list(SETTINGS.valid_years)))
-    return enrich.apply_vin_rules(rows, references(spark, sf_dir).vin_rules, SETTINGS.default_cell)
+    tables = references(spark, sf_dir)
+    return enrich.apply_vin_rules(rows, tables.vin_rules, SETTINGS.default_cell, tables.broadcast["vin_rules"])
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.tag(vehicle_sales(spark, sf_dir), SETTINGS, references(spark, sf_dir).exclusions)
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = validate.kept(tagged(spark, sf_dir)).drop("reject_step", "reject_reason")
-    return pipeline.enrich_kept(kept, SETTINGS, references(spark, sf_dir))
-
-
 def final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.number_kept(enriched(spark, sf_dir), SETTINGS)
+    kept = pipeline.survivors(tagged(spark, sf_dir))
+    return pipeline.enrich_kept(kept, SETTINGS, references(spark, sf_dir))
 
 
 # --- scalar functions and checks ---------------------------------------------------------
@@ -305,14 +302,16 @@ def vin_rule_lookup(spark, sf_dir):
 def vin_rule_lookup_large(spark, sf_dir):
     """The same lookup on the path for rule tables that are too large to broadcast."""
     rows = valid_vins(spark, sf_dir).filter(F.col("modyy").isin(list(SETTINGS.valid_years)))
-    found = enrich.apply_vin_rules(rows, references(spark, sf_dir).vin_rules, SETTINGS.default_cell, broadcast_bytes=-1)
+    found = enrich.apply_vin_rules(rows, references(spark, sf_dir).vin_rules, SETTINGS.default_cell, broadcast=False)
     return found.select("row_id", "vin", "cell", "brand", "desc", "modelid")
 
 
 @query
 def brand_relookup(spark, sf_dir):
     rows = valid_vins(spark, sf_dir).select("row_id", *enrich.SEGMENTS)
-    return enrich.look_up_brand(rows, references(spark, sf_dir).vin_rules).select("row_id", "Brand", "Description")
+    tables = references(spark, sf_dir)
+    found = enrich.look_up_brand(rows, tables.vin_rules, tables.broadcast["vin_rules"])
+    return found.select("row_id", "Brand", "Description")
 
 
 @query
@@ -327,7 +326,8 @@ def ucc_missing(spark, sf_dir):
 
 @query
 def ucc_enrich(spark, sf_dir):
-    rows = enrich.add_ucc(coded(spark, sf_dir), references(spark, sf_dir).ucc_master)
+    tables = references(spark, sf_dir)
+    rows = enrich.add_ucc(coded(spark, sf_dir), tables.ucc_master, broadcast=tables.broadcast["ucc_master"])
     return rows.select("row_id", "cell", "modyy", "ucc", codes.spreadsheet_text(F.col("ucc")).alias("ucc_text"))
 
 
@@ -343,7 +343,9 @@ def ucc_upsert(spark, sf_dir):
 
 @query
 def desc_enrich(spark, sf_dir):
-    rows = enrich.add_description(coded(spark, sf_dir), references(spark, sf_dir).description_master)
+    tables = references(spark, sf_dir)
+    small = tables.broadcast["description_master"]
+    rows = enrich.add_description(coded(spark, sf_dir), tables.description_master, small)
     return rows.select("row_id", "cell", "description_long")
 
 
@@ -430,7 +432,7 @@ def cellcode_pivot(spark, sf_dir):
 
 @query
 def panel_totals(spark, sf_dir):
-    return report.panel_totals(enriched(spark, sf_dir))
+    return report.panel_totals(pipeline.survivors(tagged(spark, sf_dir)))
 
 
 @query
@@ -471,7 +473,9 @@ def vin_problems(spark, sf_dir):
 
 @query
 def vin_decode(spark, sf_dir):
-    return unify.decode_vins(unify.prepare_vins(vehicle_sales(spark, sf_dir)), references(spark, sf_dir).vin_rules)
+    tables = references(spark, sf_dir)
+    vins = unify.prepare_vins(vehicle_sales(spark, sf_dir))
+    return unify.decode_vins(vins, tables.vin_rules, tables.broadcast["vin_rules"])
 
 
 @query

@@ -5,14 +5,16 @@ the first step that fails takes the row, and each duplicate step looks only at r
 still in the list when it runs.
 
 Shape of the plan. All checks on single rows run in the scan. Two aggregates over narrow
-columns find the survivor of every address and of every VIN. The whole rows are shuffled once,
-on the unique ``row_id``, to meet both results, and once more by range for the numbering.
+columns find the survivor of every address and of every VIN, and the survivors are numbered
+while they are still narrow. The whole rows are shuffled once, on the unique ``row_id``, to meet
+these results; the codes are then joined on by broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ from ..functions.geo import address_keys, zip2, zip5
 from ..functions.text import strip
 from ..functions.vin import VALID_MODEL_YEARS, clean_vin, model_year, prefix_brand, vin_segments
 from ..operators import dedup, enrich, panel, report, shape, validate
+from ..operators.lookup import fits_broadcast
 from ..operators.numbering import number_rows
 from ..operators.validate import Check
 from ..sources import headers
@@ -62,6 +65,12 @@ class References:
     description_master: DataFrame
     exclusions: DataFrame | None = None
 
+    @cached_property
+    def broadcast(self) -> dict[str, bool]:
+        """Which of the tables joined by key fit a broadcast; measured once."""
+        names = ("vin_rules", "ucc_master", "description_master")
+        return {name: fits_broadcast(getattr(self, name)) for name in names}
+
 
 @dataclass(frozen=True)
 class Result:
@@ -113,7 +122,7 @@ def prepare(df: DataFrame, settings: Settings) -> DataFrame:
     segments = vin_segments(clean_vin(F.col("vin")))
     sales_type = headers.resolve(df.columns, headers.SALES_TYPE_NAMES)
     has_type = settings.check_sales_type and sales_type
-    return df.withColumns(
+    df = df.withColumns(
         {
             **address_keys(),
             "email": clean_email(F.col("email")),
@@ -127,6 +136,7 @@ def prepare(df: DataFrame, settings: Settings) -> DataFrame:
             "purch_lse": purchase_lease_code(F.col(sales_type)) if has_type else F.lit(1),
         }
     )
+    return panel.with_panel(panel.with_channel(df))
 
 
 def early_checks(settings: Settings) -> list[Check]:
@@ -153,7 +163,11 @@ def late_checks(df: DataFrame, settings: Settings) -> list[Check]:
 
 
 def tag(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None) -> DataFrame:
-    """All records with the step and the reason that rejected them, NULL for those kept."""
+    """All records with the step and the reason that rejected them.
+
+    Both are NULL for the rows kept, which have ``seq8`` and, with an e-mail, ``panel_row``
+    instead.
+    """
     prepared = prepare(df, settings)
     early = early_checks(settings)
     late = late_checks(prepared, settings)
@@ -168,19 +182,25 @@ def tag(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None)
     first_late = validate.first_failure(late, len(early))
 
     narrow = prepared.filter(first_early.isNull()).select(
-        "row_id", *dedup.KEYS, F.when(first_late.isNull(), F.col("vin")).alias("live_vin")
+        "row_id", *dedup.KEYS, F.struct(F.when(first_late.isNull(), F.col("vin")).alias("vin"), "panel").alias("live")
     )
     by_address = narrow.groupBy(*dedup.KEYS, dedup.lone_blank_key(settings.blank_is_duplicate)).agg(
-        F.min("row_id").alias("row_id"), F.min_by("live_vin", "row_id").alias("vin")
+        F.min("row_id").alias("row_id"), F.min_by("live", "row_id").alias("live")
     )
-    # read twice: by the VIN step, and by the whole rows
-    first_rows = materialise(by_address.select("row_id", *dedup.KEYS, "vin"), "address-survivors")
-    first_vins = dedup.vin_survivors(first_rows.filter("vin IS NOT NULL"), exclusions, dedup.KEYS)
+    # each of the two is read twice: by the next step, and by the whole rows
+    first_rows = materialise(by_address.select("row_id", *dedup.KEYS, "live.*"), "address-survivors")
+    live = first_rows.filter("vin IS NOT NULL")
+    first_vins = materialise(dedup.vin_survivors(live, exclusions, dedup.KEYS, ["panel"]), "vin-survivors")
+    numbers = number_rows(
+        first_vins.filter("NOT excluded"), ORDER, name="seq8", start=settings.start_number,
+        group=["panel"], group_name="panel_row",
+    )
 
     met = (
         prepared.withColumns({"_early": first_early, "_late": first_late})
         .join(first_rows.select("row_id", F.lit(True).alias("_first_address")), "row_id", "left")
-        .join(first_vins, "row_id", "left")
+        .join(first_vins.select("row_id", "excluded"), "row_id", "left")
+        .join(numbers.select("row_id", "seq8", "panel_row"), "row_id", "left")
     )
     place = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
@@ -194,34 +214,23 @@ def tag(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None)
 
 
 def enrich_kept(kept: DataFrame, settings: Settings, references: References) -> DataFrame:
-    """Codes, flags, dates and channel of the surviving records; same rows."""
-    df = enrich.apply_vin_rules(kept, references.vin_rules, settings.default_cell)
-    df = enrich.add_ucc(df, references.ucc_master)
+    """Codes, flags and dates of the surviving records; same rows."""
+    small = references.broadcast
+    df = enrich.apply_vin_rules(kept, references.vin_rules, settings.default_cell, small["vin_rules"])
+    df = enrich.add_ucc(df, references.ucc_master, broadcast=small["ucc_master"])
     df = enrich.add_electric(df, settings.whole_word_electric)
-    df = enrich.add_description(df, references.description_master)
+    df = enrich.add_description(df, references.description_master, small["description_master"])
     stamp = parse_purchase_date(F.col("purchase_date"), settings.date_layout)
-    df = df.withColumns(
-        {
-            "purchase_date": stamp,
-            "MO Purch": purchase_month(stamp),
-            "YR Purch": purchase_year(stamp),
-        }
+    return df.withColumns(
+        {"purchase_date": stamp, "MO Purch": purchase_month(stamp), "YR Purch": purchase_year(stamp)}
     )
-    return panel.with_panel(panel.with_channel(df))
 
 
-def number_kept(enriched: DataFrame, settings: Settings) -> DataFrame:
-    return number_rows(
-        enriched, ORDER, name="seq8", start=settings.start_number, group=["panel"], group_name="panel_row"
-    )
+def survivors(tagged: DataFrame) -> DataFrame:
+    return validate.kept(tagged).drop("reject_step", "reject_reason")
 
 
 def run(df: DataFrame, settings: Settings, references: References) -> Result:
-    """The job. ``tagged`` and the numbered list are written once and read by every output."""
+    """The job. The tagged rows and the final list are written once and read by every output."""
     tagged = materialise(tag(df, settings, references.exclusions), "tagged")
-    kept = validate.kept(tagged).drop("reject_step", "reject_reason")
-    return Result(tagged, number_kept(enrich_kept(kept, settings, references), settings))
-
-
-def survivors(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None) -> DataFrame:
-    return validate.kept(tag(df, settings, exclusions)).drop("reject_step", "reject_reason")
+    return Result(tagged, materialise(enrich_kept(survivors(tagged), settings, references), "final"))

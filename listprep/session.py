@@ -14,5 +14,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # no call-site record per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # the JVM never compiles a method of more than 8000 bytes
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
