@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .lookup import fits_broadcast
+from .lookup import BROADCAST_BYTES, fits_broadcast
 
 PANEL_SIZE = 4500
 BATCH_SIZE = 1000
 PLACE_BITS = 33
+OFFSET_BYTES = 64
 
 
 def _place() -> Column:
@@ -40,12 +41,14 @@ def number_rows(
     start: int = 1,
     group: Sequence[str] = (),
     group_name: str = "panel_row",
+    groups: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Number the rows ``start``, ``start`` + 1, ... in ``order``, which has to be unique.
 
-    With ``group``, ``group_name`` numbers the rows of every group from 1 in the same order.
-    The group has to be coarse, such as a panel.
+    With ``group``, ``group_name`` numbers the rows of every group from 1 in the same order;
+    ``groups`` is the most groups there can be, if that is known. The rows are shuffled as they
+    are, so number narrow rows and join the numbers to wide ones.
     """
     spread = (partitions,) if partitions else ()
     placed = df.repartitionByRange(*spread, *order).sortWithinPartitions(*order)
@@ -57,13 +60,20 @@ def number_rows(
     offsets = F.broadcast(_offsets(placed, (), "all"))
     numbered = placed.join(offsets, "_part").withColumn(name, F.col("_all") + F.col("_offset") + F.lit(start))
     if group:
-        numbered = _number_in_groups(numbered.drop("_offset"), _offsets(placed, group, "group"), group, group_name)
+        offsets = _offsets(placed, group, "group")
+        if groups is None:
+            small = fits_broadcast(offsets)
+        else:
+            parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            small = parts * groups * OFFSET_BYTES <= BROADCAST_BYTES
+        numbered = _number_in_groups(numbered.drop("_offset"), offsets, small, group, group_name)
     return numbered.drop("_part", "_all", "_group", "_offset")
 
 
-def _number_in_groups(df: DataFrame, offsets: DataFrame, group: Sequence[str], name: str) -> DataFrame:
+def _number_in_groups(
+    df: DataFrame, offsets: DataFrame, small: bool, group: Sequence[str], name: str
+) -> DataFrame:
     """One offset per partition and per group that spans it; NULL is a group like any other."""
-    small = fits_broadcast(offsets)
     for column in ("_part", *group):
         offsets = offsets.withColumnRenamed(column, f"_of_{column}")
     same = [F.col(column).eqNullSafe(F.col(f"_of_{column}")) for column in ("_part", *group)]

@@ -94,7 +94,7 @@ def with_channel(df: DataFrame) -> DataFrame:
     return df.withColumn("channel", channel_of(F.col("email")))
 
 
-def panel_layout(df: DataFrame, layout: Sequence[str]) -> DataFrame:
+def panel_layout(df: DataFrame, layout: Sequence[str], *more: Column) -> DataFrame:
     """Projection to a fixed layout; a column without a source is NULL, blank in a file."""
     spelt: dict[str, str] = {}
     for name in df.columns:
@@ -105,15 +105,15 @@ def panel_layout(df: DataFrame, layout: Sequence[str]) -> DataFrame:
         source = next((spelt[c] for c in candidates if c in spelt), None)
         value = quoted(source) if source else F.lit(None)
         columns.append(value.cast("string").alias(name))
-    return df.select(*columns)
+    return df.select(*columns, *more)
 
 
 def split_channels(final: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The e-mail and the mail output, each in its layout with ``CHANNEL``."""
     channel = channel_of(F.col("email"))
-    email = panel_layout(final.filter(channel == "email"), EMAIL_LAYOUT)
-    mail = panel_layout(final.filter(channel == "mail"), MAIL_LAYOUT)
-    return email.withColumn("CHANNEL", F.lit("email")), mail.withColumn("CHANNEL", F.lit("mail"))
+    email = panel_layout(final.filter(channel == "email"), EMAIL_LAYOUT, F.lit("email").alias("CHANNEL"))
+    mail = panel_layout(final.filter(channel == "mail"), MAIL_LAYOUT, F.lit("mail").alias("CHANNEL"))
+    return email, mail
 
 
 def with_panel(df: DataFrame) -> DataFrame:
@@ -129,3 +129,11 @@ def with_chunks(df: DataFrame) -> DataFrame:
     totals = df.filter("panel IS NOT NULL").groupBy("panel").agg(chunk_count(F.count("*")).alias("n_chunks"))
     rows = df.filter("panel IS NOT NULL").withColumn("chunk", chunk_of(F.col("panel_row")))
     return rows.join(F.broadcast(totals), "panel")
+
+
+def panel_files(final: DataFrame) -> DataFrame:
+    """The e-mail layout of chunked records, with ``panel_file`` and the row's place in it (K6)."""
+    file = F.concat_ws("_", "panel", F.lit("panel"), F.col("chunk"), F.lit("of"), F.col("n_chunks"))
+    return panel_layout(
+        final, EMAIL_LAYOUT, F.lit("email").alias("CHANNEL"), file.alias("panel_file"), F.col("panel_row")
+    )

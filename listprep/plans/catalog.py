@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, dates, email, geo, text, vin
 from ..operators import dedup, enrich, numbering, panel, report, shape, unify, validate
 from ..sources import files, headers, masters
-from ..storage import new_path
+from ..storage import materialise, new_path
 from . import pipeline
 from .derived import BUSINESS_RULES, EMAIL_RULES, SETTINGS, STATE_ZIP_RULES
 from .derived import decode_sources, exclusion_tables, references, vehicle_sales
@@ -368,7 +368,7 @@ def numbered_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_id", email.clean_email(F.col("email_addr")).alias("email"), *[e.alias(k) for k, e in geo.address_keys().items()]
     )
     rows = panel.with_panel(panel.with_channel(rows))
-    return panel.with_chunks(numbering.number_rows(rows, pipeline.ORDER, group=["panel"]))
+    return panel.with_chunks(numbering.number_rows(rows, pipeline.ORDER, group=["panel"], groups=pipeline.PANEL_COUNT))
 
 
 @query
@@ -458,6 +458,13 @@ def panel_layout_mail(spark, sf_dir):
     return channel_outputs(spark, sf_dir)[1]
 
 
+@query
+def panel_files(spark, sf_dir):
+    # read twice: for the panel totals, and for the rows
+    chunked = panel.with_chunks(materialise(final(spark, sf_dir), "final"))
+    return panel.panel_files(panel.final_table(chunked, SETTINGS.file_source))
+
+
 # --- several decoders --------------------------------------------------------------------
 
 

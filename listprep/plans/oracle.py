@@ -246,14 +246,14 @@ def _counters() -> str:
     )
 
 
-def _layout(channel: str) -> str:
+def _layout(channel: str, more: str = "") -> str:
     email = ' email AS "EMAIL",' if channel == "email" else ""
     return f"""SELECT name AS "NAME", address_line1 AS "ADDRESS", city AS "CITY", state AS "STATE", zip_code AS "ZIP",
  'A' AS "ROTATION", '1.0' AS "VERSION", 'vehicle_sales' AS "FILE SOURCE", cell AS "SVI CELL", CAST(modyy AS VARCHAR) AS "MOD YR",
  descr AS "DESCRIPTION", vin AS "VIN", CAST(purch_lse AS VARCHAR) AS "PURCH/LSE", mo AS "MO PURCH", yr AS "YR PURCH",
  CAST(NULL AS VARCHAR) AS "MAIL DATE (MMDD)", brand AS "BRAND", CAST(seq8 AS VARCHAR) AS "SEQUENCE #(8)",{email}
  bodycode AS "MFG MODEL CODE", CAST(NULL AS VARCHAR) AS "EXTRA1", ucc AS "UCC", CAST(seq8 AS VARCHAR) AS "EXTERNALREFERENCE",
- electric AS "ELECTRIC", CAST(NULL AS VARCHAR) AS "SOS", domain AS "DOMAIN", '{channel}' AS "CHANNEL"
+ electric AS "ELECTRIC", CAST(NULL AS VARCHAR) AS "SOS", domain AS "DOMAIN", '{channel}' AS "CHANNEL"{more}
  FROM final WHERE channel = '{channel}'"""
 
 
@@ -358,6 +358,11 @@ STATEMENTS = {
  'vehicle_sales' AS "FILE SOURCE", seq8 AS "EXTERNALREFERENCE", CAST(NULL AS VARCHAR) AS "PHONE", brand AS "Brand", descr AS "Description" FROM final""",
     "panel_layout_email": _layout("email"),
     "panel_layout_mail": _layout("mail"),
+    "panel_files": _layout(
+        "email",
+        """, panel || '_panel_' || CAST((panel_row - 1) // 4500 + 1 AS VARCHAR) || '_of_'
+ || CAST(CAST(ceil(count(*) OVER (PARTITION BY panel) / 4500.0) AS BIGINT) AS VARCHAR) AS panel_file, panel_row""",
+    ),
     "vin_prepare": "SELECT DISTINCT vin FROM base WHERE length(vin) = 17",
     "vin_problems": """SELECT row_id, raw_vin AS vin, CASE WHEN coalesce(vin, '') = '' THEN 'Blank VIN' WHEN length(vin) <> 17 THEN 'Invalid VIN'
  ELSE 'Unknown year code' END AS reason FROM clean WHERE coalesce(length(vin), 0) <> 17 OR modyy IS NULL""",

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import purchase_lease_code
 from ..functions.dates import parse_purchase_date, purchase_month, purchase_year
-from ..functions.email import clean_email
+from ..functions.email import PANELS, clean_email
 from ..functions.geo import address_keys, zip2, zip5
 from ..functions.text import strip
 from ..functions.vin import VALID_MODEL_YEARS, clean_vin, model_year, prefix_brand, vin_segments
@@ -34,6 +34,10 @@ from ..sources.rules import DEFAULT_CELL, BusinessRules, EmailRules, StateZipRul
 from ..storage import materialise
 
 ORDER = [*dedup.KEYS, "row_id"]
+# the named panels, the rest, and records without e-mail
+PANEL_COUNT = len(PANELS) + 2
+# how far a row came in the duplicate steps
+FIRST_ADDRESS, LISTED_VIN, IN_LIST = 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -76,6 +80,7 @@ class References:
 class Result:
     tagged: DataFrame
     final: DataFrame
+    file_source: str = ""
 
     @property
     def rejected(self) -> DataFrame:
@@ -107,7 +112,8 @@ class Result:
 
     @property
     def panels(self) -> DataFrame:
-        return panel.with_chunks(self.final)
+        """E-mail records in the panel layout with the panel file each belongs to."""
+        return panel.panel_files(panel.final_table(panel.with_chunks(self.final), self.file_source))
 
 
 def prepare(df: DataFrame, settings: Settings) -> DataFrame:
@@ -165,8 +171,8 @@ def late_checks(df: DataFrame, settings: Settings) -> list[Check]:
 def tag(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None) -> DataFrame:
     """All records with the step and the reason that rejected them.
 
-    Both are NULL for the rows kept, which have ``seq8`` and, with an e-mail, ``panel_row``
-    instead.
+    Both are NULL for the rows kept. Those have ``seq8``, their number in the list, and
+    ``panel_row``, their number in the panel.
     """
     prepared = prepare(df, settings)
     early = early_checks(settings)
@@ -187,30 +193,41 @@ def tag(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None)
     by_address = narrow.groupBy(*dedup.KEYS, dedup.lone_blank_key(settings.blank_is_duplicate)).agg(
         F.min("row_id").alias("row_id"), F.min_by("live", "row_id").alias("live")
     )
-    # each of the two is read twice: by the next step, and by the whole rows
+    # each of the two is read twice: by the next step, and for the outcome
     first_rows = materialise(by_address.select("row_id", *dedup.KEYS, "live.*"), "address-survivors")
     live = first_rows.filter("vin IS NOT NULL")
     first_vins = materialise(dedup.vin_survivors(live, exclusions, dedup.KEYS, ["panel"]), "vin-survivors")
     numbers = number_rows(
         first_vins.filter("NOT excluded"), ORDER, name="seq8", start=settings.start_number,
-        group=["panel"], group_name="panel_row",
+        group=["panel"], group_name="panel_row", groups=PANEL_COUNT,
     )
-
-    met = (
-        prepared.withColumns({"_early": first_early, "_late": first_late})
-        .join(first_rows.select("row_id", F.lit(True).alias("_first_address")), "row_id", "left")
-        .join(first_vins.select("row_id", "excluded"), "row_id", "left")
-        .join(numbers.select("row_id", "seq8", "panel_row"), "row_id", "left")
+    met = prepared.withColumns({"_early": first_early, "_late": first_late}).join(
+        reached(first_rows, first_vins.filter("excluded"), numbers), "row_id", "left"
     )
     place = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
-        .when(F.col("_first_address").isNull(), again_address)
+        .when(F.col("_reached").isNull(), again_address)
         .when(F.col("_late").isNotNull(), F.col("_late"))
-        .when(F.col("excluded").isNull(), again_vin)
-        .when(F.col("excluded"), listed_vin)
+        .when(F.col("_reached") == FIRST_ADDRESS, again_vin)
+        .when(F.col("_reached") == LISTED_VIN, listed_vin)
     )
     tagged = met.withColumn("_place", place).withColumns(validate.verdict(F.col("_place"), outcomes))
-    return tagged.drop("_early", "_late", "_first_address", "excluded", "_place")
+    return tagged.drop("_early", "_late", "_reached", "_place")
+
+
+def reached(first_rows: DataFrame, listed: DataFrame, numbers: DataFrame) -> DataFrame:
+    """How far each row came in the duplicate steps, and its numbers: one narrow row per ``row_id``.
+
+    The whole rows meet this one table, which is already partitioned for that join.
+    """
+    none = F.lit(None).cast("bigint")
+    stages = [
+        first_rows.select("row_id", F.lit(FIRST_ADDRESS).alias("_reached"), none.alias("seq8"), none.alias("panel_row")),
+        listed.select("row_id", F.lit(LISTED_VIN).alias("_reached"), none.alias("seq8"), none.alias("panel_row")),
+        numbers.select("row_id", F.lit(IN_LIST).alias("_reached"), "seq8", "panel_row"),
+    ]
+    union = stages[0].unionByName(stages[1]).unionByName(stages[2])
+    return union.groupBy("row_id").agg(*[F.max(name).alias(name) for name in ("_reached", "seq8", "panel_row")])
 
 
 def enrich_kept(kept: DataFrame, settings: Settings, references: References) -> DataFrame:
@@ -233,4 +250,5 @@ def survivors(tagged: DataFrame) -> DataFrame:
 def run(df: DataFrame, settings: Settings, references: References) -> Result:
     """The job. The tagged rows and the final list are written once and read by every output."""
     tagged = materialise(tag(df, settings, references.exclusions), "tagged")
-    return Result(tagged, materialise(enrich_kept(survivors(tagged), settings, references), "final"))
+    final = materialise(enrich_kept(survivors(tagged), settings, references), "final")
+    return Result(tagged, final, settings.file_source)

@@ -53,16 +53,13 @@ def write_channels(email: DataFrame, mail: DataFrame, folder: str, base: str, **
     return paths
 
 
-def write_panels(chunked: DataFrame, path: str) -> None:
-    """One file per panel and chunk (K6).
+def write_panels(panel_rows: DataFrame, path: str) -> None:
+    """One file per panel and chunk, in list order (K6).
 
-    All chunks have the same size, so the shuffle on (panel, chunk) is even.
+    All chunks have the same size, so the shuffle on ``panel_file`` is even.
     """
-    name = F.concat_ws(
-        "_", F.col("panel"), F.lit("panel"), F.col("chunk").cast("string"), F.lit("of"), F.col("n_chunks").cast("string")
-    )
-    even = chunked.withColumn("panel_file", name).drop("panel", "chunk", "n_chunks").repartition("panel_file")
-    write_csv(even, path, partition_by=("panel_file",))
+    even = panel_rows.repartition("panel_file").sortWithinPartitions("panel_file", "panel_row")
+    write_csv(even.drop("panel_row"), path, partition_by=("panel_file",))
 
 
 def write_counts(counts: DataFrame, path: str) -> None:

@@ -27,7 +27,8 @@ def working_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{working_dir(spark)}/listprep/{name}-{uuid.uuid4().hex}"
+    """A path of its own; all paths of one application are under one folder."""
+    return f"{working_dir(spark)}/listprep/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -157,12 +157,12 @@ def test_descriptions(spark, rows):
     assert [r[0] for r in enrich.undescribed_cells(found).collect()] == ["C"]
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 200])
-def test_numbers_do_not_depend_on_partitions(spark, partitions):
+@pytest.mark.parametrize(("partitions", "groups"), [(1, None), (4, 3), (200, 10**9), (None, 3)])
+def test_numbers_do_not_depend_on_partitions(spark, partitions, groups):
     df = spark.range(0, 4000, numPartitions=7).select(
         F.col("id").alias("row_id"), (F.col("id") * 7919 % 1000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g")
     )
-    found = numbering.number_rows(df, ["k", "row_id"], start=11, group=["g"], group_name="n", partitions=partitions)
+    found = numbering.number_rows(df, ["k", "row_id"], start=11, group=["g"], group_name="n", groups=groups, partitions=partitions)
     got = sorted(found.collect(), key=lambda r: r.seq8)
     ordered = sorted(df.collect(), key=lambda r: (r.k, r.row_id))
     assert [(r.row_id, r.seq8) for r in got] == [(r.row_id, n) for n, r in enumerate(ordered, 11)]
