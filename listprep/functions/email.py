@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, strip
+from .text import strip
 
 # The accepted e-mail form and the domains of each panel.
 EMAIL_FORM = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
@@ -46,5 +46,5 @@ def coarse_panel_of(email: Column) -> Column:
 
 def channel_of(email: Column) -> Column:
     """``email`` when there is an address, else ``mail``."""
-    absent = is_blank(email) | (F.coalesce(clean_email(email), F.lit("")) == "nan")
+    absent = F.coalesce(clean_email(email), F.lit("")).isin("", "nan")
     return F.when(absent, "mail").otherwise("email")

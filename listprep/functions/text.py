@@ -20,12 +20,14 @@ def blank_to_null(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """Never NULL, so that its negation is the exact complement."""
-    return F.coalesce(strip(c), F.lit("")) == ""
+    # stripping the left end alone stops at the first character that counts
+    return F.coalesce(F.ltrim(c, F.lit(WHITE_SPACE)), F.lit("")) == ""
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one blank, none at either end."""
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    # a single blank is left alone: most of the white space in a name needs no replacement
+    return strip(F.regexp_replace(c, r"\s{2,}|[^\S ]", " "))
 
 
 def join_words(*columns: Column) -> Column:

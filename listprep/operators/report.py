@@ -200,6 +200,11 @@ def cell_report(df: DataFrame, labels: Sequence[str] | None = None, description:
     )
 
 
+def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
+    """A few rows to look at (O2)."""
+    return df.limit(n)
+
+
 def panel_totals(df: DataFrame) -> DataFrame:
     """Records per channel."""
     return df.groupBy("channel").agg(F.count("*").alias("n_rows"))

@@ -162,3 +162,9 @@ def kept(df: DataFrame) -> DataFrame:
 
 def rejected(df: DataFrame) -> DataFrame:
     return df.filter(F.col("reject_step").isNotNull())
+
+
+def require_rows(df: DataFrame) -> None:
+    """Stop a run that has nothing left (V3)."""
+    if df.isEmpty():
+        raise ValueError("no records remain")

@@ -11,7 +11,7 @@ from ..functions import codes, dates, email, geo, text, vin
 from ..operators import dedup, enrich, numbering, panel, report, shape, unify, validate
 from ..sources import files, headers, masters
 from ..storage import materialise, new_path
-from . import pipeline
+from . import ingest, pipeline
 from .derived import BUSINESS_RULES, EMAIL_RULES, SETTINGS, STATE_ZIP_RULES
 from .derived import decode_sources, exclusion_tables, references, vehicle_sales
 
@@ -646,3 +646,22 @@ def master_scan(spark, sf_dir):
     )
     path = written_csv(raw, "master", nullValue="", emptyValue="")
     return masters.ucc_master(masters.read_master(spark, path), "line").select("ord", "cell", "modyy", "ucc")
+
+
+@query
+def ingest_columns(spark, sf_dir):
+    """A raw file with its own headers and a two-line address, as standard columns."""
+    raw = text_rows(spark, sf_dir).select(
+        F.col("row_id").alias("ORDER_NO"),
+        F.col("first_name").alias("FIRST_NM"),
+        F.col("address_line1").alias("ADDR_LINE1"),
+        F.when(F.col("state") == "TX", F.concat(F.lit(" Unit "), "row_id")).alias("ADDR_LINE2"),
+        F.col("zip_code").alias("ZIP_CODE"),
+        F.col("vin").alias("MODEL_DESC"),
+    )
+    config = {
+        "columns": {"first_nm": "first_name", "addr_line1": "address_line1", "addr_line2": "address_line2", "phone_no": "phone"},
+        "optional_columns": ["extra1"],
+    }
+    scanned, _ = ingest.read_raw(spark, written_csv(raw, "raw"), "mercedes", config)
+    return ingest.ingest(scanned, "mercedes", config, key="order_no")

@@ -102,6 +102,14 @@ class Result:
     def cell_report(self) -> DataFrame:
         return report.cell_report(self.final, description="desc")
 
+    @property
+    def missing_ucc(self) -> DataFrame:
+        return enrich.unmatched_ucc_pairs(self.final)
+
+    @property
+    def missing_descriptions(self) -> DataFrame:
+        return enrich.undescribed_cells(self.final)
+
     @property
     def invalid_dates(self) -> DataFrame:
         return report.invalid_date_rows(self.final)

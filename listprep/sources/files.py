@@ -44,6 +44,20 @@ def choose_layout(names: Sequence[str], legacy: Mapping, current: Mapping, marke
     return legacy if any(marker in name.strip().lower() for name in names) else current
 
 
+def check_paths(spark: SparkSession, paths: Mapping[str, str]) -> None:
+    """Name every input that is not given or cannot be found, before any job starts."""
+    absent = []
+    for role, path in paths.items():
+        try:
+            found = bool(path) and spark.read.text(path) is not None
+        except Exception:
+            found = False
+        if not found:
+            absent.append(role)
+    if absent:
+        raise ValueError(f"missing inputs: {', '.join(absent)}")
+
+
 def header_line(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).limit(1).collect()
     if not first:
