@@ -391,7 +391,7 @@ STATEMENTS = {
  CASE WHEN row_id % 17 <> 0 THEN 'z' END AS "last" FROM sales WHERE row_id % 13 <> 0""",
     "csv_bad_lines": """SELECT CAST(row_id AS VARCHAR) || ',"a,b",c,d' AS bad_line FROM sales WHERE row_id % 13 = 0""",
     "ingest_columns": """SELECT row_id, CAST(row_id AS VARCHAR) AS order_no, first_name,
- trim(regexp_replace(concat_ws(' ', address_line1, CASE WHEN state = 'TX' THEN ' Unit ' || CAST(row_id AS VARCHAR) END), '\\s+', ' ', 'g')) AS address_line1,
+ nullif(trim(regexp_replace(concat_ws(' ', address_line1, CASE WHEN state = 'TX' THEN ' Unit ' || CAST(row_id AS VARCHAR) END), '\\s+', ' ', 'g')), '') AS address_line1,
  CASE WHEN state = 'TX' THEN ' Unit ' || CAST(row_id AS VARCHAR) END AS address_line2, zip_code AS zip, vin AS bodycode,
  CAST(NULL AS VARCHAR) AS phone, CAST(NULL AS VARCHAR) AS extra1 FROM sales""",
     "exclusion_files": "SELECT vin FROM exclusions",
