@@ -28,10 +28,8 @@ def email_domain(c: Column) -> Column:
 
 
 def _panel(domain: Column, panels: dict[str, list[str]]) -> Column:
-    chosen = F.lit(OTHER_PANEL)
-    for name, domains in panels.items():
-        chosen = F.when(domain.isin(domains), name).otherwise(chosen)
-    return chosen
+    pairs = [F.lit(text) for name, domains in panels.items() for known in domains for text in (known, name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), domain), F.lit(OTHER_PANEL))
 
 
 def panel_of(email: Column) -> Column:
@@ -44,7 +42,11 @@ def coarse_panel_of(email: Column) -> Column:
     return _panel(F.lower(email_domain(email)), COARSE_PANELS)
 
 
+def cleaned_channel(email: Column) -> Column:
+    """``email`` when there is a cleaned address, else ``mail``."""
+    return F.when(F.coalesce(email, F.lit("")).isin("", "nan"), "mail").otherwise("email")
+
+
 def channel_of(email: Column) -> Column:
-    """``email`` when there is an address, else ``mail``."""
-    absent = F.coalesce(clean_email(email), F.lit("")).isin("", "nan")
-    return F.when(absent, "mail").otherwise("email")
+    """The same for an address as it was given."""
+    return cleaned_channel(clean_email(email))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import purchase_lease_code
 from ..functions.dates import parse_purchase_date, purchase_month, purchase_year
-from ..functions.email import PANELS, clean_email
+from ..functions.email import PANELS, clean_email, cleaned_channel
 from ..functions.geo import address_keys, zip2, zip5
 from ..functions.text import strip
 from ..functions.vin import VALID_MODEL_YEARS, clean_vin, model_year, prefix_brand, vin_segments
@@ -133,24 +133,30 @@ def prepare(df: DataFrame, settings: Settings) -> DataFrame:
     headers.check_columns(df, ["row_id", "address_line1", "city", "state", "purchase_date"])
     df = shape.build_name(df, settings.name_per_row)
     df = shape.fill_model_code(df)
-    segments = vin_segments(clean_vin(F.col("vin")))
     sales_type = headers.resolve(df.columns, headers.SALES_TYPE_NAMES)
     has_type = settings.check_sales_type and sales_type
-    df = df.withColumns(
+    # two projections: what is derived from a cleaned text must not clean it again
+    cleaned = df.withColumns(
         {
             **address_keys(),
             "email": clean_email(F.col("email")),
             "state": F.upper(strip(F.col("state"))),
             "zip_code": zip5(F.col("zip_code"), settings.strict_zip),
-            "zip2": zip2(zip5(F.col("zip_code"), settings.strict_zip)),
             "vin": clean_vin(F.col("vin")),
+            "purch_lse": purchase_lease_code(F.col(sales_type)) if has_type else F.lit(1),
+        }
+    )
+    segments = vin_segments(F.col("vin"))
+    derived = cleaned.withColumns(
+        {
             **segments,
+            "zip2": zip2(F.col("zip_code")),
             "modyy": model_year(segments["vin10"]),
             "true_brand": prefix_brand(segments["vin13"]),
-            "purch_lse": purchase_lease_code(F.col(sales_type)) if has_type else F.lit(1),
+            "channel": cleaned_channel(F.col("email")),
         }
     )
-    return panel.with_panel(panel.with_channel(df))
+    return panel.with_panel(derived)
 
 
 def early_checks(settings: Settings) -> list[Check]:
