@@ -51,7 +51,8 @@ def lookup(
         return df.join(F.broadcast(reference), on, "left")
     salted = reference.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return dealt.join(salted, [*on, "_salt"], "left").drop("_salt")
+    # a sort-merge join spills, whatever the planner believes about the size
+    return dealt.join(salted.hint("merge"), [*on, "_salt"], "left").drop("_salt")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool = False) -> DataFrame:

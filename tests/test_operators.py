@@ -134,6 +134,7 @@ def test_salted_lookup_is_the_broadcast_lookup(spark):
     ref = df.select("k").distinct().withColumn("v", F.concat(F.lit("v"), "k"))
     small, large = lookup.lookup(df, ref, ["k"], True), lookup.lookup(df, ref, ["k"], False)
     assert small.exceptAll(large).isEmpty() and large.count() == 5000
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
     assert lookup.fits_broadcast(ref) and not lookup.fits_broadcast(ref, limit=10)
 
 
