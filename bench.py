@@ -39,7 +39,7 @@ HEADLINE = (
     "unify_sources",
     "source_conflicts",
     "csv_mixed_encoding",
-    "full_pipeline",
+    "full_job",
 )
 
 

@@ -395,7 +395,7 @@ FINAL_COLUMNS = (
 
 
 @query
-def full_pipeline(spark, sf_dir):
+def full_job(spark, sf_dir):
     return final(spark, sf_dir).select(*FINAL_COLUMNS)
 
 

@@ -342,7 +342,7 @@ STATEMENTS = {
     "panel_sizes": """SELECT panel, n_chunks, (panel_row - 1) // 4500 + 1 AS chunk, count(*) AS n_rows FROM chunked GROUP BY ALL""",
     "vin_batches": """SELECT vin, row_number() OVER (ORDER BY vin) AS vin_row, (row_number() OVER (ORDER BY vin) - 1) // 1000 + 1 AS batch
  FROM (SELECT DISTINCT vin FROM base WHERE length(vin) = 17)""",
-    "full_pipeline": """SELECT row_id, seq8, name, email, zip_code, vin, CAST(modyy AS INTEGER) AS modyy, true_brand, cell, brand, descr AS "desc",
+    "full_job": """SELECT row_id, seq8, name, email, zip_code, vin, CAST(modyy AS INTEGER) AS modyy, true_brand, cell, brand, descr AS "desc",
  modelid, ucc, electric, description_long, mo AS "MO Purch", yr AS "YR Purch", channel, panel, panel_row, purch_lse FROM final""",
     "reject_report": f"""SELECT row_id, reject_step, reject_reason, {REJECT_SOURCE} AS rejection_source FROM tagged
  WHERE reject_step IS NOT NULL""",

@@ -5,16 +5,18 @@ from __future__ import annotations
 import csv
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
+from ..operators.lookup import fits_broadcast
 from ..storage import materialise
 from . import headers
 
 DELIMITERS = (",", "\t", ";", "|")
 LAYOUT_MARKER = "bapibus1006"
+SPLIT_ROWS = 1 << 33
 
 
 def scan_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -131,11 +133,18 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
-    """``row_id`` from a source key, or in file order.
+    """``row_id`` from a source key, or in the order of file name and place in the file.
 
-    Ids in file order are written to a table at once: a second scan that is split another way
-    would number the rows differently.
+    A place is written to a table at once: a second scan that is split another way would count
+    differently. The splits, not the rows, are then put in order; there is one line per split.
     """
     if key is not None:
         return df.withColumn("row_id", headers.quoted(key).cast("bigint"))
-    return materialise(df.withColumn("row_id", F.monotonically_increasing_id()), "numbered-input")
+    split = {"_file": F.input_file_name(), "_start": F.expr("input_file_block_start()"), "_part": F.spark_partition_id()}
+    placed = df.withColumns({**split, "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(SPLIT_ROWS - 1))})
+    placed = materialise(placed, "numbered-input")
+    splits = placed.select(*split).distinct()
+    ranked = splits.withColumn("_rank", F.row_number().over(Window.orderBy(*split)) - 1)
+    numbered = placed.join(F.broadcast(ranked) if fits_broadcast(splits) else ranked, list(split))
+    row_id = F.col("_rank").cast("bigint") * F.lit(SPLIT_ROWS) + F.col("_place")
+    return numbered.withColumn("row_id", row_id).drop(*split, "_place", "_rank")

@@ -63,6 +63,16 @@ def test_row_ids(spark, rows):
     assert column(numbered, "id") == [str(n) for n in range(1000)]
 
 
+def test_row_ids_follow_file_names(spark, tmp_path):
+    for name, rows_in_file in (("a", 3), ("b", 500), ("c", 2)):
+        lines = "".join(f"{name}{n:03}\n" for n in range(rows_in_file))
+        (tmp_path / f"{name}.csv").write_text("k\n" + lines)
+    numbered = files.with_row_id(files.split_bad_lines(files.scan_lines(spark, str(tmp_path)))[0])
+    assert numbered.columns == ["k", "row_id"]
+    keys = column(numbered, "k")
+    assert len(keys) == 505 and keys == sorted(keys)
+
+
 def test_blank_text_becomes_null(rows):
     assert tuple(files.blanks_to_null(rows("a, b", (" ", "x "))).first()) == (None, "x ")
 
