@@ -2,7 +2,8 @@
 
 A written table cuts the lineage, survives the loss of executors and keeps column pruning
 for whoever reads it back. It goes to the folder the session names in
-``spark.checkpoint.dir``, which has to be shared by all executors.
+``spark.checkpoint.dir``, which has to be shared by all executors. Without that setting a
+session on a ``local`` master gets a temporary folder of its own.
 """
 
 from __future__ import annotations
@@ -13,22 +14,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+MACHINE_LOCAL = ("/tmp", "/var/tmp")
+_own_folders: dict[str, str] = {}
 
 
 def working_dir(spark: SparkSession) -> str:
+    """The shared folder of the session; a machine's own folder is refused on a cluster."""
     folder = spark.conf.get(SETTING, None)
+    local = spark.conf.get("spark.master", "").startswith("local")
     if folder:
+        if not local and _machine_local(folder):
+            raise ValueError(f"{SETTING} names {folder}, which other machines cannot reach")
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not local:
         raise ValueError(f"set {SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="listprep-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="listprep-")
+    return _own_folders[application]
+
+
+def _machine_local(folder: str) -> bool:
+    scheme, _, path = folder.rpartition(":")
+    path = "/" + path.lstrip("/")
+    return scheme == "file" and any(path == top or path.startswith(f"{top}/") for top in MACHINE_LOCAL)
+
+
+def application_dir(spark: SparkSession) -> str:
+    return f"{working_dir(spark)}/listprep/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own; all paths of one application are under one folder."""
-    return f"{working_dir(spark)}/listprep/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,3 +54,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application wrote; frames that read them are of no use afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

