@@ -152,10 +152,11 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(first[-1], dtype=np.uint64)
     whole = np.ones(first[-1], dtype=bool)
     for i in short:
-        value = np.uint64(0)
-        for x in h[words.first[i] : words.first[i + 1]]:
-            value = (value * np.uint64(_BASE) + x) & np.uint64(0xFFFFFFFFFFFFFFFF)
-        out[first[i]] = mix(np.array([value + np.uint64(counts[i])], dtype=np.uint64))[0]
+        value = 0
+        for x in h[words.first[i] : words.first[i + 1]].tolist():
+            value = (value * _BASE + x) % (1 << 64)
+        value = (value + int(counts[i])) % (1 << 64)
+        out[first[i]] = mix(np.array([value], dtype=np.uint64))[0]
         whole[first[i]] = False
     # a run counts for the text that holds all its words
     owner = np.searchsorted(words.first, np.arange(m), side="right") - 1
