@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, neardup
+from . import decontaminate, linededup, neardup, packing, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +18,28 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of toxicity and its categories for all documents."""
+    documents = table(spark, sf_dir, "documents")
+    chain = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, chain)
+    names = [F.col("categories").getItem(name).alias(name) for name in chain.names[:-1]]
+    return scored.select("doc_id", *names, "toxic_probability", (F.col("toxic_probability") >= 0.5).alias("toxic"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of three-line windows."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 ids."""
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", "offset", "round", "bins", "bound"
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of documents and benchmark items."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -30,7 +48,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_minhash": op3_minhash,
+        "op4_toxicity": op4_toxicity,
         "op6_line_dedup": op6_line_dedup,
+        "op9_packing": op9_packing,
         "op10_decontaminate": op10_decontaminate,
     }
 

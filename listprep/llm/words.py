@@ -47,6 +47,25 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from which ``span_hashes`` takes the hash of any span of ``data``."""
+    n = len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.multiply(data, _power(_BASE, n), out=sums[1:])
+    sums[1:] += _power(_BASE, n)
+    return np.cumsum(sums, out=sums)
+
+
+def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes [start, end), equal for equal bytes wherever they lie."""
+    return mix((sums[end] - sums[start]) * _power(_BASE_INVERSE, len(sums))[start])
+
+
 @dataclass
 class Words:
     """Words of a slice of texts: ``hashes[first[i]:first[i + 1]]`` are those of text ``i``."""
@@ -111,12 +130,7 @@ def split_words(
     np.logical_and(~word[1:], word[:-1], out=stop[1:n])
     stop[inner] = word[inner - 1]
     end = np.flatnonzero(stop)
-    letters = _LOWER[data] if lower else data
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.multiply(letters, _power(_BASE, n), out=sums[1:])
-    sums[1:] += _power(_BASE, n)
-    np.cumsum(sums, out=sums)
-    hashes = mix((sums[end] - sums[start]) * _power(_BASE_INVERSE, n)[start])
+    hashes = span_hashes(prefix_sums(_LOWER[data] if lower else data), start, end)
     return Words(hashes, np.searchsorted(start, text_start).astype(np.int64), start, end, data, text_start)
 
 
