@@ -205,7 +205,8 @@ def near_duplicates(
     matches = matches_needed(percent / 100, coordinates, miss)
     signed = materialise(_signed(documents, shingle, coordinates), "signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
+    # written, so that the join on a set that many documents have can be split
+    classes = materialise(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "classes")
     classed = full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"])
     # the signature of a class is that of its smallest document
     facts = full.join(classes.select("node", F.col("set_a").alias("a"), F.col("set_b").alias("b")), [F.col("doc_id") == F.col("node"), F.col("set_a") == F.col("a"), F.col("set_b") == F.col("b")])
