@@ -30,7 +30,7 @@ from . import linear, words
 from .tables import arrow_map
 
 SAMPLE = 12_000
-FORMS = 768
+FORMS = 1536
 PREFIXES = (4, 5, 6)
 FAMILIES = 3
 FOLDS = 5
@@ -59,12 +59,13 @@ class Chain:
         same = self.forms[number] == forms[place]
         return place[same], number[same]
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """One column per category, each fed to those after it."""
-        out = np.zeros((len(x), 0))
+    def probabilities(self, texts: pa.Array) -> np.ndarray:
+        """One row per text and one column per category, each fed to those after it."""
+        row, number = _presence(self, texts)
+        x = linear.Inputs(row, number, len(self.forms), np.zeros((len(texts), 0)))
         for weights in self.weights:
-            out = np.hstack([out, linear.predict(np.hstack([x, out]), weights)[:, None]])
-        return out
+            x = x.beside(linear.predict(x, weights))
+        return x.dense
 
 
 def _forms(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -127,14 +128,18 @@ def _presence(chain: Chain, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cells // width, cells % width
 
 
-def families(x: np.ndarray, toxic: np.ndarray, count: int) -> list[np.ndarray]:
+def families(x: linear.Inputs, toxic: np.ndarray, count: int) -> list[np.ndarray]:
     """Markers (columns far more frequent in toxic rows) in ``count`` groups by where they occur."""
-    inside, outside = x[toxic == 1].sum(axis=0), x[toxic == 0].sum(axis=0)
+    inside, outside = (np.bincount(x.column[toxic[x.row] == mark], minlength=x.width) for mark in (1, 0))
     rate = (inside / max((toxic == 1).sum(), 1)) / ((outside + 0.5) / max((toxic == 0).sum(), 1))
     markers = np.flatnonzero((rate > 10) & (inside >= LEAST_DOCUMENTS))
     if len(markers) < count:
         return [markers] * bool(len(markers))
-    seen = x[toxic == 1][:, markers].T
+    number = np.full(x.width, -1)
+    number[markers] = np.arange(len(markers))
+    cells = (toxic[x.row] == 1) & (number[x.column] >= 0)
+    seen = np.zeros((len(markers), len(toxic)), dtype=np.float32)
+    seen[number[x.column[cells]], x.row[cells]] = 1
     seen = seen / np.linalg.norm(seen, axis=1, keepdims=True)
     centres = [seen[int(np.argmax(inside[markers]))]]
     while len(centres) < count:  # the marker least like those chosen, among the frequent ones
@@ -167,22 +172,24 @@ def train(documents: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) ->
     # at most the sample's rows, each of at most FORMS small numbers
     rows = arrow_map(sample, "doc_id long, toxic int, held array<int>", per_batch).toArrow().sort_by("doc_id")
     toxic, ids = rows.column("toxic").to_numpy(), rows.column("doc_id").to_numpy()
-    x = np.zeros((len(toxic), len(chain.forms)))
-    for k, held in enumerate(rows.column("held").to_pylist()):
-        x[k, held] = 1
+    held = rows.column("held").combine_chunks()
+    row = np.repeat(np.arange(len(toxic)), held.value_lengths().to_numpy(zero_copy_only=False))
+    x = linear.Inputs(row, held.flatten().to_numpy(zero_copy_only=False).astype(int), len(chain.forms), np.zeros((len(toxic), 0)))
     fold = (words.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int) if len(ids) else np.empty(0, int)
-    targets = [(toxic == 1) & x[:, family].any(axis=1) for family in families(x, toxic, FAMILIES)] if len(ids) else []
+    targets = []
+    for family in families(x, toxic, FAMILIES):
+        target = np.zeros(len(toxic), dtype=bool)
+        target[x.row[np.isin(x.column, family)]] = True
+        targets.append(target & (toxic == 1))
     chain.names = [f"category_{k + 1}" for k in range(len(targets))] + ["toxic"]
-    earlier = np.zeros((len(toxic), 0))
     for target in [*targets, toxic == 1]:
-        inputs, y = np.hstack([x, earlier]), target.astype(float)
-        chain.weights.append(linear.fit_logistic(inputs, y))
-        held_out = np.zeros(len(y))
+        y = target.astype(float)
+        chain.weights.append(linear.fit_logistic(x, y))
+        out_of_fold = np.zeros(len(y))
         for k in range(FOLDS):
             out = fold == k
-            if out.any():
-                held_out[out] = linear.predict(inputs[out], linear.fit_logistic(inputs[~out], y[~out]))
-        earlier = np.hstack([earlier, held_out[:, None]])
+            out_of_fold[out] = linear.predict(x.take(out), linear.fit_logistic(x.take(~out), y[~out]))
+        x = x.beside(out_of_fold)
     return chain
 
 
@@ -192,10 +199,7 @@ def score(documents: DataFrame, chain: Chain) -> DataFrame:
     def per_batch(batch):
         texts, names = batch.column("text"), chain.names[:-1]
         for i, j in words.slices(texts):
-            x = np.zeros((j - i, len(chain.forms)), dtype=np.float32)
-            row, number = _presence(chain, texts.slice(i, j - i))
-            x[row, number] = 1
-            p = chain.probabilities(x)
+            p = chain.probabilities(texts.slice(i, j - i))
             first = pa.array(np.arange(0, (j - i) * len(names) + 1, max(len(names), 1))[: j - i + 1] if names else np.zeros(j - i + 1), pa.int32())
             held = pa.MapArray.from_arrays(first, pa.array(names * (j - i), pa.string()), pa.array(p[:, :-1].ravel()))
             ids = [batch.column(name).slice(i, j - i) for name in ("doc_id", "copy")]
@@ -213,10 +217,7 @@ def clean(documents: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFra
     def per_batch(batch):
         texts = batch.column(batch.schema.get_field_index("text")).fill_null("")
         for i, j in words.slices(texts):
-            x = np.zeros((j - i, len(chain.forms)), dtype=np.float32)
-            row, number = _presence(chain, texts.slice(i, j - i))
-            x[row, number] = 1
-            kept = chain.probabilities(x)[:, -1] < threshold
+            kept = chain.probabilities(texts.slice(i, j - i))[:, -1] < threshold
             if kept.any():
                 yield batch.slice(i, j - i).filter(pa.array(kept))
 
