@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, neardup, packing, toxicity
+from . import decontaminate, linededup, neardup, packing, passages, quality, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the documents that repeat passages of earlier ones."""
+    found = passages.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "n_words", "paragraphs", "first_doc_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt without the held-out third of the labels."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    field = quality.train(documents, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = quality.score(documents, field)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 ids."""
     packed = packing.pack(table(spark, sf_dir, "documents"))
@@ -50,6 +66,8 @@ def queries() -> dict[str, Query]:
         "op3_minhash": op3_minhash,
         "op4_toxicity": op4_toxicity,
         "op6_line_dedup": op6_line_dedup,
+        "op7_passages": op7_passages,
+        "op8_quality": op8_quality,
         "op9_packing": op9_packing,
         "op10_decontaminate": op10_decontaminate,
     }

@@ -25,6 +25,7 @@ no links. A row without ``doc_id`` has no links and is its own component. Rows t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
 import numpy as np
@@ -192,6 +193,35 @@ def _long_lists(lists: DataFrame, facts: DataFrame, matches: int, percent: int)
     return rows.groupBy("value", "i", "j").applyInArrow(per_group, "u long, v long")
 
 
+def links(
+    lists: DataFrame, facts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], matches: int, percent: int
+) -> DataFrame:
+    """Confirmed links ``u``, ``v`` that connect whatever all links of nodes with a list in common connect.
+
+    ``lists``: value, node and n (nodes of that value); ``facts``: node, size and signature;
+    ``sets_of`` gives node and shingles for a table of nodes.
+    """
+    short, long = lists.filter(F.col("n") <= LIST), lists.filter(F.col("n") > LIST)
+    left, right = short.select("value", F.col("node").alias("u")), short.select("value", F.col("node").alias("v"))
+    pairs = left.join(right, "value").filter("u < v").select("u", "v").distinct()
+    for end in ("u", "v"):
+        own = facts.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("signature").alias(f"signature_{end}"))
+        pairs = pairs.join(own, end)
+    agree = F.zip_with("signature_u", "signature_v", lambda x, y: (x == y).cast("int"))
+    enough = F.aggregate(agree, F.lit(0), lambda total, x: total + x) >= matches
+    alike = 100 * F.least("size_u", "size_v") >= percent * F.greatest("size_u", "size_v")
+    pairs = materialise(pairs.filter(enough & alike).select("u", "v"), "pairs")
+
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(long.select("node")).distinct()
+    sets = materialise(sets_of(wanted).dropDuplicates(["node"]), "sets")
+    candidates = pairs
+    for end in ("u", "v"):
+        candidates = candidates.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+    edges = _confirmed(candidates, percent)
+    full = facts.join(sets, "node").select("node", "signature", "shingles")
+    return edges.unionByName(_long_lists(long, full, matches, percent))
+
+
 def near_duplicates(
     documents: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, miss: float = MISS
 ) -> DataFrame:
@@ -221,25 +251,7 @@ def near_duplicates(
     posted = materialise(posted, "posted")
     lengths = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
     lists = materialise(posted.join(lengths, "value"), "lists")
-    short, long = lists.filter(F.col("n") <= LIST), lists.filter(F.col("n") > LIST)
-
-    left, right = short.select("value", F.col("node").alias("u")), short.select("value", F.col("node").alias("v"))
-    pairs = left.join(right, "value").filter("u < v").select("u", "v").distinct()
-    for end in ("u", "v"):
-        own = facts.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("signature").alias(f"signature_{end}"))
-        pairs = pairs.join(own, end)
-    agree = F.zip_with("signature_u", "signature_v", lambda x, y: (x == y).cast("int"))
-    enough = F.aggregate(agree, F.lit(0), lambda total, x: total + x) >= matches
-    alike = 100 * F.least("size_u", "size_v") >= percent * F.greatest("size_u", "size_v")
-    pairs = materialise(pairs.filter(enough & alike).select("u", "v"), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(long.select("node")).distinct()
-    sets = materialise(_sets(documents, wanted, shingle).dropDuplicates(["node"]), "sets")
-    candidates = pairs
-    for end in ("u", "v"):
-        candidates = candidates.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
-    edges = _confirmed(candidates, percent)
-    edges = edges.unionByName(_long_lists(long, facts.join(sets, "node").select("node", "signature", "shingles"), matches, percent))
+    edges = links(lists, facts, lambda wanted: _sets(documents, wanted, shingle), matches, percent)
     found = components(materialise(edges, "links"))
 
     named = classed.select("doc_id", "n_shingles", "node").join(found, "node", "left")

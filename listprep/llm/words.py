@@ -204,3 +204,30 @@ def set_hash(distinct: np.ndarray) -> bytes:
     a = int(mix(distinct).sum(dtype=np.uint64))
     b = int(mix(distinct ^ np.uint64(_BASE)).sum(dtype=np.uint64))
     return (a << 64 | b).to_bytes(16, "big")
+
+
+def segments(found: Words) -> np.ndarray:
+    """First words of the segments of all texts: a segment ends with its line, or with a full
+    stop, question or exclamation mark that white space follows."""
+    data, n = found.data, len(found.start)
+    if n == 0:
+        return np.empty(0, dtype=np.int64)
+    stop = data == 10
+    stop[:-1] |= ((data[:-1] == 46) | (data[:-1] == 33) | (data[:-1] == 63)) & _SPACE[data[1:]]
+    stops = np.cumsum(stop)
+    new = np.ones(n, dtype=bool)
+    # a stop between the first bytes of two words
+    new[1:] = stops[found.start[1:]] > stops[found.start[:-1]]
+    new[found.first[:-1][np.diff(found.first) > 0]] = True
+    return np.flatnonzero(new)
+
+
+def within(found: Words, first: np.ndarray) -> Words:
+    """The same words, those of each segment as a text."""
+    return Words(found.hashes, np.append(first, len(found.hashes)), found.start, found.end, found.data, found.text_start)
+
+
+def char_places(data: np.ndarray, text_start: np.ndarray, owner: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers of characters before byte ``places``, counted from the start of their text."""
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return chars[places] - chars[text_start[owner]]
