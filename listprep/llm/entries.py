@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, neardup, packing, passages, quality, toxicity
+from . import decontaminate, linededup, neardup, packing, passages, quality, topk, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth embedding."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents on three-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -63,6 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_top_k": op1_top_k,
         "op3_minhash": op3_minhash,
         "op4_toxicity": op4_toxicity,
         "op6_line_dedup": op6_line_dedup,
@@ -74,4 +80,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": linededup.SQL.format(documents="documents")}
+    return {
+        "op1_top_k": topk.SQL,
+        "op6_line_dedup": linededup.SQL.format(documents="documents"),
+    }

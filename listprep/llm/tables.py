@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,10 @@ def with_first_of(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row per key; of rows that repeat a key, the one whose columns sort first."""
     smallest = F.min(F.struct(*columns)).alias("_first")
     return df.groupBy(key).agg(smallest).select(key, *[F.col(f"_first.{name}").alias(name) for name in columns])
+
+
+def top_ranked(df: DataFrame, key: str, order: Sequence[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of every key in ``order``, with their ``rank``; Spark keeps no more
+    than ``k`` rows per key and task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("rank", rank).filter(F.col("rank") <= k)
