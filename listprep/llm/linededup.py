@@ -13,10 +13,13 @@ are kept; one named ``n_lines`` or ``n_removed`` is replaced.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialise
+from .tables import arrow_map
 
 WINDOW = 3
 
@@ -25,11 +28,6 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _filled(lines: Column) -> Column:
-    """Places of the lines that are not blank."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
-
-
 def _windows(documents: DataFrame) -> DataFrame:
     """``a``, ``b``: 128 bits of a window; ``place``: its number in its document."""
     rows = documents.select("doc_id", F.xxhash64("text").alias("version"), _lines(F.col("text")).alias("lines"))
@@ -55,6 +53,18 @@ def later_windows(documents: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "version").agg(F.collect_list("place").alias("places"))
 
 
+def without(text: str | None, places: list[int] | None) -> tuple[str | None, int, int]:
+    """The text without its windows at ``places``, the number of its lines and of those removed."""
+    if not text:
+        return text, 0, 0
+    lines = text.split("\n")
+    if not places:
+        return text, len(lines), 0
+    filled = [i for i, line in enumerate(lines) if line.strip(" ")]
+    covered = {i for place in places for i in filled[place : place + WINDOW]}
+    return "\n".join(line for i, line in enumerate(lines) if i not in covered), len(lines), len(covered)
+
+
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """All rows of ``documents`` with ``text`` rid of repeated windows, ``n_lines`` (lines before)
     and ``n_removed``."""
@@ -62,18 +72,18 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     later = later_windows(documents.select("doc_id", "text"))
     later = later.select(F.col("doc_id").alias("_later_id"), F.col("version").alias("_later_version"), F.col("places").alias("_places"))
     same = F.col("doc_id").eqNullSafe(F.col("_later_id")) & (F.xxhash64("text") == F.col("_later_version"))
-    rows = documents.select(*[F.col(f"`{name}`") for name in kept]).join(later, same, "left")
-    rows = rows.withColumns({"_lines": _lines(F.col("text")), "_filled": _filled(_lines(F.col("text")))})
-    covered = F.flatten(F.transform("_places", lambda k: F.slice("_filled", k + 1, WINDOW)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
-    rows = rows.withColumn("_left", F.when(F.col("_places").isNotNull(), left))
-    text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("_left", lambda i: F.get(F.col("_lines"), i)), "\n")
-    )
-    out = [text.alias(name) if name == "text" else F.col(f"`{name}`") for name in kept]
-    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size("_lines"))
-    n_removed = F.when(F.col("_left").isNull(), 0).otherwise(F.size("_lines") - F.size("_left"))
-    return rows.select(*out, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    rows = documents.select(*[F.col(f"`{name}`") for name in kept]).join(later, same, "left").drop("_later_id", "_later_version")
+
+    def per_batch(batch):
+        texts, places = batch.column("text").to_pylist(), batch.column("_places").to_pylist()
+        text, n_lines, n_removed = zip(*map(without, texts, places))
+        new = {"text": pa.array(text, batch.schema.field("text").type)}
+        columns = [new.get(name, batch.column(name)) for name in kept]
+        counts = [pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*kept, "n_lines", "n_removed"])
+
+    schema = T.StructType([documents.schema[name] for name in kept]).add("n_lines", "integer").add("n_removed", "integer")
+    return arrow_map(rows, schema, per_batch)
 
 
 #: The rows of ``dedup_lines`` in DuckDB; ``{documents}`` is the table.

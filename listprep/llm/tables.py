@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def arrow_map(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+def arrow_map(df: DataFrame, schema: str | StructType, per_batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Apply a function to the Arrow batches of ``df``."""
 
     ship(df.sparkSession)
