@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, neardup, packing, passages, quality, topk, toxicity
+from . import decontaminate, linededup, neardup, packing, passages, quality, tokenfiles, topk, toxicity
+from ..storage import new_path
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,13 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files of all documents say when they are read back."""
+    folder = new_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), folder)
+    return tokenfiles.read(spark, folder)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents on three-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -69,6 +77,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_top_k": op1_top_k,
+        "op2_token_files": op2_token_files,
         "op3_minhash": op3_minhash,
         "op4_toxicity": op4_toxicity,
         "op6_line_dedup": op6_line_dedup,
