@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, neardup, packing, passages, quality, tokenfiles, topk, toxicity
+from . import decontaminate, licenses, linededup, neardup, packing, passages, quality, tokenfiles, topk, toxicity
 from ..storage import new_path
 from .tables import table
 
@@ -40,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *names, "toxic_probability", (F.col("toxic_probability") >= 0.5).alias("toxic"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the documents that are a licence's text or notice."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of three-line windows."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -80,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op2_token_files": op2_token_files,
         "op3_minhash": op3_minhash,
         "op4_toxicity": op4_toxicity,
+        "op5_licenses": op5_licenses,
         "op6_line_dedup": op6_line_dedup,
         "op7_passages": op7_passages,
         "op8_quality": op8_quality,
@@ -91,5 +97,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_top_k": topk.SQL,
+        "op5_licenses": op5_licenses,
         "op6_line_dedup": linededup.SQL.format(documents="documents"),
     }
