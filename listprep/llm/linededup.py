@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import materialise
-from .tables import arrow_map
+from .tables import arrow_map, free_names
 
 WINDOW = 3
 
@@ -32,7 +32,7 @@ def _windows(documents: DataFrame) -> DataFrame:
     """``a``, ``b``: 128 bits of a window; ``place``: its number in its document."""
     rows = documents.select("doc_id", F.xxhash64("text").alias("version"), _lines(F.col("text")).alias("lines"))
     rows = rows.filter(F.size("lines") >= WINDOW).distinct()
-    full = F.filter(F.transform("lines", F.trim), lambda line: line != "")
+    full = F.filter(F.transform("lines", lambda line: F.trim(line)), lambda line: line != "")
     rows = rows.select("doc_id", "version", full.alias("lines")).filter(F.size("lines") >= WINDOW)
     places = F.sequence(F.lit(0), F.size("lines") - WINDOW)
     rows = rows.select("doc_id", "version", "lines", F.explode(places).alias("place"))
@@ -70,12 +70,13 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     and ``n_removed``."""
     kept = [name for name in documents.columns if name not in ("n_lines", "n_removed")]
     later = later_windows(documents.select("doc_id", "text"))
-    later = later.select(F.col("doc_id").alias("_later_id"), F.col("version").alias("_later_version"), F.col("places").alias("_places"))
-    same = F.col("doc_id").eqNullSafe(F.col("_later_id")) & (F.xxhash64("text") == F.col("_later_version"))
-    rows = documents.select(*[F.col(f"`{name}`") for name in kept]).join(later, same, "left").drop("_later_id", "_later_version")
+    of_id, version, held = free_names(documents, "_later_id", "_later_version", "_places")
+    later = later.select(F.col("doc_id").alias(of_id), F.col("version").alias(version), F.col("places").alias(held))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(version))
+    rows = documents.select(*[F.col(f"`{name}`") for name in kept]).join(later, same, "left").drop(of_id, version)
 
     def per_batch(batch):
-        texts, places = batch.column("text").to_pylist(), batch.column("_places").to_pylist()
+        texts, places = batch.column("text").to_pylist(), batch.column(held).to_pylist()
         text, n_lines, n_removed = zip(*map(without, texts, places))
         new = {"text": pa.array(text, batch.schema.field("text").type)}
         columns = [new.get(name, batch.column(name)) for name in kept]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..storage import materialise
 from . import words
 from .components import components
-from .tables import arrow_map, ship
+from .tables import arrow_map, free_names, ship
 
 COORDINATES = 10
 MISS = 1e-5
@@ -264,7 +264,8 @@ def dedup(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that are the smallest of their component. Rows that agree in
     ``doc_id`` and text stay once; rows without ``doc_id`` all stay."""
     kept = near_duplicates(documents, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    rows = documents.join(kept, "doc_id", "left_semi").withColumn("_version", F.xxhash64("text"))
-    again = F.row_number().over(Window.partitionBy("doc_id", "_version").orderBy("doc_id"))
-    once = rows.withColumn("_again", again).filter("_again = 1").drop("_again", "_version")
+    version, again = free_names(documents, "_version", "_again")
+    rows = documents.join(kept, "doc_id", "left_semi").withColumn(version, F.xxhash64("text"))
+    number = F.row_number().over(Window.partitionBy("doc_id", version).orderBy("doc_id"))
+    once = rows.withColumn(again, number).filter(F.col(again) == 1).drop(again, version)
     return once.unionByName(documents.filter("doc_id is null"))

@@ -27,7 +27,7 @@ from ..storage import materialise
 from . import words
 from .components import components
 from .neardup import links
-from .tables import arrow_map, ship
+from .tables import arrow_map, free_names, ship
 
 #: Fewest words of a paragraph, fewest words of a span, most characters between two repeats of a span.
 LEAST = 6
@@ -184,18 +184,18 @@ def _spans(later: DataFrame, span: int) -> DataFrame:
 
 def dedup_passages(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` without their spans to remove."""
-    found = repeats(documents, **options).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    found = found.select(F.col("doc_id").alias("_of_id"), F.col("copy").alias("_of_copy"), "_spans")
-    rows = documents.withColumn("_copy", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of_id")) & (F.col("_copy") == F.col("_of_copy"))
+    of_id, of_copy, copy, spans = free_names(documents, "_of_id", "_of_copy", "_copy", "_spans")
+    found = repeats(documents, **options).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans))
+    found = found.select(F.col("doc_id").alias(of_id), F.col("copy").alias(of_copy), spans)
+    rows = documents.withColumn(copy, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.col(copy) == F.col(of_copy))
     rows = rows.join(found, same, "left")
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size("_spans")),
-        lambda k: F.substring(
-            "text",
-            F.coalesce(F.get("_spans", k - 1).getField("end"), F.lit(0)) + 1,
-            F.coalesce(F.get("_spans", k).getField("start"), F.length("text")) - F.coalesce(F.get("_spans", k - 1).getField("end"), F.lit(0)),
-        ),
-    )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
+
+    def kept_part(k):
+        begin = F.coalesce(F.get(spans, k - 1).getField("end"), F.lit(0))
+        end = F.coalesce(F.get(spans, k).getField("start"), F.length("text"))
+        return F.substring("text", begin + 1, end - begin)
+
+    parts = F.transform(F.sequence(F.lit(0), F.size(spans)), kept_part)
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
     return rows.select(*[text.alias(n) if n == "text" else F.col(f"`{n}`") for n in documents.columns])

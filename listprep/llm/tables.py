@@ -58,3 +58,14 @@ def top_ranked(df: DataFrame, key: str, order: Sequence[Column], k: int) -> Data
     than ``k`` rows per key and task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {column.lower() for column in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
