@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from .text import strip
 
 # English month names as written in free-form dates.
-MONTH_FORMS = ("d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+MONTH_FORMS = (
+    "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM yyyy",
+    "MMMM yyyy", "d MMM yyyy HH:mm", "d MMMM yyyy HH:mm", "d MMM yyyy HH:mm:ss", "d MMMM yyyy HH:mm:ss",
+)
+ISO_FORM = (
+    r"^(\d{4})-(\d{1,2})(?:-(\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d*)?)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+)
+DASH_FORM = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
 
 
 def _stamp(year: Column, month: Column, day: Column, *clock: Column) -> Column:
@@ -43,20 +50,26 @@ def compact_date(c: Column) -> Column:
     return F.when(text.rlike(r"^\d{8}$"), _stamp(*_cut(text, (1, 4), (5, 2), (7, 2))))
 
 
+def _groups(text: Column, form: str, *defaults: str) -> list[Column]:
+    """Groups of the form, a default where one is absent."""
+    found = [F.nullif(F.regexp_extract(text, form, n), F.lit("")) for n in range(1, len(defaults) + 1)]
+    return [F.coalesce(group, F.lit(default)) if default else group for group, default in zip(found, defaults)]
+
+
 def general_date(c: Column) -> Column:
-    """ISO date with an optional time, or a date with an English month name."""
+    """ISO date (to the month, day, minute or second), ``m-d-yyyy``, or an English month name.
+
+    A zone is read and left out: the clock is taken as it is written.
+    """
     text = strip(c)
-    iso = F.when(
-        text.rlike(r"^\d{4}-\d{2}-\d{2}$"), _stamp(*_cut(text, (1, 4), (6, 2), (9, 2)))
-    ).when(
-        text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d*)?$"),
-        _stamp(*_cut(text, (1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))),
-    )
+    iso = F.when(text.rlike(ISO_FORM), _stamp(*_groups(text, ISO_FORM, "", "", "1", "0", "0", "0")))
+    month, day, year = _groups(text, DASH_FORM, "", "", "")
+    dashed = F.when(text.rlike(DASH_FORM), _stamp(year, month, day))
     named = [
         F.when(text.rlike("[A-Za-z]{3}"), F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz"))
         for form in MONTH_FORMS
     ]
-    return F.coalesce(iso, *named)
+    return F.coalesce(iso, dashed, *named)
 
 
 def parse_purchase_date(c: Column, layout: str = "any") -> Column:

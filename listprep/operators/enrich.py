@@ -101,7 +101,7 @@ def look_up_brand(df: DataFrame, rules: DataFrame, broadcast: bool | None = None
     return joined.select(*rest, brand.alias("Brand"), text.alias("Description"))
 
 
-def default_cell_rows(df: DataFrame, default_cell: str = DEFAULT_CELL) -> DataFrame:
+def default_cell_rows(df: DataFrame, default_cell: str | Column = DEFAULT_CELL) -> DataFrame:
     """Report of the rows that no rule matched; they stay in the list."""
     columns = [name for name in DEFAULT_CELL_COLUMNS if name in df.columns]
     return df.filter(F.col("cell") == default_cell).select(*columns)

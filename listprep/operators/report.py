@@ -70,9 +70,11 @@ def reason_counts(tagged: DataFrame) -> DataFrame:
     )
 
 
-def step_audit(tagged: DataFrame, steps: Sequence[str] = STEPS) -> DataFrame:
+def step_audit(tagged: DataFrame, steps: Sequence[str] = STEPS, unreadable: int = 0) -> DataFrame:
     """Rows before, rejected and after per step, in step order (A1).
 
+    Lines that the scan could not read are a step before all others.
+
     The table has one row per step, so the running total is over a handful of rows.
     """
     place = choose_value(F.col("reject_step"), {name: n for n, name in enumerate(steps, 1)})
@@ -80,7 +82,13 @@ def step_audit(tagged: DataFrame, steps: Sequence[str] = STEPS) -> DataFrame:
         F.count("*").alias("total"),
         *[F.count(F.when(place == n, 1)).alias(f"s{n}") for n in range(1, len(steps) + 1)],
     )
+    lost = F.lit(unreadable).cast("bigint")
+    first = F.struct(
+        F.lit(0).alias("step_no"), F.lit("unreadable_line").alias("step"), (F.col("total") + lost).alias("records_before"),
+        lost.alias("rejected"), F.col("total").alias("records_after"),
+    )
     rows = F.array(
+        *[first] * bool(unreadable),
         *[
             F.struct(
                 F.lit(n).alias("step_no"),
@@ -95,17 +103,29 @@ def step_audit(tagged: DataFrame, steps: Sequence[str] = STEPS) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def reconciliation(tagged: DataFrame) -> DataFrame:
-    """Start, removed, expected and final counts, and whether they agree."""
+def reconciliation(
+    tagged: DataFrame, final: DataFrame | None = None, read: int | None = None, unreadable: int = 0
+) -> DataFrame:
+    """Start, removed, expected and final counts, and whether they agree.
+
+    The start is what the scan read, unreadable lines included, and the end the final table;
+    either is taken from the tagged records where it is not given.
+    """
     keep = F.col("reject_step").isNull()
-    final = F.count(F.when(keep, 1))
-    removed = F.count("reject_step")
-    return tagged.agg(
-        F.count("*").alias("start_count"),
+    counts = tagged.agg(
+        (F.lit(read) if read is not None else F.count("*")).cast("bigint").alias("start_count"),
+        F.count("reject_step").alias("total_removed"),
+        F.count(F.when(keep, 1)).alias("kept"),
+    )
+    if final is not None:
+        counts = counts.drop("kept").crossJoin(final.agg(F.count("*").alias("kept")))  # one row each
+    start, removed = F.col("start_count") + F.lit(unreadable), F.col("total_removed") + F.lit(unreadable)
+    return counts.select(
+        start.alias("start_count"),
         removed.alias("total_removed"),
-        final.alias("final_count"),
-        (F.count("*") - removed).alias("expected_final"),
-        F.when(F.count("*") - removed == final, "Match").otherwise("Mismatch").alias("status"),
+        F.col("kept").alias("final_count"),
+        (start - removed).alias("expected_final"),
+        F.when(start - removed == F.col("kept"), "Match").otherwise("Mismatch").alias("status"),
     )
 
 
@@ -200,11 +220,6 @@ def cell_report(df: DataFrame, labels: Sequence[str] | None = None, description:
     )
 
 
-def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    """A few rows to look at (O2)."""
-    return df.limit(n)
-
-
 def panel_totals(df: DataFrame) -> DataFrame:
     """Records per channel."""
     return df.groupBy("channel").agg(F.count("*").alias("n_rows"))

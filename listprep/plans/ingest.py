@@ -31,10 +31,17 @@ def manufacturer_settings(manufacturer: str) -> dict:
     }
 
 
-def read_raw(spark: SparkSession, path: str, manufacturer: str, config: Mapping) -> tuple[DataFrame, DataFrame | None]:
-    """The file as text columns, and its lines with too many fields where these are told apart."""
+def read_raw(
+    spark: SparkSession, path: str, manufacturer: str, config: Mapping, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
+    """The file as text columns, and its lines that cannot be read where these are told apart.
+
+    With ``multi_line``, quoted fields may hold line breaks.
+    """
     if manufacturer.lower().strip() in POSITIONAL:
         return files.scan_positional(spark, path, config["columns"], config.get("optional_columns", ())), None
+    if multi_line:
+        return files.scan_csv(spark, path, files.detect_delimiter(files.header_line(spark, path)), multi_line=True), None
     return files.split_bad_lines(files.scan_lines(spark, path))
 
 
@@ -44,8 +51,10 @@ def standard_columns(raw: DataFrame, manufacturer: str, config: Mapping) -> Data
     if name in POSITIONAL:
         return raw
     columns: Mapping[str, str] = config.get("columns", {})
+    layout: Mapping = {}
     if name in TWO_LAYOUTS:
-        columns = files.choose_layout(raw.columns, config["legacy_mapping"], config["current_mapping"])["columns"]
+        layout = files.choose_layout(raw.columns, config["legacy_mapping"], config["current_mapping"])
+        columns = layout["columns"]
         df = headers.rename_aliases(raw)
         df = headers.drop_repeated(df, headers.tidy_names(df.columns, case=None))
     else:
@@ -59,7 +68,7 @@ def standard_columns(raw: DataFrame, manufacturer: str, config: Mapping) -> Data
         df = shape.fill_extra(df)
     if name in TWO_LAYOUTS:
         df = shape.fill_model_code(df)
-    df = headers.add_missing(df, [*columns.values(), *config.get("optional_columns", ())])
+    df = headers.add_missing(df, [*columns.values(), *config.get("optional_columns", ()), *layout.get("optional_columns", ())])
     if name in SPLIT_ZIP and "zip_code" in df.columns:
         five, four = zip_plus4(F.col("zip_code"))
         df = df.withColumns({"zip_code5": five, "zip4": four})
@@ -67,8 +76,13 @@ def standard_columns(raw: DataFrame, manufacturer: str, config: Mapping) -> Data
 
 
 def ingest(raw: DataFrame, manufacturer: str, config: Mapping, key: str | None = None) -> DataFrame:
-    """Standard records with ``row_id``, blank text as NULL."""
+    """Standard records with ``row_id``, blank text as NULL.
+
+    The rows are numbered by file and place unless a key is given, which has to be a number,
+    there in every row and unique; columns are checked before anything is written.
+    """
     df = files.blanks_to_null(standard_columns(raw, manufacturer, config))
+    required(df)
     return files.with_row_id(df, key)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +33,7 @@ class Inputs:
     start_number: int
     exclusions: Sequence[str] = ()
     row_key: str | None = None
+    multi_line: bool = False
 
     def required_paths(self) -> dict[str, str]:
         names = (
@@ -67,17 +68,18 @@ def process(spark: SparkSession, inputs: Inputs) -> pipeline.Result:
     files.check_paths(spark, inputs.required_paths())
     settings, vin_rules = load_settings(spark, inputs)
     config = rules.load_yaml(spark, inputs.column_map)
-    raw, bad_lines = ingest.read_raw(spark, inputs.records, settings.manufacturer, config)
+    raw, bad_lines = ingest.read_raw(spark, inputs.records, settings.manufacturer, config, inputs.multi_line)
     records = ingest.ingest(raw, settings.manufacturer, config, inputs.row_key)
-    ingest.required(records)
     exclusions, _ = masters.read_exclusions(spark, inputs.exclusions)
     references = pipeline.References(
         vin_rules=vin_rules,
-        ucc_master=masters.ucc_master(masters.read_master(spark, inputs.ucc_master)),
-        description_master=masters.description_master(masters.read_master(spark, inputs.description_master)),
+        ucc_master=masters.ucc_master(masters.read_ordered_master(spark, inputs.ucc_master)),
+        description_master=masters.description_master(masters.read_ordered_master(spark, inputs.description_master)),
         exclusions=exclusions,
     )
     result = pipeline.run(records, settings, references)
+    unreadable = bad_lines.count() if bad_lines is not None else 0
+    result = replace(result, read=raw.count(), unreadable=unreadable)
     require_rows(result.final)
     write(spark, inputs, settings, result, bad_lines)
     return result

@@ -23,7 +23,7 @@ from ..functions.codes import purchase_lease_code
 from ..functions.dates import parse_purchase_date, purchase_month, purchase_year
 from ..functions.email import PANELS, clean_email, cleaned_channel
 from ..functions.geo import address_keys, zip2, zip5
-from ..functions.text import strip
+from ..functions.text import match_key, strip
 from ..functions.vin import VALID_MODEL_YEARS, clean_vin, model_year, prefix_brand, vin_segments
 from ..operators import dedup, enrich, panel, report, shape, validate
 from ..operators.lookup import fits_broadcast
@@ -78,9 +78,13 @@ class References:
 
 @dataclass(frozen=True)
 class Result:
+    """``read`` and ``unreadable``: records and bad lines counted at the scan, where there was one."""
+
     tagged: DataFrame
     final: DataFrame
-    file_source: str = ""
+    settings: Settings
+    read: int | None = None
+    unreadable: int = 0
 
     @property
     def rejected(self) -> DataFrame:
@@ -88,11 +92,11 @@ class Result:
 
     @property
     def audit(self) -> DataFrame:
-        return report.step_audit(self.tagged)
+        return report.step_audit(self.tagged, unreadable=self.unreadable)
 
     @property
     def reconciliation(self) -> DataFrame:
-        return report.reconciliation(self.tagged)
+        return report.reconciliation(self.tagged, self.final, self.read, self.unreadable)
 
     @property
     def counts(self) -> DataFrame:
@@ -100,7 +104,7 @@ class Result:
 
     @property
     def cell_report(self) -> DataFrame:
-        return report.cell_report(self.final, description="desc")
+        return report.cell_report(self.final, report.year_channel_labels(self.settings.valid_years), description="desc")
 
     @property
     def missing_ucc(self) -> DataFrame:
@@ -116,12 +120,14 @@ class Result:
 
     @property
     def default_cells(self) -> DataFrame:
-        return enrich.default_cell_rows(self.final)
+        # the UCC look-up tidied the codes
+        tidy = F.lit(self.settings.default_cell)
+        return enrich.default_cell_rows(self.final, match_key(tidy))
 
     @property
     def panels(self) -> DataFrame:
         """E-mail records in the panel layout with the panel file each belongs to."""
-        return panel.panel_files(panel.final_table(panel.with_chunks(self.final), self.file_source))
+        return panel.panel_files(panel.final_table(panel.with_chunks(self.final), self.settings.file_source))
 
 
 def prepare(df: DataFrame, settings: Settings) -> DataFrame:
@@ -152,7 +158,7 @@ def prepare(df: DataFrame, settings: Settings) -> DataFrame:
             **segments,
             "zip2": zip2(F.col("zip_code")),
             "modyy": model_year(segments["vin10"]),
-            "true_brand": prefix_brand(segments["vin13"]),
+            "true_brand": prefix_brand(segments["vin13"], F.coalesce(F.col("brand"), F.lit("")) if "brand" in df.columns else None),
             "channel": cleaned_channel(F.col("email")),
         }
     )
@@ -265,4 +271,4 @@ def run(df: DataFrame, settings: Settings, references: References) -> Result:
     """The job. The tagged rows and the final list are written once and read by every output."""
     tagged = materialise(tag(df, settings, references.exclusions), "tagged")
     final = materialise(enrich_kept(survivors(tagged), settings, references), "final")
-    return Result(tagged, final, settings.file_source)
+    return Result(tagged, final, settings)

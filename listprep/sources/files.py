@@ -19,9 +19,12 @@ LAYOUT_MARKER = "bapibus1006"
 SPLIT_ROWS = 1 << 33
 
 
-def scan_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header line."""
-    return spark.read.options(header=True, sep=sep, encoding=encoding, escape='"').csv(path)
+def scan_csv(
+    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header line (S1). With ``multi_line``, quoted fields may hold line breaks; each
+    file is then read by one task."""
+    return spark.read.options(header=True, sep=sep, encoding=encoding, escape='"', multiLine=multi_line).csv(path)
 
 
 def scan_positional(
@@ -31,9 +34,14 @@ def scan_positional(
     optional: Sequence[str] = (),
     sep: str = ",",
 ) -> DataFrame:
-    """CSV without a header line; columns are named by position."""
-    df = spark.read.options(header=False, sep=sep, escape='"').csv(path)
-    return name_positions(df, positions, optional)
+    """CSV without a header line; columns are named by position.
+
+    There are as many columns as the widest line has fields, so that no field is lost.
+    """
+    lines = spark.read.text(path).select(decoded(F.col("value")).alias("line"))
+    widest = lines.agg(F.max(unquoted_delimiters(F.col("line"), sep))).first()[0]
+    places = [f"_c{place}" for place in range(max(widest or 0, *positions) + 1)]
+    return name_positions(scan_lines(spark, path, sep, places).drop("bad_line"), positions, optional)
 
 
 def name_positions(df: DataFrame, positions: Mapping[int, str], optional: Sequence[str] = ()) -> DataFrame:
@@ -61,10 +69,10 @@ def check_paths(spark: SparkSession, paths: Mapping[str, str]) -> None:
 
 
 def header_line(spark: SparkSession, path: str) -> str:
-    first = spark.read.text(path).limit(1).collect()
+    first = spark.read.text(path).limit(1).select(decoded(F.col("value"))).collect()
     if not first:
         raise ValueError(f"{path} is empty")
-    return first[0][0].replace("﻿", "").rstrip("\r")
+    return first[0][0].replace("\ufeff", "").rstrip("\r")
 
 
 def detect_delimiter(line: str, candidates: Sequence[str] = DELIMITERS) -> str:
@@ -89,7 +97,7 @@ def scan_lines(
     """Line-wise CSV scan that decides the character set of every line by itself.
 
     Returns the text columns and ``bad_line``: the line itself when it has more fields than the
-    header, else NULL. Line breaks inside quotes need ``scan_csv``.
+    header or an odd number of quotes, else NULL. Line breaks inside quotes need ``scan_csv``.
     """
     first = header_line(spark, path) if names is None or sep is None else ""
     sep = sep or detect_delimiter(first)
@@ -103,7 +111,8 @@ def scan_lines(
     fields = ", ".join(f"c{place} string" for place in range(len(names)))
     parsed = F.from_csv(F.col("line"), F.lit(fields), {"sep": sep, "escape": '"'})
     too_many = unquoted_delimiters(F.col("line"), sep) >= len(names)
-    rows = lines.select(parsed.alias("row"), F.when(too_many, F.col("line")).alias("bad_line"))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    rows = lines.select(parsed.alias("row"), F.when(too_many | (quotes % 2 == 1), F.col("line")).alias("bad_line"))
     return rows.select(
         *[F.col(f"row.c{place}").alias(name) for place, name in enumerate(names)], "bad_line"
     )
@@ -139,7 +148,11 @@ def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     differently. The splits, not the rows, are then put in order; there is one line per split.
     """
     if key is not None:
-        return df.withColumn("row_id", headers.quoted(key).cast("bigint"))
+        keyed = df.withColumn("row_id", headers.quoted(key).try_cast("bigint"))
+        total, full, distinct = keyed.agg(F.count("*"), F.count("row_id"), F.count_distinct("row_id")).first()
+        if not total == full == distinct:
+            raise ValueError(f"{key} is no key: {total - full} of {total} rows lack a number, {full - distinct} repeat one")
+        return keyed
     split = {"_file": F.input_file_name(), "_start": F.expr("input_file_block_start()"), "_part": F.spark_partition_id()}
     placed = df.withColumns({**split, "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(SPLIT_ROWS - 1))})
     placed = materialise(placed, "numbered-input")

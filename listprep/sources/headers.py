@@ -38,10 +38,6 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def with_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.toDF(*names)
-
-
 def tidy_names(names: Iterable[str], case: str | None = "lower") -> list[str]:
     """Stripped names, optionally in one case; a byte-order mark is dropped."""
     names = [name.replace("﻿", "").strip() for name in names]

@@ -6,13 +6,13 @@ import logging
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_key, match_key, strip
 from ..functions.vin import four_digit_year
 from . import headers
-from .files import detect_delimiter, header_line, scan_csv, scan_lines, split_bad_lines
+from .files import detect_delimiter, header_line, scan_csv, scan_lines, split_bad_lines, with_row_id
 
 log = logging.getLogger(__name__)
 
@@ -25,21 +25,39 @@ def drop_empty(df: DataFrame) -> DataFrame:
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
-    """A master CSV with tidy headers, bad lines left out; an empty one is an error."""
-    rows, _ = split_bad_lines(scan_lines(spark, path))
-    rows = drop_empty(headers.drop_repeated(rows, headers.tidy_names(rows.columns)))
-    if not rows.columns or rows.isEmpty():
+    """A master CSV with tidy headers, without its bad lines, which are counted in the log; an
+    empty one is an error (S9)."""
+    return read_ordered_master(spark, path).drop("row_id")
+
+
+def read_ordered_master(spark: SparkSession, path: str) -> DataFrame:
+    """``read_master`` written once, with ``row_id`` in the order of file name and place in the
+    file, which says which of several rows with one key is the first."""
+    rows, bad_lines = split_bad_lines(scan_lines(spark, path))
+    if unreadable := bad_lines.count():
+        log.warning("%s: %d lines have too many fields or open quotes and are left out", path, unreadable)
+    rows = headers.drop_repeated(rows, headers.tidy_names(rows.columns)).dropna("all")
+    numbered = with_row_id(rows.drop("row_id"))
+    rows = drop_empty(numbered)
+    if rows.columns == ["row_id"] or numbered.isEmpty():
         raise ValueError(f"{path} holds no rows")
     return rows
 
 
+def _order(df: DataFrame, ord_column: str | None) -> Column:
+    """The column that says which of several rows with one key is the first."""
+    if ord_column is None and "row_id" in df.columns:
+        ord_column = "row_id"
+    return F.col(ord_column) if ord_column else F.monotonically_increasing_id()
+
+
 def ucc_master(df: DataFrame, ord_column: str | None = None) -> DataFrame:
     """(ord, cell, modyy, ucc, description) from any accepted header spelling."""
     cell = headers.resolve(df.columns, headers.CELL_NAMES, "cell")
     year = headers.resolve(df.columns, headers.YEAR_NAMES, "model year")
     ucc = headers.resolve(df.columns, headers.UCC_NAMES, "UCC")
     description = headers.resolve(df.columns, ("description",))
-    order = F.col(ord_column) if ord_column else F.monotonically_increasing_id()
+    order = _order(df, ord_column)
     text = headers.quoted(description) if description else F.lit(None).cast("string")
     return df.select(
         order.cast("bigint").alias("ord"),
@@ -56,7 +74,7 @@ def description_master(df: DataFrame, ord_column: str | None = None) -> DataFram
     name = next((n for n in df.columns if "description" in n.strip().lower()), None)
     if name is None:
         raise ValueError(f"no description column in {df.columns}")
-    order = F.col(ord_column) if ord_column else F.monotonically_increasing_id()
+    order = _order(df, ord_column)
     return df.select(
         order.cast("bigint").alias("ord"),
         cell_key(headers.quoted(cell)).alias("cell"),

@@ -105,3 +105,13 @@ def test_electric_word_inside_a_word(spark):
     df = spark.createDataFrame([("Chevrolet",), ("EV Sedan",), (None,)], "m string")
     flags = df.select(codes.electric_flag([F.col("m")]), codes.electric_flag([F.col("m")], whole_words=True)).collect()
     assert [tuple(r) for r in flags] == [("1", "0"), ("1", "1"), ("0", "0")]
+
+
+def test_general_dates(apply):
+    forms = {
+        "2025-06-17 09:36": datetime(2025, 6, 17, 9, 36), "06-17-2025": datetime(2025, 6, 17),
+        "2025-06-17T09:36:08Z": datetime(2025, 6, 17, 9, 36, 8), "2025-06-17T09:36:08+00:00": datetime(2025, 6, 17, 9, 36, 8),
+        "17 June 2025 10:00": datetime(2025, 6, 17, 10), "June 17 2025": datetime(2025, 6, 17), "Jun 2025": datetime(2025, 6, 1),
+        "2025-6-7": datetime(2025, 6, 7), "2025-06": datetime(2025, 6, 1), "2025-13-01": None, "31-31-2025": None, "soon": None,
+    }
+    assert apply(dates.general_date, *forms) == list(forms.values())

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import column
-from listprep.operators import shape
+from listprep.operators import enrich, shape
+from listprep.plans import ingest
 from listprep.sources import files, headers, masters, rules
 
 
@@ -170,3 +171,37 @@ def test_exclusion_files(spark, tmp_path):
     assert sorted(r[0] for r in found.collect()) == ["ABC", "DEF"]
     assert skipped == paths[2:]
     assert masters.read_exclusions(spark, paths[2:])[0] is None
+
+
+def test_a_key_has_to_be_complete_and_unique(rows):
+    for values in ((("7",), ("7",)), (("7",), (None,)), (("7",), ("x",))):
+        with pytest.raises(ValueError, match="is no key"):
+            files.with_row_id(rows("k", *values), "k")
+
+
+def test_headerless_scan_keeps_the_fields_of_wider_lines(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes('1,V1\n2,V2,EXTRA\n3,"José, B"\n'.encode("latin-1"))
+    found = files.scan_positional(spark, str(tmp_path / "in.csv"), {0: "id", 1: "vin"}, optional=["more"])
+    assert found.columns == ["id", "vin", "col2", "more"]
+    assert sorted(map(tuple, found.collect())) == [("1", "V1", None, None), ("2", "V2", "EXTRA", None), ("3", "José, B", None, None)]
+
+
+def test_a_header_in_latin_1_is_no_record(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes("id,Prénom\n1,José\n".encode("latin-1"))
+    found = files.scan_lines(spark, str(tmp_path / "in.csv"))
+    assert found.columns == ["id", "Prénom", "bad_line"] and found.count() == 1
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('id,name\n1,"two\nlines"\n2,one\n')
+    assert {r.bad_line for r in files.scan_lines(spark, str(tmp_path / "in.csv")).collect()} == {'1,"two', 'lines"', None}
+    raw, bad_lines = ingest.read_raw(spark, str(tmp_path / "in.csv"), "kia", {}, multi_line=True)
+    assert bad_lines is None and sorted(map(tuple, raw.collect())) == [("1", "two\nlines"), ("2", "one")]
+
+
+def test_the_first_row_of_a_master_is_the_first_by_file_name(spark, tmp_path, caplog):
+    (tmp_path / "a.csv").write_text("cell,description\n12,first\n13,x,y\n")
+    (tmp_path / "b.csv").write_text("cell,description\n12,second\n" + "".join(f"{n},d\n" for n in range(100, 3000)))
+    master = masters.description_master(masters.read_ordered_master(spark, str(tmp_path)))
+    assert enrich.unique_descriptions(master).filter("cell = '12'").first().description_long == "first"
+    assert "1 lines" in caplog.text

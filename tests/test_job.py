@@ -1,6 +1,9 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from listprep.operators import report
 from listprep.plans import ingest, job
 from listprep.sources.files import check_paths, scan_csv
 
@@ -104,3 +107,29 @@ def test_other_manufacturers(spark, rows):
     bmw = ingest.standard_columns(rows("Address_1, Home_Phone", (" 1  Main ", "5")), "bmw", {"columns": {}}).first()
     assert (bmw.address_line1, bmw.phone) == ("1 Main", "5")
     assert ingest.manufacturer_settings("Mercedes")["check_sales_type"] and not ingest.manufacturer_settings("mini")["check_sales_type"]
+
+
+def test_reports_follow_the_settings_of_the_run(result):
+    assert result.default_cells.count() == 1
+    years = {name for name in result.cell_report.columns if name.startswith("Year ")}
+    assert years == set(report.year_channel_labels(result.settings.valid_years))
+
+
+def test_unreadable_lines_are_the_first_step(result):
+    first = result.audit.orderBy("step_no").first()
+    assert (first.step, first.rejected, first.records_before) == ("unreadable_line", 1, 9)
+    counts = result.reconciliation.first()
+    assert (counts.start_count, counts.total_removed, counts.final_count, counts.status) == (9, 6, 3, "Match")
+
+
+def test_a_lost_record_is_a_mismatch(result):
+    lost = replace(result, final=result.final.limit(2)).reconciliation.first()
+    more = replace(result, read=result.read + 1).reconciliation.first()
+    assert (lost.status, lost.final_count, more.status) == ("Mismatch", 2, "Mismatch")
+
+
+def test_columns_are_checked_before_anything_is_written(spark, inputs, tmp_path):
+    (tmp_path / "records.csv").write_text("id,name\n1,x\n")
+    with pytest.raises(ValueError):
+        job.process(spark, replace(inputs, records=str(tmp_path / "records.csv"), output=str(tmp_path / "out")))
+    assert not (tmp_path / "out").exists()
