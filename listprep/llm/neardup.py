@@ -41,7 +41,7 @@ from .tables import arrow_map, free_names, ship
 COORDINATES = 10
 MISS = 1e-5
 LIST = 32
-BLOCK = 1024
+BLOCK = 512
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>"
 
