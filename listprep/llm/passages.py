@@ -35,12 +35,12 @@ SPAN = 20
 GAP = 60
 SHINGLE = 5
 PERCENT = 80
-RECALL = 0.995
+RECALL = 0.99
 MOST_HASHES = 24
 
 UNITS = (
     "doc_id long, copy long, segment int, start int, end int, n_words int, size int, set_a long, set_b long, "
-    "signature array<long>"
+    "bands array<long>"
 )
 
 
@@ -71,7 +71,7 @@ def _cut(texts: pa.Array) -> tuple[words.Words, words.Words, np.ndarray, np.ndar
     return found, words.within(found, first), owner, place
 
 
-def _units(documents: DataFrame, shingle: int, hashes: int, least: int) -> DataFrame:
+def _units(documents: DataFrame, shingle: int, bands: int, rows: int, least: int) -> DataFrame:
     def per_batch(batch):
         texts = batch.column("text")
         for i, j in words.slices(texts):
@@ -89,14 +89,17 @@ def _units(documents: DataFrame, shingle: int, hashes: int, least: int) -> DataF
             once, bounds = runs[new], np.concatenate([[0], np.cumsum(new)])[first]
             size = np.diff(bounds)
             keys = [np.add.reduceat(words.mix(once ^ np.uint64(salt)), bounds[:-1]) for salt in (0, words._BASE)]
-            signature = words.minhash(once, bounds, hashes)[use]
+            signature = words.minhash(once, bounds, bands * rows)[use].reshape(-1, bands, rows)
+            banded = np.zeros((len(use), bands), dtype=np.uint64)
+            for k in range(rows):
+                banded = words.mix(banded + signature[:, :, k] + np.uint64(k + 1))
+            banded += np.arange(bands, dtype=np.uint64)
             begin, end = parts.start[parts.first[:-1]][use], parts.end[parts.first[1:] - 1][use]
             chars = [words.char_places(found.data, found.text_start, owner[use], at).astype(np.int32) for at in (begin, end)]
-            rows = pa.array(owner[use])
-            flat = pa.array(signature.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(use) + 1) * hashes, hashes, dtype=np.int32)), flat)
+            flat = pa.array(banded.view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(use) + 1) * bands, bands, dtype=np.int32)), flat)
             numbers = [place[use].astype(np.int32), *chars, n_words[use].astype(np.int32), size[use].astype(np.int32)]
-            ids = [batch.column(name).slice(i, j - i).take(rows) for name in ("doc_id", "copy")]
+            ids = [batch.column(name).slice(i, j - i).take(pa.array(owner[use])) for name in ("doc_id", "copy")]
             keys = [pa.array(key[use].view(np.int64)) for key in keys]
             yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, numbers), *keys, lists], names=[c.split()[0] for c in UNITS.split(", ")])
 
@@ -135,28 +138,24 @@ def repeats(
     occurrence)."""
     ship(documents.sparkSession)
     bands, rows = tuned_bands(percent / 100, recall)
-    units = materialise(_units(documents, shingle, bands * rows, least).withColumn("unit", F.monotonically_increasing_id()), "paragraphs")
-    classes = units.groupBy("set_a", "set_b").agg(F.min("unit").alias("node"), F.count("*").alias("copies"))
+    units = materialise(_units(documents, shingle, bands, rows, least).withColumn("unit", F.monotonically_increasing_id()), "paragraphs")
+    # the bands follow from the set and are carried along
+    classes = units.groupBy("set_a", "set_b", "size", "bands").agg(F.min("unit").alias("node"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
-    facts = units.join(classes.select(F.col("node").alias("unit")), "unit", "left_semi")
-    facts = facts.select(F.col("unit").alias("node"), "size", "signature", "doc_id", "copy", "segment")
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
-    posted = facts.select("node", F.explode(band).alias("value"))
+    posted = classes.select("node", F.explode("bands").alias("value"))
     lengths = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
     lists = materialise(posted.join(lengths, "value"), "lists")
-    alone = facts.join(lists.select("node").distinct(), "node", "left_semi")
-    alone = materialise(alone, "colliding")
+    colliding = classes.join(lists.select("node").distinct(), "node", "left_semi")
+    colliding = materialise(colliding.select("node", "size", F.col("bands").alias("signature")), "colliding")
+    whereabouts = units.select(F.col("unit").alias("node"), "doc_id", "copy", "segment")
+    # classes that share a list agree on one band at least
     edges = links(
-        lists,
-        alone.select("node", "size", "signature"),
-        lambda wanted: _sets_of(documents, alone.join(wanted, "node", "left_semi").select("node", "doc_id", "copy", "segment"), shingle),
-        1,
-        percent,
+        lists, colliding, lambda wanted: _sets_of(documents, whereabouts.join(wanted, "node", "left_semi"), shingle), 1, percent
     )
     found = components(materialise(edges, "links"))
     # classes that occur once and link with nothing have no repeats
     linked = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
-    groups = classes.join(linked, "node", "left").filter("copies > 1 or component is not null")
+    groups = classes.drop("bands").join(linked, "node", "left").filter("copies > 1 or component is not null")
     groups = materialise(groups.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "groups")
     places = units.select("doc_id", "copy", "segment", "start", "end", "n_words", "set_a", "set_b")
     places = materialise(places.join(groups, ["set_a", "set_b"]).drop("set_a", "set_b"), "places")
