@@ -31,6 +31,8 @@ from .tables import arrow_map
 SAMPLE = 4000
 STEPS = 250
 PENALTY = 1e-3
+#: Most lines of a chain while the field is fitted; scores use whole documents.
+LONGEST = 256
 #: Lines of one chain whose states are worked out in one go; only the memory depends on it.
 GROUP_LINES = 1 << 16
 
@@ -174,10 +176,12 @@ def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = STEPS
     # every document and either label weighs the same
     share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) / lines
     weight = np.repeat(share, lines)
+    # the chains of long documents are cut, as a chain's lines follow each other in time
+    first = np.unique(np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(first, first[1:])] + [first[-1:]]))
     theta, moment, power = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
     observed = np.zeros((2, 2))
     for mark in (0, 1):
-        observed[mark, mark] = (lines[labels == mark] - 1).sum()
+        observed[mark, mark] = (np.diff(first)[state[first[:-1]] == mark] - 1).sum()
     for step in range(1, steps + 1):
         good, pairs, _ = marginals(x @ theta[:WIDTH], first, theta[WIDTH:].reshape(2, 2))
         gradient = np.concatenate([x.T @ (weight * (good - state)), ((pairs - observed) / lines.sum()).ravel()])
