@@ -184,7 +184,9 @@ def test_packed_pieces_are_the_documents(spark, partition):
     ordered = got.sort_values(["sequence_id", "offset"])
     ends = ordered.groupby("sequence_id").length.cumsum()
     assert (ends <= 1024).all() and (ends - ordered.length == ordered.offset).all()
-    assert got.sequence_id.nunique() <= -(-total // 1024) + 3
+    assert total == got.length.sum() and (got.bound <= got.bins).all()
+    # few more than no packing can do without
+    assert got.sequence_id.nunique() <= packing.lower_bound(got.length.to_numpy(), 1024) + 3
 
 
 def test_no_documents_are_packed_into_nothing(spark):
