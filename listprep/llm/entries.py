@@ -97,6 +97,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_top_k": topk.SQL,
-        "op5_licenses": op5_licenses,
         "op6_line_dedup": linededup.SQL.format(documents="documents"),
     }
