@@ -519,16 +519,14 @@ def column_aliases(spark, sf_dir):
 
 @query
 def address_consolidation(spark, sf_dir):
+    line = F.col("address_line1")
     raw = vehicle_sales(spark, sf_dir).select(
-        "row_id", F.col("address_line1").alias("address_1"), F.concat(F.lit("  Unit   "), "city").alias("address_2")
+        "row_id", line.alias("kept_line"), line.alias("address_1"), F.concat(F.lit("  Unit   "), "city").alias("address_2")
     )
-    split = shape.consolidate_address(raw, "split")
-    house = shape.consolidate_address(
-        raw.select("row_id", F.col("address_1").alias("address_line1"), F.lit("No 7").alias("address_house_no")), "house"
-    )
-    return split.select("row_id", F.col("address_line1").alias("split_line")).join(
-        house.select("row_id", F.col("address_line1").alias("house_line")), "row_id"
+    split = shape.consolidate_address(raw, "split").select(
+        "row_id", line.alias("split_line"), F.col("kept_line").alias("address_line1"), F.lit("No 7").alias("address_house_no")
     )
+    return shape.consolidate_address(split, "house").select("row_id", "split_line", line.alias("house_line"))
 
 
 @query
