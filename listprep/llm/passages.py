@@ -35,13 +35,11 @@ SPAN = 20
 GAP = 60
 SHINGLE = 5
 PERCENT = 80
-RECALL = 0.99
+RECALL = 0.995
 MOST_HASHES = 24
 
-UNITS = (
-    "doc_id long, copy long, segment int, start int, end int, n_words int, size int, set_a long, set_b long, "
-    "bands array<long>"
-)
+PLACES = "doc_id long, copy long, segment int, start int, end int, n_words int, set_a long, set_b long"
+BANDED = "doc_id long, copy long, segment int, size int, set_a long, set_b long, bands array<long>"
 
 
 def tuned_bands(similarity: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -71,7 +69,18 @@ def _cut(texts: pa.Array) -> tuple[words.Words, words.Words, np.ndarray, np.ndar
     return found, words.within(found, first), owner, place
 
 
-def _units(documents: DataFrame, shingle: int, bands: int, rows: int, least: int) -> DataFrame:
+def _bands(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One value per band of every signature."""
+    signature = signature.reshape(-1, bands, rows)
+    banded = np.zeros((len(signature), bands), dtype=np.uint64)
+    for k in range(rows):
+        banded = words.mix(banded + signature[:, :, k] + np.uint64(k + 1))
+    return banded + np.arange(bands, dtype=np.uint64)
+
+
+def _units(documents: DataFrame, shingle: int, least: int, banding: tuple[int, int] | None = None) -> DataFrame:
+    """All paragraphs, with their bands or, without ``banding``, with their places."""
+
     def per_batch(batch):
         texts = batch.column("text")
         for i, j in words.slices(texts):
@@ -89,21 +98,22 @@ def _units(documents: DataFrame, shingle: int, bands: int, rows: int, least: int
             once, bounds = runs[new], np.concatenate([[0], np.cumsum(new)])[first]
             size = np.diff(bounds)
             keys = [np.add.reduceat(words.mix(once ^ np.uint64(salt)), bounds[:-1]) for salt in (0, words._BASE)]
-            signature = words.minhash(once, bounds, bands * rows)[use].reshape(-1, bands, rows)
-            banded = np.zeros((len(use), bands), dtype=np.uint64)
-            for k in range(rows):
-                banded = words.mix(banded + signature[:, :, k] + np.uint64(k + 1))
-            banded += np.arange(bands, dtype=np.uint64)
-            begin, end = parts.start[parts.first[:-1]][use], parts.end[parts.first[1:] - 1][use]
-            chars = [words.char_places(found.data, found.text_start, owner[use], at).astype(np.int32) for at in (begin, end)]
-            flat = pa.array(banded.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(use) + 1) * bands, bands, dtype=np.int32)), flat)
-            numbers = [place[use].astype(np.int32), *chars, n_words[use].astype(np.int32), size[use].astype(np.int32)]
-            ids = [batch.column(name).slice(i, j - i).take(pa.array(owner[use])) for name in ("doc_id", "copy")]
-            keys = [pa.array(key[use].view(np.int64)) for key in keys]
-            yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, numbers), *keys, lists], names=[c.split()[0] for c in UNITS.split(", ")])
-
-    return arrow_map(_rows(documents), UNITS, per_batch)
+            columns = [batch.column(name).slice(i, j - i).take(pa.array(owner[use])) for name in ("doc_id", "copy")]
+            columns.append(pa.array(place[use].astype(np.int32)))
+            sets = [pa.array(key[use].view(np.int64)) for key in keys]
+            if banding:
+                values = _bands(words.minhash(once, bounds, banding[0] * banding[1])[use], *banding)
+                flat = pa.array(values.view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, banding[0], dtype=np.int32)), flat)
+                columns += [pa.array(size[use].astype(np.int32)), *sets, lists]
+            else:
+                begin, end = parts.start[parts.first[:-1]][use], parts.end[parts.first[1:] - 1][use]
+                chars = [words.char_places(found.data, found.text_start, owner[use], at).astype(np.int32) for at in (begin, end)]
+                columns += [*map(pa.array, chars), pa.array(n_words[use].astype(np.int32)), *sets]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    schema = BANDED if banding else PLACES
+    return arrow_map(_rows(documents), schema, per_batch)
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -138,26 +148,26 @@ def repeats(
     occurrence)."""
     ship(documents.sparkSession)
     bands, rows = tuned_bands(percent / 100, recall)
-    units = materialise(_units(documents, shingle, bands, rows, least).withColumn("unit", F.monotonically_increasing_id()), "paragraphs")
-    # the bands follow from the set and are carried along
-    classes = units.groupBy("set_a", "set_b", "size", "bands").agg(F.min("unit").alias("node"), F.count("*").alias("copies"))
-    classes = materialise(classes, "classes")
+    # the bands follow from the set and are carried along; places are not needed before the end, and read from the texts then
+    units = _units(documents, shingle, least, (bands, rows))
+    classes = units.groupBy("set_a", "set_b", "size", "bands").agg(F.min(F.struct("doc_id", "copy", "segment")).alias("at"), F.count("*").alias("copies"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     posted = classes.select("node", F.explode("bands").alias("value"))
     lengths = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
     lists = materialise(posted.join(lengths, "value"), "lists")
+    # classes that share a list agree on one band at least: no signature is compared
     colliding = classes.join(lists.select("node").distinct(), "node", "left_semi")
-    colliding = materialise(colliding.select("node", "size", F.col("bands").alias("signature")), "colliding")
-    whereabouts = units.select(F.col("unit").alias("node"), "doc_id", "copy", "segment")
-    # classes that share a list agree on one band at least
+    colliding = materialise(colliding.select("node", "size", F.array().cast("array<long>").alias("signature")), "colliding")
+    whereabouts = classes.select("node", "at.*")
     edges = links(
-        lists, colliding, lambda wanted: _sets_of(documents, whereabouts.join(wanted, "node", "left_semi"), shingle), 1, percent
+        lists, colliding, lambda wanted: _sets_of(documents, whereabouts.join(wanted, "node", "left_semi"), shingle), 0, percent
     )
     found = components(materialise(edges, "links"))
     # classes that occur once and link with nothing have no repeats
     linked = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
-    groups = classes.drop("bands").join(linked, "node", "left").filter("copies > 1 or component is not null")
+    groups = classes.select("set_a", "set_b", "node", "copies").join(linked, "node", "left").filter("copies > 1 or component is not null")
     groups = materialise(groups.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "groups")
-    places = units.select("doc_id", "copy", "segment", "start", "end", "n_words", "set_a", "set_b")
+    places = _units(documents, shingle, least)
     places = materialise(places.join(groups, ["set_a", "set_b"]).drop("set_a", "set_b"), "places")
     here = F.struct("doc_id", "copy", "segment")
     first = materialise(places.groupBy("component").agg(F.min(here).alias("first")), "firsts")

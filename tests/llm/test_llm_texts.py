@@ -114,6 +114,19 @@ def test_bands_reach_the_recall():
         assert rows == 1 or 1 - (1 - similarity**rows) ** bands >= recall
 
 
+def test_the_recall_in_use_misses_few_pairs_at_the_similarity(spark):
+    """Pairs of paragraphs at Jaccard 0.8 exactly (16 of 20 shingles), against comparing each with its own."""
+    rows = []
+    for g in range(4000):
+        own = [f"g{g}x{k}" for k in range(22)]
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join([*own[:20], f"g{g}y", f"g{g}z"]))]
+    assert all(c == i - i % 2 for i, _, c in brute(rows[:40], 5, 80))
+    got = {r.doc_id for r in passages.repeats(documents(spark, rows)).collect()}
+    assert got <= set(range(1, 8000, 2)) and len(got) >= 0.995 * 4000
+    bands, per_band = passages.tuned_bands(passages.PERCENT / 100, passages.RECALL)
+    assert (1 - (passages.PERCENT / 100) ** per_band) ** bands <= 0.005
+
+
 # --- licences ----------------------------------------------------------------------------
 
 
