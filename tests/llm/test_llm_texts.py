@@ -127,6 +127,40 @@ def test_the_recall_in_use_misses_few_pairs_at_the_similarity(spark):
     assert (1 - (passages.PERCENT / 100) ** per_band) ** bands <= 0.005
 
 
+def test_passages_of_short_lines_and_in_long_stretches_are_found(spark):
+    rng = random.Random(21)
+    word = lambda tag: f"{tag}{rng.randrange(10**7)}"
+    shared = [word("s") for _ in range(60)]
+    shapes = {
+        "verse": "\n".join(" ".join(shared[k : k + 3]) for k in range(0, 60, 3)),
+        "cries": " ".join(w + "!!" for w in shared),
+        "stretch": " ".join(shared),
+        "mixed": " ".join(" ".join(shared[k : k + n]) + "." for k, n in ((0, 6), (6, 5), (11, 9))),
+    }
+    rows, edge = [], {"verse": 15, "cries": 15, "stretch": 15, "mixed": 0}
+    shapes = {name: text.replace("s", name[0]) for name, text in shapes.items()}
+    for n, (name, text) in enumerate(shapes.items()):
+        for k in range(2):
+            around = [" ".join(word("o") for _ in range(90 + 7 * k)) for _ in range(2)]
+            between = " " if name == "stretch" else "\n"
+            rows.append((10 * n + k, around[0] + between + text + between + around[1]))
+    found = {r.doc_id: r for r in passages.repeats(documents(spark, rows)).collect()}
+    assert sorted(found) == [1, 11, 21, 31]
+    for n, (name, text) in enumerate(shapes.items()):
+        cut = dict(rows)[10 * n + 1][found[10 * n + 1].start : found[10 * n + 1].end]
+        assert cut in text and len(cut.split()) >= len(text.split()) - 2 * edge[name]
+        assert found[10 * n + 1].n_words == len(cut.split())
+
+
+def test_a_long_paragraph_is_no_repeat_of_its_parts(spark):
+    rng = random.Random(22)
+    once = " ".join(f"u{rng.randrange(10**7)}" for _ in range(200))
+    rows = [(1, once), (2, "na " * 300), (3, " ".join(f"v{k}" for k in range(90)))]
+    assert passages.repeats(documents(spark, rows)).count() == 0
+    again = passages.repeats(documents(spark, [*rows, (9, once)])).collect()
+    assert [(r.doc_id, r.start, r.end, r.n_words, r.paragraphs) for r in again] == [(9, 0, len(once), 200, 1)]
+
+
 # --- licences ----------------------------------------------------------------------------
 
 
