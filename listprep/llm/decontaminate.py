@@ -4,7 +4,7 @@ A seed is a fixed mask over consecutive words: the hash of a window takes the wo
 mask's ones and ignores the others, so that a changed word breaks a hit only where the mask
 looks at it. Seeds of the benchmark and of the documents are joined on the hash; around every
 hit the item is laid over the document (item word ``i`` on document word ``diagonal + i``) and
-the stretch of words that agree well enough is measured.
+the longest stretch of words that agree well enough is measured.
 
 Words are runs of letters, digits and non-ASCII bytes in lower case; other ASCII characters
 separate them. An item with fewer words than the longest mask is searched with no seeds and
@@ -15,6 +15,7 @@ part. Rows that repeat an ``item_id`` or a ``doc_id`` count as separate texts un
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from ..storage import materialise
 from . import words
 from .tables import arrow_map
 
-#: Spans of 11 words, of which 6 have to agree.
-MASKS = ("11010010011", "10110001101", "11001101001")
+#: Spans of 11 words, of which 6 have to agree, and 6 words in a row, which changed neighbours further on cannot hide.
+MASKS = ("11010010011", "10110001101", "11001101001", "111111")
 MIN_WORDS = 11
 MIN_AGREEMENT = 0.75
 #: Bits of the filter of benchmark hashes that goes to every task: 4 MB for each of two, whatever the benchmark's size.
@@ -140,16 +141,26 @@ def _scan(documents: DataFrame, seeds: DataFrame, masks: Sequence[str]) -> DataF
     return arrow_map(docs, HITS, per_batch)
 
 
-def _best_stretch(agree: np.ndarray, least: float) -> tuple[int, int]:
-    """The stretch that begins and ends with a word that agrees and scores highest, where a word
-    that agrees earns ``1 - least`` and any other costs ``least``: its share of agreement is at
-    least ``least``."""
-    gain = np.where(agree, 1 - least, -least)
-    sums = np.concatenate([[0.0], np.cumsum(gain)])
-    lowest = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lowest))
-    begin = int(np.argmin(sums[: end + 1])) if end else 0
-    return begin, end
+def _best_stretch(agree: np.ndarray, least: float, min_words: int = 1) -> tuple[int, int]:
+    """The longest stretch, and the first of those, of ``min_words`` words at least that begins and
+    ends with a word that agrees and whose share of agreement is ``least`` at least; else (0, 0)."""
+    share = Fraction(least).limit_denominator(10**6)
+    gain = np.where(agree, share.denominator - share.numerator, -share.numerator)
+    sums = np.concatenate([[0], np.cumsum(gain)])
+    # where the gain of a stretch is not negative, its share is reached; one that ends in a word that differs never is the longest
+    begins, ends = np.flatnonzero(agree), np.flatnonzero(agree) + 1
+    if len(begins) == 0:
+        return 0, 0
+    # begins that are lower than all before, and for every end the first of them that is low enough
+    low = np.minimum.accumulate(sums[begins])
+    first = np.searchsorted(-low, -sums[ends], side="left")
+    reached = first < len(begins)
+    begin, end = begins[first[reached]], ends[reached]
+    length = end - begin
+    if len(length) == 0 or length.max() < min_words:
+        return 0, 0
+    at = int(np.argmax(length))
+    return int(begin[at]), int(end[at])
 
 
 def overlaps(
@@ -160,7 +171,8 @@ def overlaps(
     min_agreement: float = MIN_AGREEMENT,
 ) -> DataFrame:
     """One row per document and item that share a stretch of at least ``min_words`` words of
-    which the share ``min_agreement`` agrees; of several stretches, the one with most agreement.
+    which the share ``min_agreement`` agrees; on one diagonal the longest, of several diagonals the one
+    with most agreement. A stretch in which no mask agrees is not found.
 
     ``doc_word``, ``item_word``: first word of the stretch in either text; ``n_words``: its
     length; ``n_agree``: words that agree; ``item_words``: length of the item.
@@ -199,8 +211,8 @@ def overlaps(
             if high - low < min_words:
                 continue
             agree = text[low + diagonal : high + diagonal] == item[low:high]
-            begin, end = _best_stretch(agree, min_agreement)
-            if end - begin >= min_words:
+            begin, end = _best_stretch(agree, min_agreement, min_words)
+            if end > begin:
                 begin, end = begin + low, end + low
                 same = int(agree[begin - low : end - low].sum())
                 out.append((doc_id, item_id, begin + diagonal, begin, end - begin, same, len(item)))

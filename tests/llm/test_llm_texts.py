@@ -274,3 +274,29 @@ def test_decontamination_of_odd_tables(spark, items):
     assert decontaminate.overlaps(documents(spark, []), bench(spark, items)).count() == 0
     assert decontaminate.overlaps(documents(spark, rows), bench(spark, [])).count() == 0
     assert re.fullmatch("[01]+", decontaminate.MASKS[0])
+
+
+def test_the_longest_stretch_is_that_of_all_begin_and_end_pairs():
+    import numpy as np
+
+    rng = random.Random(31)
+    for _ in range(400):
+        agree = [rng.random() < rng.choice((0.6, 0.75, 0.9)) for _ in range(rng.randint(0, 40))]
+        fit = [
+            (b, e)
+            for b in range(len(agree))
+            for e in range(b + 11, len(agree) + 1)
+            if agree[b] and agree[e - 1] and 4 * sum(agree[b:e]) >= 3 * (e - b)
+        ]
+        begin, end = decontaminate._best_stretch(np.array(agree, dtype=bool), 0.75, 11)
+        assert (end > begin) == bool(fit)
+        if fit:
+            assert (begin, end) == min(fit, key=lambda p: (-(p[1] - p[0]), p[0]))
+
+
+def test_a_short_clean_run_does_not_hide_a_longer_stretch(spark):
+    item = [f"q{k}" for k in range(24)]
+    passage = [*item[:10], "x", "x", "x", "x", *item[14:]]
+    rows = [(1, " ".join(["own"] * 5 + passage)), (2, " ".join(["own"] * 5 + item))]
+    found = decontaminate.overlaps(documents(spark, rows), bench(spark, [(7, " ".join(item))])).collect()
+    assert sorted((r.doc_id, r.doc_word, r.item_word, r.n_words, r.n_agree) for r in found) == [(1, 5, 0, 24, 20), (2, 5, 0, 24, 24)]
