@@ -2,8 +2,9 @@
 
 Texts and templates are normalised alike: lower case, words of letters and digits, cut into
 segments at ends of lines and sentences, no bigram across a cut. A passage that may be a
-template's text is a run of neighbouring segments each of which has at least half of its bigrams
-in the template (segments without bigrams may lie inside). Its Dice coefficient with the
+template's text is any stretch of bigrams that begins and ends with one of the template's, inside
+segments and over foreign ones; each end is moved out to its segment's end where the coefficient
+allows it. Its Dice coefficient with the
 template, 2 |A and B| / (|A| + |B|) over sets of bigrams, has to reach ``DICE``; a passage whose
 size alone rules that out is not compared: |A| must lie between d / (2 - d) and (2 - d) / d
 times |B|. Where passages of several templates overlap, the best one stands (higher coefficient,
@@ -153,36 +154,75 @@ class Matcher:
             out[place] = self.pairs[number] == pairs[place]
         return out
 
+    def _stretches(self, flat: list[int], places: list[int], k: int) -> list[tuple[float, int, int]]:
+        """Coefficient, first and last bigram of the best stretch from each of a template's bigrams in a text.
+
+        An end that recurs inside a stretch adds nothing to its set, so that a stretch from a
+        bigram ends before the next place of the same one.
+        """
+        own, m, d = self.sets[k], len(self.sets[k]), self.dice
+        least, most = d / (2 - d) * m, m * (2 - d) / d
+        # distinct foreign bigrams before each hit; None where they are too many for any stretch
+        gaps: list[set[int] | None] = [set()]
+        for a, b in zip(places, places[1:]):
+            gap = set(flat[a + 1 : b])
+            gaps.append(gap if len(gap) <= most else None)
+        found = []
+        for i, start in enumerate(places):
+            shared, foreign, best = {flat[start]}, set(), (0.0, 0, 0)
+            for j in range(i, len(places)):
+                if j > i:
+                    pair, gap = flat[places[j]], gaps[j]
+                    if pair == flat[start] or gap is None:
+                        break
+                    foreign |= gap
+                    if pair in shared:
+                        continue
+                    shared.add(pair)
+                if len(shared) + len(foreign) > most:
+                    break
+                if len(shared) >= least:
+                    dice = 2 * len(shared) / (len(shared) + len(foreign) + m)
+                    best = max(best, (dice, start, places[j]), key=lambda p: p[0])
+            if best[0] >= d and best[0] > 0:
+                found.append(best)
+        return found
+
     def passages(self, segments: list[list[int]]) -> list[tuple[int, float, int, int, int]]:
-        """Template, coefficient, bigrams, first and last segment of the best passages of a text,
+        """Template, coefficient, bigrams, first and last bigram of the best passages of a text,
         given the bigrams of each of its segments."""
+        flat = [pair for own in segments for pair in own]
+        begins, ends = [], []
+        for own in segments:
+            begins += [len(begins)] * len(own)
+            ends += [len(ends) + len(own) - 1] * len(own)
         hits: dict[int, list[int]] = {}
-        for number, own in enumerate(segments):
-            count: dict[int, int] = {}
-            for pair in set(own):
-                for k in self.holders.get(pair, ()):
-                    count[k] = count.get(k, 0) + 1
-            for k, n in count.items():
-                if 2 * n >= len(set(own)):
-                    hits.setdefault(k, []).append(number)
+        for number, pair in enumerate(flat):
+            for k in self.holders.get(pair, ()):
+                hits.setdefault(k, []).append(number)
         found = []
-        for k, numbers in hits.items():
-            run = [numbers[0]]
-            for number in [*numbers[1:], None]:
-                if number is not None and not any(segments[run[-1] + 1 : number]):
-                    run.append(number)
+        for k, places in hits.items():
+            template = self.sets[k]
+            if len({flat[p] for p in places}) < self.dice / (2 - self.dice) * len(template):
+                continue
+            taken = np.zeros(len(flat), dtype=bool)
+            # of one template, only stretches that overlap no better one go on
+            for _, a, b in sorted(self._stretches(flat, places, k), key=lambda p: (-p[0], p[1])):
+                if taken[a : b + 1].any():
                     continue
-                own = {pair for segment in segments[run[0] : run[-1] + 1] for pair in segment}
-                least = self.dice / (2 - self.dice)
-                if least * len(self.sets[k]) <= len(own) <= len(self.sets[k]) / least:
-                    dice = 2 * len(own & self.sets[k]) / (len(own) + len(self.sets[k]))
+                taken[a : b + 1] = True
+                for x, y in ((begins[a], ends[b]), (begins[a], b), (a, ends[b]), (a, b)):
+                    own = set(flat[x : y + 1])
+                    dice = 2 * len(own & template) / (len(own) + len(template))
                     if dice >= self.dice:
-                        found.append((k, dice, len(own), run[0], run[-1]))
-                run = [number]
+                        found.append((k, dice, len(own), x, y))
+                        break
         found.sort(key=lambda p: (-p[1], -p[2], p[0], p[3]))
         best: list[tuple[int, float, int, int, int]] = []
+        free = np.ones(len(flat), dtype=bool)
         for one in found:
-            if all(one[4] < other[3] or other[4] < one[3] for other in best):
+            if free[one[3] : one[4] + 1].all():
+                free[one[3] : one[4] + 1] = False
                 best.append(one)
         return sorted(best, key=lambda p: p[3])
 
@@ -191,24 +231,24 @@ def scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
     """One row per passage: ``doc_id``, ``license``, ``template`` (its place in the list),
     ``dice``, ``n_bigrams``, ``start`` and ``end`` (characters, the end not included)."""
     matcher = Matcher(templates, dice)
+    fewest = min((dice / (2 - dice) * len(own) for own in matcher.sets if own), default=0)
 
     def per_batch(batch):
         texts = batch.column("text")
         for i, j in words.slices(texts):
             found, first, pairs, at = _bigrams(texts.slice(i, j - i))
-            # segments that have half of their bigrams in templates at all
+            # texts with so many known bigrams as the shortest template asks for
             segment = np.searchsorted(first, at, side="right") - 1
-            total = np.bincount(segment, minlength=len(first))
-            known = np.bincount(segment, matcher.known(pairs), minlength=len(first))
             owner = np.searchsorted(found.first, first, side="right") - 1
+            known = np.bincount(owner[segment], matcher.known(pairs), minlength=j - i)
             begin = np.searchsorted(owner, np.arange(j - i + 1))
             bounds = np.searchsorted(segment, np.arange(len(first) + 1))
             rows = []
-            for k in np.unique(owner[(total > 0) & (2 * known >= total)]).tolist():
+            for k in np.flatnonzero((known > 0) & (known >= fewest)).tolist():
                 parts = [pairs[bounds[s] : bounds[s + 1]].tolist() for s in range(begin[k], begin[k + 1])]
                 for template, value, n, a, b in matcher.passages(parts):
-                    last = first[begin[k] + b + 1] if begin[k] + b + 1 < len(first) else len(found.start)
-                    span = np.array([found.start[first[begin[k] + a]], found.end[last - 1]])
+                    a, b = at[bounds[begin[k]] + a], at[bounds[begin[k]] + b] + 1
+                    span = np.array([found.start[a], found.end[b]])
                     start, end = words.char_places(found.data, found.text_start, np.array([k, k]), span).tolist()
                     rows.append((k, matcher.names[template], template, value, n, start, end))
             if rows:

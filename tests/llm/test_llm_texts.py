@@ -203,6 +203,16 @@ def test_licences_of_odd_tables(spark):
     assert licenses.scan(documents(spark, rows), templates=[]).count() == 0
 
 
+def test_foreign_lines_and_longer_sentences_do_not_hide_a_licence(spark):
+    first, second, third = dict(licenses.TEXTS)["MIT"].split("\n")
+    notice = "It is a book which he wrote alone and released under the MIT License last year, they say."
+    rows = [(1, f"Foo\n{first}\n{second}\nCopyright (c) 2001 by Some Body of Some Town\n{third}\nbar"), (2, notice)]
+    found = {r.doc_id: r for r in licenses.scan(documents(spark, rows)).collect()}
+    assert {k: r.license for k, r in found.items()} == {1: "MIT", 2: "MIT"}
+    assert rows[0][1][found[1].start : found[1].end] == f"{first}\n{second}\nCopyright (c) 2001 by Some Body of Some Town\n{third}".rstrip(".")
+    assert notice[found[2].start : found[2].end] == "released under the MIT License" and found[2].dice == 1.0
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 
