@@ -112,6 +112,45 @@ TEXTS = (
         "following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
 )
+_BSD = TEXTS[-1][1]
+_BSD_3 = (
+    "\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission."
+)
+_BSD_DISCLAIMER = (
+    '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public "
+    "License as published by the Free Software Foundation; either version {3} of the License, or (at your option) any later "
+    "version.\n"
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty "
+    "of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details."
+)
+TEXTS += (
+    ("BSD-2-Clause", _BSD + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", _BSD + _BSD_3),
+    ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_DISCLAIMER),
+    (
+        "ISC",
+        TEXTS[-2][1] + '\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+        "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("GPL-2.0", _GNU.format("program", ";", "", "2")),
+    ("LGPL-2.1", _GNU.format("library", ";", "Lesser ", "2.1")),
+    ("LGPL-3.0", _GNU.format("library", ":", "Lesser ", "3")),
+    ("LGPL-3.0", _GNU.format("program", ":", "Lesser ", "3")),
+    ("AGPL-3.0", _GNU.format("program", ":", "Affero ", "3")),
+)
 TEMPLATES = tuple((key, form.format(name)) for key, name in NAMES for form in FORMS) + TEXTS
 
 FOUND = "doc_id long, license string, template int, dice double, n_bigrams int, start int, end int"

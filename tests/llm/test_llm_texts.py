@@ -213,6 +213,13 @@ def test_foreign_lines_and_longer_sentences_do_not_hide_a_licence(spark):
     assert notice[found[2].start : found[2].end] == "released under the MIT License" and found[2].dice == 1.0
 
 
+def test_near_texts_get_their_own_names(spark):
+    extra = [(k, name, text) for k, (name, text) in enumerate(licenses.TEXTS)]
+    found = licenses.scan(documents(spark, [(k, f"Foo\n{text}\nbar") for k, _, text in extra])).collect()
+    assert sorted((r.doc_id, r.license) for r in found) == [(k, name) for k, name, _ in extra]
+    assert {"GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-3-Clause"} <= {name for _, name, _ in extra}
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 
