@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, neardup, packing, passages, quality, tokenfiles, topk, toxicity
-from ..storage import new_path
+from . import decontaminate, fim, licenses, linededup, neardup, packing, passages, periods, pieces, quality, tokenfiles, topk, toxicity
+from ..storage import materialise, new_path
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,41 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle on all documents: forms, lengths, and digests of output and restored text."""
+    stored = materialise(fim.store(table(spark, sf_dir, "documents")), "frames")
+    return fim.digests(fim.transform(stored))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents and the texts they decode to, as digests."""
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents and what is left when each is cut to one period."""
+    found = periods.find(periods.with_planted_runs(table(spark, sf_dir, "documents")))
+    ranked = F.transform("runs", lambda run: F.struct(run["length"].alias("length"), (-run["start"]).alias("before"), (-run["period"]).alias("shorter")))
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"]))
+    best = found.withColumns({"best": F.array_max(ranked), "lines": F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")})
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.shorter")).alias("period"),
+        F.expr("(1000 * best.length) div -best.shorter").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_top_k": op1_top_k,
@@ -91,6 +126,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_packing": op9_packing,
         "op10_decontaminate": op10_decontaminate,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 

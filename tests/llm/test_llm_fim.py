@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from listprep.llm import fim
+from listprep.llm import entries, fim
 
 SETTING = fim.Setting()
 
@@ -73,3 +73,17 @@ def test_empty_table_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "a\nb", "x", "y", 5)], "doc_id int, text string, frames string, form string, n int")
     assert fim.transform(fim.store(rows)).count() == 1
     assert fim.digests(fim.transform(fim.store(rows.limit(0)))).count() == 0
+
+
+def test_the_query_against_the_plain_version(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    got = entries.op11_fill_in_middle(spark, sf_dir)
+    assert got.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    expected = []
+    for row in rows:
+        *facts, output = plain_version(row["doc_id"], row["text"])
+        digests = [hashlib.sha256((t or "").encode()).hexdigest() for t in (output, row["text"])]
+        expected.append((row["doc_id"], *facts, *digests))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
