@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates, email, geo, text, vin
 from ..operators import dedup, enrich, numbering, panel, report, shape, unify, validate
-from ..sources import files, headers, masters
+from ..sources import files, headers, masters, records
 from ..storage import materialise, new_path
 from . import ingest, pipeline
 from .derived import BUSINESS_RULES, EMAIL_RULES, SETTINGS, STATE_ZIP_RULES
@@ -649,17 +650,112 @@ def master_scan(spark, sf_dir):
 @query
 def ingest_columns(spark, sf_dir):
     """A raw file with its own headers and a two-line address, as standard columns."""
-    raw = text_rows(spark, sf_dir).select(
+    rows = text_rows(spark, sf_dir).join(
+        vehicle_sales(spark, sf_dir).select(F.col("row_id").cast("string"), "city", "purchase_date"), "row_id"
+    )
+    raw = rows.select(
         F.col("row_id").alias("ORDER_NO"),
         F.col("first_name").alias("FIRST_NM"),
         F.col("address_line1").alias("ADDR_LINE1"),
         F.when(F.col("state") == "TX", F.concat(F.lit(" Unit "), "row_id")).alias("ADDR_LINE2"),
         F.col("zip_code").alias("ZIP_CODE"),
         F.col("vin").alias("MODEL_DESC"),
+        F.col("vin").alias("USA_VIN"),
+        F.col("email_addr").alias("EMAIL_ADDR"),
+        F.col("city").alias("Town"),
+        F.col("state").alias(" STATE_CD "),
+        F.col("purchase_date").alias("EFF_DT"),
     )
     config = {
-        "columns": {"first_nm": "first_name", "addr_line1": "address_line1", "addr_line2": "address_line2", "phone_no": "phone"},
+        "columns": {
+            "first_nm": "first_name", "addr_line1": "address_line1", "addr_line2": "address_line2", "phone_no": "phone",
+            "town": "city", "state_cd": "state", "eff_dt": "purchase_date",
+        },
         "optional_columns": ["extra1"],
     }
-    scanned, _ = ingest.read_raw(spark, written_csv(raw, "raw"), "mercedes", config)
-    return ingest.ingest(scanned, "mercedes", config, key="order_no")
+    scanned = ingest.read_raw(spark, written_csv(raw, "raw"), "mercedes", config)
+    return ingest.ingest(scanned.records, "mercedes", config, key="order_no")
+
+
+@contextmanager
+def small_splits(spark: SparkSession, size: int):
+    """Files are cut into splits of at most that many bytes."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written_lines(df: DataFrame, line: Column, path: str, n_files: int = 2, header: str | None = None, charset: str = "UTF-8") -> str:
+    """Text files of one line per row, as they are, in the order of ``row_id``, each with the header."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(files.SPLIT_ROWS - 1)) == 0
+    ordered = df.repartitionByRange(n_files, "row_id").sortWithinPartitions("row_id")
+    value = F.when(first, F.concat(F.lit(f"{header}\n"), line)).otherwise(line) if header else line
+    ordered.select(F.encode(value, charset).cast("string").alias("value")).write.text(path)
+    return path
+
+
+@query
+def quoted_line_breaks(spark, sf_dir):
+    """Fields over several lines, in files of two character sets that are cut into many splits."""
+    row = F.col("row_id")
+    note = F.when(row % 3 == 0, F.concat(F.lit('"Zürich\n, ""'), row, F.lit('""\n\nend"'))).when(row % 3 == 1, '5" pipe').otherwise('""')
+    line, folder = F.concat_ws(",", row, note, F.col("city")), new_path(spark, "quoted-breaks")
+    for part, charset in enumerate(("UTF-8", "ISO-8859-1")):
+        half = vehicle_sales(spark, sf_dir).filter(row % 2 == part)
+        written_lines(half, line, f"{folder}/{charset}", header="row_id,note,city", charset=charset)
+    with small_splits(spark, 4096):
+        scan = records.scan_records(spark, f"{folder}/*", quoted_breaks=True)
+        return materialise(scan.records.drop(files.PLACE), "read-quoted")
+
+
+@query
+def mixed_headers(spark, sf_dir):
+    """Files of one folder whose headers have other columns in another order."""
+    rows = text_rows(spark, sf_dir)
+    folder, part = new_path(spark, "mixed-headers"), F.pmod(F.col("row_id").cast("bigint"), F.lit(3))
+    kinds = (
+        ("row_id", F.col("vin").alias("VIN"), F.col("zip_code").alias("zip")),
+        ("row_id", F.col("zip_code").alias("zip"), F.col("vin").alias(" vin")),
+        (F.col("state").alias("st"), F.col("row_id"), F.col("vin").alias("Vin")),
+    )
+    exact = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    for k, kind in enumerate(kinds):
+        rows.filter(part == k).select(*kind).write.options(**exact).csv(f"{folder}/{k}")
+    return records.scan_records(spark, f"{folder}/*").records.drop(files.PLACE)
+
+
+def _positional_lines(spark: SparkSession, sf_dir: str) -> records.Scan:
+    row = F.col("row_id")
+    line = F.when(row % 7 == 0, F.concat_ws(",", row, F.lit('"'), "vin")).otherwise(F.concat_ws(",", row, "vin", F.lit('5" x')))
+    path = written_lines(vehicle_sales(spark, sf_dir), line, new_path(spark, "positional-lines"), n_files=1)
+    return records.scan_records(spark, path, ",", positions={0: "row_id", 1: "vin"})
+
+
+@query
+def positional_bad_lines(spark, sf_dir):
+    """Lines of a file without header that leave a quote open, with their numbers in the file."""
+    return _positional_lines(spark, sf_dir).bad_lines.select("line_no", "reason", "line")
+
+
+@query
+def positional_records(spark, sf_dir):
+    return _positional_lines(spark, sf_dir).records.drop(files.PLACE)
+
+
+@query
+def audit_with_bad_lines(spark, sf_dir):
+    """The audit of a run from raw lines, some with a field too many, some with an open quote."""
+    sales = vehicle_sales(spark, sf_dir)
+    fields = [F.coalesce(F.concat(F.lit('"'), F.col(name).cast("string"), F.lit('"')), F.lit("")) for name in sales.columns]
+    row, line = F.col("row_id"), F.concat_ws(",", *fields)
+    line = F.when(row % 97 == 0, F.concat(line, F.lit(",more"))).when(row % 101 == 0, F.regexp_replace(line, '"$', "")).otherwise(line)
+    path = written_lines(sales, line, new_path(spark, "raw-lines"), 3, header=",".join(sales.columns))
+    scan = records.scan_records(spark, path)
+    table = files.with_row_id(files.blanks_to_null(scan.records), "row_id")
+    listed = F.col("row_id") % 11 * (F.col("row_id") % 13) == 0
+    exclusions = table.filter(listed).select(vin.clean_vin(F.col("vin")).alias("vin")).dropna().distinct()
+    return report.step_audit(pipeline.tag(table, SETTINGS, exclusions), unreadable=scan.bad_lines.count())

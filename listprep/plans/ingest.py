@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import zip_plus4
 from ..operators import shape
 from ..sources import files, headers
+from ..sources.records import Scan, scan_records
 
 # Manufacturers whose files need a step of their own.
 POSITIONAL = ("volvo",)
@@ -31,18 +32,15 @@ def manufacturer_settings(manufacturer: str) -> dict:
     }
 
 
-def read_raw(
-    spark: SparkSession, path: str, manufacturer: str, config: Mapping, multi_line: bool = False
-) -> tuple[DataFrame, DataFrame | None]:
-    """The file as text columns, and its lines that cannot be read where these are told apart.
+def read_raw(spark: SparkSession, path: str, manufacturer: str, config: Mapping, multi_line: bool = False) -> Scan:
+    """The files as text columns, and the lines that are no record, whatever the layout.
 
     With ``multi_line``, quoted fields may hold line breaks.
     """
     if manufacturer.lower().strip() in POSITIONAL:
-        return files.scan_positional(spark, path, config["columns"], config.get("optional_columns", ())), None
-    if multi_line:
-        return files.scan_csv(spark, path, files.detect_delimiter(files.header_line(spark, path)), multi_line=True), None
-    return files.split_bad_lines(files.scan_lines(spark, path))
+        columns, optional = config["columns"], config.get("optional_columns", ())
+        return scan_records(spark, path, ",", multi_line, columns, optional)
+    return scan_records(spark, path, quoted_breaks=multi_line)
 
 
 def standard_columns(raw: DataFrame, manufacturer: str, config: Mapping) -> DataFrame:

@@ -68,7 +68,8 @@ def process(spark: SparkSession, inputs: Inputs) -> pipeline.Result:
     files.check_paths(spark, inputs.required_paths())
     settings, vin_rules = load_settings(spark, inputs)
     config = rules.load_yaml(spark, inputs.column_map)
-    raw, bad_lines = ingest.read_raw(spark, inputs.records, settings.manufacturer, config, inputs.multi_line)
+    scan = ingest.read_raw(spark, inputs.records, settings.manufacturer, config, inputs.multi_line)
+    raw, bad_lines = scan.records, scan.bad_lines
     records = ingest.ingest(raw, settings.manufacturer, config, inputs.row_key)
     exclusions, _ = masters.read_exclusions(spark, inputs.exclusions)
     references = pipeline.References(
@@ -78,8 +79,7 @@ def process(spark: SparkSession, inputs: Inputs) -> pipeline.Result:
         exclusions=exclusions,
     )
     result = pipeline.run(records, settings, references)
-    unreadable = bad_lines.count() if bad_lines is not None else 0
-    result = replace(result, read=raw.count(), unreadable=unreadable)
+    result = replace(result, read=raw.count(), unreadable=bad_lines.count())
     require_rows(result.final)
     write(spark, inputs, settings, result, bad_lines)
     return result
@@ -108,7 +108,7 @@ def write(
     }.items():
         sinks.write_csv(table, f"{folder}/{name}")
     if bad_lines is not None:
-        bad_lines.write.text(f"{folder}/bad_lines")
+        sinks.write_csv(bad_lines, f"{folder}/bad_lines")
     sinks.write_counts(result.counts, f"{folder}/pipeline_summary")
     text = report.markdown(
         result.audit, result.reconciliation, result.counts, settings.manufacturer.title(),

@@ -390,14 +390,36 @@ STATEMENTS = {
     "csv_good_lines": """SELECT CAST(row_id AS VARCHAR) AS row_id, CASE WHEN row_id % 17 <> 0 THEN 'x,"y"' END AS middle,
  CASE WHEN row_id % 17 <> 0 THEN 'z' END AS "last" FROM sales WHERE row_id % 13 <> 0""",
     "csv_bad_lines": """SELECT CAST(row_id AS VARCHAR) || ',"a,b",c,d' AS bad_line FROM sales WHERE row_id % 13 = 0""",
+    "quoted_line_breaks": """SELECT CAST(row_id AS VARCHAR) AS row_id, CASE WHEN row_id % 3 = 0 THEN 'Zürich' || chr(10) || ', "' || CAST(row_id AS VARCHAR)
+ || '"' || chr(10) || chr(10) || 'end' WHEN row_id % 3 = 1 THEN '5" pipe' END AS note, city FROM sales""",
+    "mixed_headers": """SELECT CAST(row_id AS VARCHAR) AS row_id, vin AS "VIN", CASE WHEN row_id % 3 < 2 THEN zip_code END AS zip,
+ CASE WHEN row_id % 3 = 2 THEN state END AS st FROM sales""",
+    "positional_bad_lines": """SELECT line_no, 'quote not closed' AS reason, CAST(row_id AS VARCHAR) || ',",' || vin AS line FROM (
+ SELECT row_id, vin, row_number() OVER (ORDER BY row_id) AS line_no FROM sales) WHERE row_id % 7 = 0""",
+    "positional_records": """SELECT CAST(row_id AS VARCHAR) AS row_id, vin, '5" x' AS col2 FROM sales WHERE row_id % 7 <> 0""",
     "ingest_columns": """SELECT row_id, CAST(row_id AS VARCHAR) AS order_no, first_name,
  nullif(trim(regexp_replace(concat_ws(' ', address_line1, CASE WHEN state = 'TX' THEN ' Unit ' || CAST(row_id AS VARCHAR) END), '\\s+', ' ', 'g')), '') AS address_line1,
  CASE WHEN state = 'TX' THEN ' Unit ' || CAST(row_id AS VARCHAR) END AS address_line2, zip_code AS zip, vin AS bodycode,
+ vin AS usa_vin, email_addr, city, nullif(state, '') AS state, purchase_date,
  CAST(NULL AS VARCHAR) AS phone, CAST(NULL AS VARCHAR) AS extra1 FROM sales""",
     "exclusion_files": "SELECT vin FROM exclusions",
     "master_scan": "SELECT CAST(ord AS BIGINT) AS ord, cell, modyy, nullif(ucc, '') AS ucc FROM ucc_master",
 }
 
 
+#: Rows that ``audit_with_bad_lines`` writes as lines no scan can read.
+UNREADABLE = "row_id % 97 = 0 OR row_id % 101 = 0"
+
+
+def _audit_with_bad_lines() -> str:
+    """The audit of the readable rows, after a step that takes the others."""
+    readable = SALES.replace("sales AS (", "every AS (", 1) + f", sales AS (SELECT * FROM every WHERE NOT ({UNREADABLE}))"
+    lost = f"(SELECT count(*) FROM every WHERE {UNREADABLE})"
+    return f"""{WITH.replace(SALES, readable, 1)}
+SELECT 0 AS step_no, 'unreadable_line' AS step, (SELECT count(*) FROM every) AS records_before, {lost} AS rejected, (SELECT count(*) FROM sales) AS records_after
+UNION ALL {_audit()}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: f"{WITH}\n{statement}" for name, statement in STATEMENTS.items()}
+    found = {name: f"{WITH}\n{statement}" for name, statement in STATEMENTS.items()}
+    return found | {"audit_with_bad_lines": _audit_with_bad_lines()}

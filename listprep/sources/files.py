@@ -17,6 +17,8 @@ from . import headers
 DELIMITERS = (",", "\t", ";", "|")
 LAYOUT_MARKER = "bapibus1006"
 SPLIT_ROWS = 1 << 33
+#: Column of a scan that has numbered its rows by file and line.
+PLACE = "_place_in_input"
 
 
 def scan_csv(
@@ -87,7 +89,7 @@ def decoded(line: Column, fallback: str = "ISO-8859-1") -> Column:
 
 def unquoted_delimiters(line: Column, sep: str) -> Column:
     """Number of delimiters outside quoted fields."""
-    bare = F.regexp_replace(line, '"(?:[^"]|"")*"', "")
+    bare = F.regexp_replace(line, '"[^"]*+(?:""[^"]*+)*+"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
 
 
@@ -144,6 +146,7 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
 def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     """``row_id`` from a source key, or in the order of file name and place in the file.
 
+    A scan that has numbered its rows (``PLACE``) is taken at its word, else they are numbered here.
     A place is written to a table at once: a second scan that is split another way would count
     differently. The splits, not the rows, are then put in order; there is one line per split.
     """
@@ -152,7 +155,9 @@ def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
         total, full, distinct = keyed.agg(F.count("*"), F.count("row_id"), F.count_distinct("row_id")).first()
         if not total == full == distinct:
             raise ValueError(f"{key} is no key: {total - full} of {total} rows lack a number, {full - distinct} repeat one")
-        return keyed
+        return keyed.drop(PLACE)
+    if PLACE in df.columns:
+        return df.withColumn("row_id", F.col(PLACE)).drop(PLACE)
     split = {"_file": F.input_file_name(), "_start": F.expr("input_file_block_start()"), "_part": F.spark_partition_id()}
     placed = df.withColumns({**split, "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(SPLIT_ROWS - 1))})
     placed = materialise(placed, "numbered-input")

@@ -195,8 +195,9 @@ def test_a_header_in_latin_1_is_no_record(spark, tmp_path):
 def test_line_breaks_inside_quotes(spark, tmp_path):
     (tmp_path / "in.csv").write_text('id,name\n1,"two\nlines"\n2,one\n')
     assert {r.bad_line for r in files.scan_lines(spark, str(tmp_path / "in.csv")).collect()} == {'1,"two', 'lines"', None}
-    raw, bad_lines = ingest.read_raw(spark, str(tmp_path / "in.csv"), "kia", {}, multi_line=True)
-    assert bad_lines is None and sorted(map(tuple, raw.collect())) == [("1", "two\nlines"), ("2", "one")]
+    scan = ingest.read_raw(spark, str(tmp_path / "in.csv"), "kia", {}, multi_line=True)
+    assert scan.bad_lines.count() == 0
+    assert sorted(map(tuple, scan.records.drop(files.PLACE).collect())) == [("1", "two\nlines"), ("2", "one")]
 
 
 def test_the_first_row_of_a_master_is_the_first_by_file_name(spark, tmp_path, caplog):

@@ -85,7 +85,8 @@ def test_files(spark, inputs, result):
     assert final.count() == 3 and final.filter(F.col("FILE SOURCE") == "records.csv").count() == 3
     assert scan_csv(spark, f"{folder}/mercedes_06_2025_mail").count() == 1
     assert scan_csv(spark, f"{folder}/panels").count() == 2
-    assert spark.read.text(f"{folder}/bad_lines").first()[0].startswith("5,Al")
+    bad = scan_csv(spark, f"{folder}/bad_lines").first()
+    assert bad.line.startswith("5,Al") and bad.reason == "too many fields" and bad.file.endswith("records.csv") and int(bad.line_no) > 1
     assert spark.read.parquet(f"{folder}/rejects").count() == 5
     assert scan_csv(spark, f"{folder}/missing_ucc").count() == 2
     assert "status: Match" in "".join(r[0] for r in spark.read.text(f"{folder}/final_report").collect())
