@@ -87,8 +87,9 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of all documents and the texts they decode to, as digests."""
-    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
-    return decoded.select(
+    # written between the two, so that no task runs a worker for each of them
+    encoded = materialise(pieces.encode(table(spark, sf_dir, "documents")), "piece-ids")
+    return pieces.decode(encoded).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -1,11 +1,11 @@
 """Ids of a SentencePiece BPE model by vectorised merge rounds, and texts from ids.
 
 The library joins, over and over, the neighbouring symbols that make the best-scored piece, the
-leftmost first. No piece has a space inside or at its end after another character, so nothing
-crosses the place before a run of spaces: a text falls into words, each with the spaces before
-it, and every worker remembers the ids of those it has met (``tokens.Encoder``). New words are
-encoded together. Their characters lie in one flat array, cut further between characters that
-are neighbours in no piece. In every round each word finds its best pair rank by a segmented
+leftmost first. No piece has a space inside or at its end after another character, and many
+other characters are neighbours in no piece; nothing crosses such places. A text falls there
+into words, and every worker remembers the ids of those it has met (``tokens.Encoder``). New words are
+encoded together, some thousand at a time. Their characters lie in one flat array, cut further
+between characters that are neighbours in no piece. In every round each word finds its best pair rank by a segmented
 minimum; all its pairs of that rank, counted from the left without overlap, are merged at once,
 up to the first whose result makes a pair at least as good with a neighbour - from there on the
 library would go on differently, so the rest waits for the next round. The array is compacted and
@@ -18,8 +18,8 @@ before every text. Ids that no text gives (unknown, broken bytes) are left to th
 
 Null and empty texts have the end id alone; a table without rows gives none; every row is
 encoded for itself, repeated or not. Columns beside ``doc_id`` and ``text`` are not looked at,
-whatever their names. Ties of scores go to the left, as in the library. A slice of texts is a
-few MB; a longer text is a slice of its own.
+whatever their names. Ties of scores go to the left, as in the library. A slice of texts is half
+a MB; a longer text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -37,6 +37,10 @@ from .tables import arrow_map
 
 PIECE_BPE = "piece_bpe_32k.model"
 SPACE = "▁"
+#: Ids that are decoded together.
+IDS_AT_ONCE = 500_000
+#: New words that are merged together, and bytes of texts in a slice.
+WORDS_AT_ONCE, SLICE_BYTES = 8192, 1 << 19
 NO_PAIR = np.iinfo(np.int32).max
 _CHARS = 0x110000
 _PROBE = "  a  b\t\né ﬁ "
@@ -114,6 +118,13 @@ class Model:
         table = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 3)
         self.keys, self.made, self.rank = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
         self.neighbours = np.array(sorted(neighbours), dtype=np.int64)
+        # neighbours in ASCII, spaces for the mark, between which a text can be cut
+        self.cuts = np.zeros((256, 256), dtype=bool)
+        near = {(chr(32) if a == SPACE else a, chr(32) if b == SPACE else b) for text in self.ids for a, b in zip(text, text[1:])}
+        for a in range(128):
+            for b in range(128):
+                self.cuts[a, b] = (chr(a), chr(b)) not in near
+        self.cuts[32, 32] = False
         self.of_char = np.arange(self.n, self.n + _CHARS, dtype=np.int32)
         for text, k in self.ids.items():
             if len(text) == 1:
@@ -215,14 +226,16 @@ class PieceEncoder(tokens.Encoder):
         return np.ones(len(text_start) - 1, dtype=bool)
 
     def _spans(self, data: np.ndarray, text_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        space = data == 32
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
+        cut = np.zeros(len(data), dtype=bool)
+        cut[1:] = self.model.cuts[data[:-1], data[1:]] | ((data[1:] == 32) & (data[:-1] != 32))
         cut[text_start[:-1][np.diff(text_start) > 0]] = True
         start = np.flatnonzero(cut)
         return start, np.append(start[1:], len(data))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids for k in range(0, len(texts), WORDS_AT_ONCE) for ids in self._encode_words(texts[k : k + WORDS_AT_ONCE])]
+
+    def _encode_words(self, texts: list[str]) -> list[list[int]]:
         """Ids of words, each with the spaces before it."""
         model = self.model
         ahead = np.zeros(len(texts), dtype=np.int64)
@@ -299,7 +312,7 @@ def encode(documents: DataFrame, path: str | None = None, end_id: int | None = 2
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own, texts = encoder(path), batch.column("text")
-        for i, j in words.slices(texts):
+        for i, j in words.slices(texts, SLICE_BYTES):
             ids, first = own.encode(texts.slice(i, j - i))
             if end_id is not None:
                 ids, first = np.insert(ids, first[1:], end_id), first + np.arange(len(first))
@@ -313,9 +326,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokens.vocabulary_path(PIECE_BPE)
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column("ids")
-        first = np.asarray(ids.offsets)
-        texts = encoder(path).decode(ids.values.to_numpy(zero_copy_only=False), first)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+        first = np.asarray(batch.column("ids").offsets)
+        begin = 0
+        while begin < batch.num_rows:
+            # rows of some number of ids together, one row at least
+            end = max(begin + 1, int(np.searchsorted(first, first[begin] + IDS_AT_ONCE, side="right")) - 1)
+            some = batch.slice(begin, end - begin)
+            ids = batch.column("ids").values[first[begin] : first[end]].to_numpy(zero_copy_only=False)
+            texts = encoder(path).decode(ids, first[begin : end + 1] - first[begin])
+            columns = [some.column("doc_id"), some.column("ids"), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"])
+            begin = end
 
     return arrow_map(encoded.select("doc_id", "ids"), "doc_id long, ids array<int>, text string", per_batch)
