@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.email import channel_of, email_domain, panel_of
 from ..sources.headers import quoted
-from .numbering import chunk_count, chunk_of
+from .numbering import PANEL_SIZE, chunk_count, chunk_of
 
 # The panel layouts, and the columns whose source has another name.
 MAIL_LAYOUT = (
@@ -121,13 +121,13 @@ def with_panel(df: DataFrame) -> DataFrame:
     return df.withColumn("panel", F.when(F.col("channel") == "email", panel_of(F.col("email"))))
 
 
-def with_chunks(df: DataFrame) -> DataFrame:
+def with_chunks(df: DataFrame, size: int = PANEL_SIZE) -> DataFrame:
     """Chunk of every e-mail record and the number of chunks of its panel.
 
     ``panel_row`` comes from the numbering; the panel totals are three rows.
     """
-    totals = df.filter("panel IS NOT NULL").groupBy("panel").agg(chunk_count(F.count("*")).alias("n_chunks"))
-    rows = df.filter("panel IS NOT NULL").withColumn("chunk", chunk_of(F.col("panel_row")))
+    totals = df.filter("panel IS NOT NULL").groupBy("panel").agg(chunk_count(F.count("*"), size).alias("n_chunks"))
+    rows = df.filter("panel IS NOT NULL").withColumn("chunk", chunk_of(F.col("panel_row"), size))
     return rows.join(F.broadcast(totals), "panel")
 
 
@@ -135,5 +135,5 @@ def panel_files(final: DataFrame) -> DataFrame:
     """The e-mail layout of chunked records, with ``panel_file`` and the row's place in it (K6)."""
     file = F.concat_ws("_", "panel", F.lit("panel"), F.col("chunk"), F.lit("of"), F.col("n_chunks"))
     return panel_layout(
-        final, EMAIL_LAYOUT, F.lit("email").alias("CHANNEL"), file.alias("panel_file"), F.col("panel_row")
+        final, EMAIL_LAYOUT, F.lit("email").alias("CHANNEL"), F.col("panel"), file.alias("panel_file"), F.col("panel_row")
     )

@@ -12,7 +12,7 @@ from ..functions.codes import is_coded, tidy_channel, year_channel_label
 from ..functions.email import panel_of
 from ..functions.text import is_blank, strip
 from ..functions.vin import VALID_MODEL_YEARS, clean_vin
-from ..sources.headers import DESCRIPTION_NAMES, first_listed, quoted
+from ..sources.headers import DESCRIPTION_NAMES, SALES_TYPE_NAMES, first_listed, quoted, resolve
 
 # The steps in the order they run, and the name of each step's reject table.
 STEPS = (
@@ -137,7 +137,10 @@ def named_counts(df: DataFrame, counters: Mapping[str, Column]) -> DataFrame:
 
 
 def run_counters(df: DataFrame) -> dict[str, Column]:
-    """The counters of the fuller run report over tagged records."""
+    """The counters of the fuller run report over tagged records.
+
+    A ZIP without five digits is blank after cleaning; blank sales types are those of all records.
+    """
     step, reason = F.col("reject_step"), F.col("reject_reason")
 
     def rejected(name: str) -> Column:
@@ -156,8 +159,15 @@ def run_counters(df: DataFrame) -> dict[str, Column]:
         "business_exclusions": rejected("business"),
         "vin_rejected": rejected("vin"),
         "dedup_removed": rejected("dedup"),
+        "duplicate_vins": reason == "Duplicate VIN in file",
+        "listed_vins": reason == "Duplicate record",
         "final_valid_records": step.isNull(),
     }
+    if "zip_code" in df.columns:
+        counters["blank_zip"] = F.col("zip_code").isNull()
+    sales_type = resolve(df.columns, SALES_TYPE_NAMES)
+    if sales_type:
+        counters["blank_sales_type"] = is_blank(quoted(sales_type))
     if "email" in df.columns:
         kept = step.isNull()
         counters["email_count"] = kept & ~is_blank(F.col("email"))
@@ -230,14 +240,68 @@ def panel_sizes(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("panel", "n_chunks", "chunk").agg(F.count("*").alias("n_rows"))
 
 
-def markdown(audit: DataFrame, checks: DataFrame, counts: DataFrame, title: str, period: str, start: int) -> str:
-    """The run report as text, from the few rows of the report tables (K7)."""
+def final_counters(default_cell: str, missing_ucc: str = "MISSING_UCC", missing_text: str = "MISSING DESCRIPTION") -> dict[str, Column]:
+    """Counters over the final list: what the look-ups did not find."""
+    return {
+        "vin_missing_cell": F.upper(strip(F.col("cell"))) == default_cell.strip().upper(),
+        "vin_missing_modelid": is_blank(F.col("modelid")),
+        "missing_ucc": F.col("ucc") == missing_ucc,
+        "missing_descriptions": F.col("description_long") == missing_text,
+    }
+
+
+# Sections of the run report: title, then label and counter of each line.
+SECTIONS = (
+    ("Original counts", (("records", "initial_count"), ("blank ZIP codes", "blank_zip"), ("blank names", "blank_name"))),
+    (
+        "Rejected",
+        (
+            ("invalid e-mail addresses", "invalid_emails"), ("repeated addresses", "duplicate_addresses"),
+            ("blank sales type", "blank_sales_type"), ("invalid sales type", "invalid_sales_type"),
+            ("unknown state", "bad_state_codes"), ("state and ZIP differ", "bad_zip_state"), ("geography in all", "geo_rejected"),
+            ("businesses", "business_exclusions"), ("invalid VINs", "vin_rejected"), ("invalid model years", "invalid_model_year"),
+        ),
+    ),
+    ("Duplicates", (("VINs repeated in the file", "duplicate_vins"), ("VINs on earlier lists", "listed_vins"), ("in all", "dedup_removed"))),
+    (
+        "Codes",
+        (
+            ("without cell", "vin_missing_cell"), ("without model id", "vin_missing_modelid"),
+            ("without UCC", "missing_ucc"), ("without description", "missing_descriptions"),
+        ),
+    ),
+    ("Final list", (("e-mail records", "email_count"), ("mail records", "mail_count"), ("in all", "final_valid_records"))),
+)
+
+
+def markdown(
+    audit: DataFrame, checks: DataFrame, counts: DataFrame, title: str, period: str, start: int,
+    breakdowns: Mapping[str, DataFrame] | None = None,
+) -> str:
+    """The run report as text, from the few rows of the report tables (K7).
+
+    ``breakdowns`` are short tables by title: a line each per row, its first column and its last two.
+    """
+    numbers = {row.metric: row.n_rows for row in counts.collect()}
     lines = [f"# {title} data processing report", f"Period: {period}", f"First sequence number: {start}", ""]
     lines += ["## Steps", "", "| step | before | rejected | after |", "| --- | ---: | ---: | ---: |"]
     for row in audit.orderBy("step_no").collect():
         lines.append(f"| {row.step} | {row.records_before:,} | {row.rejected:,} | {row.records_after:,} |")
-    lines += ["", "## Counts", ""]
-    lines += [f"- {row.metric}: {row.n_rows:,}" for row in counts.collect()]
+    named = set()
+    for section, counters in SECTIONS:
+        present = [(label, name) for label, name in counters if name in numbers]
+        named |= {name for _, name in present}
+        if present:
+            lines += ["", f"## {section}", "", *[f"- {label}: {numbers[name]:,}" for label, name in present]]
+    for section, table in (breakdowns or {}).items():
+        rows = table.collect()
+        lines += ["", f"## {section}", ""]
+        lines += [f"- {row[0]}: {row[-2]:,} records, {row[-1]:,} kept" for row in rows] or ["- none"]
+    if "blank_name" in numbers:
+        before, gone = numbers["initial_count"], numbers["blank_name"]
+        lines += ["", "## Blank names", "", f"- records before: {before:,}", f"- taken out: {gone:,}", f"- records after: {before - gone:,}"]
+    if others := [name for name in numbers if name not in named]:
+        lines += ["", "## Further counts", "", *[f"- {name}: {numbers[name]:,}" for name in others]]
     result = checks.first()
     lines += [
         "",
@@ -246,6 +310,7 @@ def markdown(audit: DataFrame, checks: DataFrame, counts: DataFrame, title: str,
         f"- start: {result.start_count:,}",
         f"- removed: {result.total_removed:,}",
         f"- final: {result.final_count:,}",
+        f"- expected final: {result.expected_final:,}",
         f"- status: {result.status}",
     ]
     return "\n".join(lines) + "\n"

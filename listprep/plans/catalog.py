@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, dates, email, geo, text, vin
-from ..operators import dedup, enrich, numbering, panel, report, shape, unify, validate
+from ..operators import dedup, enrich, numbering, panel, profile, report, shape, unify, validate
+from ..sinks import ordered
 from ..sources import files, headers, masters, records
 from ..storage import materialise, new_path
 from . import ingest, pipeline
@@ -426,6 +427,21 @@ def run_counters(spark, sf_dir):
     return report.named_counts(rows, report.run_counters(rows))
 
 
+@query
+def vin_profile(spark, sf_dir):
+    return profile.text_profile(vehicle_sales(spark, sf_dir), F.col("vin"))
+
+
+@query
+def domain_breakdown(spark, sf_dir):
+    return profile.domain_breakdown(tagged(spark, sf_dir))
+
+
+@query
+def sales_type_breakdown(spark, sf_dir):
+    return profile.sales_type_breakdown(tagged(spark, sf_dir), "veh_acq_type_cd")
+
+
 @query
 def cellcode_pivot(spark, sf_dir):
     return report.cell_report(panel.with_channel(coded(spark, sf_dir)), description="desc")
@@ -463,7 +479,24 @@ def panel_layout_mail(spark, sf_dir):
 def panel_files(spark, sf_dir):
     # read twice: for the panel totals, and for the rows
     chunked = panel.with_chunks(materialise(final(spark, sf_dir), "final"))
-    return panel.panel_files(panel.final_table(chunked, SETTINGS.file_source))
+    return panel.panel_files(panel.final_table(chunked, SETTINGS.file_source)).drop("panel")
+
+
+@query
+def final_in_order(spark, sf_dir):
+    """The final table as its files say it, read by name: ``n`` is the place of a row in the list."""
+    table = panel.final_table(final(spark, sf_dir), SETTINGS.file_source).select("row_id", "EXTERNALREFERENCE", "EMAIL")
+    path = ordered.write_final(table, new_path(spark, "final"), "Acme", "06", "2025")
+    read = files.with_row_id(files.scan_csv(spark, path).withColumnRenamed("row_id", "record"))
+    return numbering.number_rows(read, ["row_id"], name="n").select("n", "record", "EXTERNALREFERENCE", "EMAIL")
+
+
+@query
+def panel_file_index(spark, sf_dir):
+    """Names and sizes of panel files of 100 rows, as they were found after writing."""
+    chunked = panel.with_chunks(materialise(final(spark, sf_dir), "final"), 100)
+    rows = panel.panel_files(panel.final_table(chunked, SETTINGS.file_source))
+    return ordered.write_panels(rows, new_path(spark, "panel-files"), "acme_06_2025", 100)
 
 
 # --- several decoders --------------------------------------------------------------------

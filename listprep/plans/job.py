@@ -7,12 +7,18 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import panel, report
+from ..operators import panel, profile, report
+from ..operators.numbering import PANEL_SIZE
 from ..operators.validate import require_rows
 from ..sinks import files as sinks
+from ..sinks import ordered
 from ..sources import files, masters, rules
+from ..storage import materialise
 from . import ingest, pipeline
 
+#: Lines of a breakdown in the report; the tables beside it are whole.
+MOST_FREQUENT = 20
+
 
 @dataclass(frozen=True)
 class Inputs:
@@ -34,6 +40,8 @@ class Inputs:
     exclusions: Sequence[str] = ()
     row_key: str | None = None
     multi_line: bool = False
+    panel_base: str = ""
+    panel_size: int = PANEL_SIZE
 
     def required_paths(self) -> dict[str, str]:
         names = (
@@ -55,6 +63,7 @@ def load_settings(spark: SparkSession, inputs: Inputs) -> tuple[pipeline.Setting
         default_cell=default_cell,
         start_number=inputs.start_number,
         file_source=inputs.records.rstrip("/").rsplit("/", 1)[-1],
+        panel_size=inputs.panel_size,
     )
     business = settings.business_rules
     rules.check_patterns(
@@ -69,8 +78,7 @@ def process(spark: SparkSession, inputs: Inputs) -> pipeline.Result:
     settings, vin_rules = load_settings(spark, inputs)
     config = rules.load_yaml(spark, inputs.column_map)
     scan = ingest.read_raw(spark, inputs.records, settings.manufacturer, config, inputs.multi_line)
-    raw, bad_lines = scan.records, scan.bad_lines
-    records = ingest.ingest(raw, settings.manufacturer, config, inputs.row_key)
+    records = ingest.ingest(scan.records, settings.manufacturer, config, inputs.row_key)
     exclusions, _ = masters.read_exclusions(spark, inputs.exclusions)
     references = pipeline.References(
         vin_rules=vin_rules,
@@ -79,39 +87,44 @@ def process(spark: SparkSession, inputs: Inputs) -> pipeline.Result:
         exclusions=exclusions,
     )
     result = pipeline.run(records, settings, references)
-    result = replace(result, read=raw.count(), unreadable=bad_lines.count())
     require_rows(result.final)
-    write(spark, inputs, settings, result, bad_lines)
+    folder = run_folder(inputs, settings)
+    bad_lines = materialise(scan.bad_lines, "bad-lines")
+    sinks.write_csv(bad_lines, f"{folder}/bad_lines")
+    result = replace(result, unreadable=bad_lines.count())
+    write(spark, inputs, settings, result)
     return result
 
 
-def write(
-    spark: SparkSession,
-    inputs: Inputs,
-    settings: pipeline.Settings,
-    result: pipeline.Result,
-    bad_lines: DataFrame | None = None,
-) -> None:
+def run_folder(inputs: Inputs, settings: pipeline.Settings) -> str:
+    return f"{inputs.output.rstrip('/')}/{sinks.run_name(settings.manufacturer, inputs.month, inputs.year)}"
+
+
+def write(spark: SparkSession, inputs: Inputs, settings: pipeline.Settings, result: pipeline.Result) -> None:
     base = sinks.run_name(settings.manufacturer, inputs.month, inputs.year)
-    folder = f"{inputs.output.rstrip('/')}/{base}"
+    folder = run_folder(inputs, settings)
     final = panel.final_table(result.final, settings.file_source)
-    sinks.write_final(final, folder, settings.manufacturer, inputs.month, inputs.year, spreadsheet_ucc=True)
-    sinks.write_channels(*panel.split_channels(final), folder, base, spreadsheet_ucc=True)
-    sinks.write_panels(result.panels, f"{folder}/panels")
+    ordered.write_final(final, folder, settings.manufacturer, inputs.month, inputs.year, spreadsheet_ucc=True)
+    ordered.write_channels(*panel.split_channels(final), folder, base, spreadsheet_ucc=True)
+    ordered.write_panels(result.panels, f"{folder}/panels", inputs.panel_base or base, settings.panel_size)
     sinks.write_rejects(result.tagged, f"{folder}/rejects")
+    breakdowns = {"E-mail domains": materialise(result.domains, "domains")}
+    if (sales_types := result.sales_types) is not None:
+        breakdowns["Sales types"] = materialise(sales_types, "sales-types")
     for name, table in {
         "cellcode_report": result.cell_report,
         "missing_cell_codes": result.default_cells,
         "missing_ucc": result.missing_ucc,
         "missing_descriptions": result.missing_descriptions,
         "invalid_dates": result.invalid_dates,
+        "vin_profile": result.vin_profile,
+        **{f"{title.lower().replace(' ', '_')}": table for title, table in breakdowns.items()},
     }.items():
         sinks.write_csv(table, f"{folder}/{name}")
-    if bad_lines is not None:
-        sinks.write_csv(bad_lines, f"{folder}/bad_lines")
     sinks.write_counts(result.counts, f"{folder}/pipeline_summary")
     text = report.markdown(
         result.audit, result.reconciliation, result.counts, settings.manufacturer.title(),
         f"{inputs.month}/{inputs.year}", settings.start_number,
+        {title: profile.most(table, MOST_FREQUENT) for title, table in breakdowns.items()},
     )
     sinks.write_text(spark, text, f"{folder}/final_report")

@@ -237,7 +237,11 @@ def _counters() -> str:
         "business_exclusions": "reject_step = 'business'",
         "vin_rejected": "reject_step = 'vin'",
         "dedup_removed": "reject_step = 'dedup'",
+        "duplicate_vins": "reject_reason = 'Duplicate VIN in file'",
+        "listed_vins": "reject_reason = 'Duplicate record'",
         "final_valid_records": "reject_step IS NULL",
+        "blank_zip": "zip_code IS NULL",
+        "blank_sales_type": "coalesce(trim(veh_acq_type_cd), '') = ''",
         "email_count": "reject_step IS NULL AND coalesce(email, '') <> ''",
         "mail_count": "reject_step IS NULL AND coalesce(email, '') = ''",
     }
@@ -352,6 +356,20 @@ STATEMENTS = {
     "reconciliation": """SELECT count(*) AS start_count, count(reject_step) AS total_removed, count(*) - count(reject_step) AS final_count,
  count(*) - count(reject_step) AS expected_final, 'Match' AS status FROM tagged""",
     "run_counters": _counters(),
+    "vin_profile": """SELECT CAST(length AS INTEGER) AS length, class, sum(n_rows) AS n_rows,
+ coalesce(array_to_string(list_slice(list(value ORDER BY digest) FILTER (WHERE value IS NOT NULL), 1, 3), ' '), '') AS samples FROM (
+ SELECT length(vin) AS length, CASE WHEN vin IS NULL THEN 'null' WHEN trim(vin) = '' THEN 'blank' WHEN regexp_full_match(vin, '[0-9]+') THEN 'digits'
+  WHEN regexp_full_match(vin, '[A-Za-z]+') THEN 'letters' WHEN regexp_full_match(vin, '[A-Za-z0-9]+') THEN 'letters and digits' ELSE 'other' END AS class,
+  count(*) AS n_rows, min(md5(vin)) AS digest, arg_min(vin, md5(vin)) AS value FROM sales GROUP BY 1, 2, substr(md5(vin), 1, 1)) GROUP BY ALL""",
+    "domain_breakdown": """SELECT CASE WHEN strpos(email, '@') > 0 THEN split_part(email, '@', -1) ELSE 'unknown' END AS domain, count(*) AS n_rows,
+ count(CASE WHEN reject_step IS NULL THEN 1 END) AS n_kept FROM tagged WHERE coalesce(email, '') <> '' GROUP BY 1""",
+    "sales_type_breakdown": """SELECT coalesce(nullif(lower(trim(veh_acq_type_cd)), ''), 'unknown') AS sales_type, count(*) AS n_rows,
+ count(CASE WHEN reject_step IS NULL THEN 1 END) AS n_kept FROM tagged GROUP BY 1""",
+    "final_in_order": """SELECT row_number() OVER (ORDER BY seq8) AS n, CAST(row_id AS VARCHAR) AS record, CAST(seq8 AS VARCHAR) AS "EXTERNALREFERENCE",
+ email AS "EMAIL" FROM final""",
+    "panel_file_index": """SELECT 'acme_06_2025_' || panel || '_panel_' || CAST(chunk AS VARCHAR) || '_of_' || CAST(of AS VARCHAR) || '.csv' AS name, panel, chunk, n_rows
+ FROM (SELECT panel, chunk, count(*) AS n_rows, max(chunk) OVER (PARTITION BY panel) AS of FROM (
+  SELECT panel, (row_number() OVER (PARTITION BY panel ORDER BY seq8) - 1) // 100 + 1 AS chunk FROM final WHERE channel = 'email') GROUP BY panel, chunk)""",
     "cellcode_pivot": _pivot(),
     "panel_totals": "SELECT channel, count(*) AS n_rows FROM kept GROUP BY channel",
     "final_table": """SELECT row_id, email AS "EMAIL", domain AS "DOMAIN", bodycode AS "MFG MODEL CODE", 'A' AS "ROTATION", '1.0' AS "VERSION",

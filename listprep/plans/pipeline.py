@@ -12,7 +12,7 @@ these results; the codes are then joined on by broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -25,9 +25,10 @@ from ..functions.email import PANELS, clean_email, cleaned_channel
 from ..functions.geo import address_keys, zip2, zip5
 from ..functions.text import match_key, strip
 from ..functions.vin import VALID_MODEL_YEARS, clean_vin, model_year, prefix_brand, vin_segments
-from ..operators import dedup, enrich, panel, report, shape, validate
+from ..operators import dedup, enrich, panel, profile, report, shape, validate
+from ..operators.counting import Counted
 from ..operators.lookup import fits_broadcast
-from ..operators.numbering import number_rows
+from ..operators.numbering import PANEL_SIZE, number_rows
 from ..operators.validate import Check
 from ..sources import headers
 from ..sources.rules import DEFAULT_CELL, BusinessRules, EmailRules, StateZipRules
@@ -58,6 +59,7 @@ class Settings:
     name_per_row: bool = False
     start_number: int = 1
     file_source: str = ""
+    panel_size: int = PANEL_SIZE
 
 
 @dataclass(frozen=True)
@@ -78,13 +80,15 @@ class References:
 
 @dataclass(frozen=True)
 class Result:
-    """``read`` and ``unreadable``: records and bad lines counted at the scan, where there was one."""
+    """``read`` and ``unreadable``: records and bad lines counted at the scan, where there was one;
+    ``counted``: the counters of the tagged records, taken while they were written."""
 
     tagged: DataFrame
     final: DataFrame
     settings: Settings
     read: int | None = None
     unreadable: int = 0
+    counted: Mapping[str, int] | None = None
 
     @property
     def rejected(self) -> DataFrame:
@@ -100,7 +104,25 @@ class Result:
 
     @property
     def counts(self) -> DataFrame:
-        return report.named_counts(self.tagged, report.run_counters(self.tagged))
+        found = report.named_counts(self.final, report.final_counters(self.settings.default_cell))
+        if self.counted is None:
+            return report.named_counts(self.tagged, report.run_counters(self.tagged)).unionByName(found)
+        rows = [(name, self.counted[name]) for name in report.run_counters(self.tagged)]
+        return self.tagged.sparkSession.createDataFrame(rows, "metric string, n_rows bigint").unionByName(found)
+
+    @property
+    def domains(self) -> DataFrame:
+        return profile.domain_breakdown(self.tagged)
+
+    @property
+    def sales_types(self) -> DataFrame | None:
+        column = headers.resolve(self.tagged.columns, headers.SALES_TYPE_NAMES)
+        return profile.sales_type_breakdown(self.tagged, column) if column else None
+
+    @property
+    def vin_profile(self) -> DataFrame:
+        """Of the VINs as they were cleaned."""
+        return profile.text_profile(self.tagged, F.col("vin"))
 
     @property
     def cell_report(self) -> DataFrame:
@@ -127,7 +149,7 @@ class Result:
     @property
     def panels(self) -> DataFrame:
         """E-mail records in the panel layout with the panel file each belongs to."""
-        return panel.panel_files(panel.final_table(panel.with_chunks(self.final), self.settings.file_source))
+        return panel.panel_files(panel.final_table(panel.with_chunks(self.final, self.settings.panel_size), self.settings.file_source))
 
 
 def prepare(df: DataFrame, settings: Settings) -> DataFrame:
@@ -188,8 +210,8 @@ def late_checks(df: DataFrame, settings: Settings) -> list[Check]:
     ]
 
 
-def tag(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None) -> DataFrame:
-    """All records with the step and the reason that rejected them.
+def tag(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None, read: Counted | None = None) -> DataFrame:
+    """All records with the step and the reason that rejected them; ``read`` counts them on the way.
 
     Both are NULL for the rows kept. Those have ``seq8``, their number in the list, and
     ``panel_row``, their number in the panel.
@@ -207,9 +229,12 @@ def tag(df: DataFrame, settings: Settings, exclusions: DataFrame | None = None)
     first_early = validate.first_failure(early)
     first_late = validate.first_failure(late, len(early))
 
-    narrow = prepared.filter(first_early.isNull()).select(
-        "row_id", *dedup.KEYS, F.struct(F.when(first_late.isNull(), F.col("vin")).alias("vin"), "panel").alias("live")
-    )
+    narrow = prepared.select(
+        "row_id", *dedup.KEYS, F.struct(F.when(first_late.isNull(), F.col("vin")).alias("vin"), "panel").alias("live"),
+        first_early.isNull().alias("_alive"),
+    )
+    # the filter stays above the count
+    narrow = (read.attach(narrow) if read else narrow).filter("_alive").drop("_alive")
     by_address = narrow.groupBy(*dedup.KEYS, dedup.lone_blank_key(settings.blank_is_duplicate)).agg(
         F.min("row_id").alias("row_id"), F.min_by("live", "row_id").alias("live")
     )
@@ -268,7 +293,13 @@ def survivors(tagged: DataFrame) -> DataFrame:
 
 
 def run(df: DataFrame, settings: Settings, references: References) -> Result:
-    """The job. The tagged rows and the final list are written once and read by every output."""
-    tagged = materialise(tag(df, settings, references.exclusions), "tagged")
+    """The job. The tagged rows and the final list are written once and read by every output;
+    the records are counted by the pass that looks for duplicates, the outcomes while the tagged
+    rows are written."""
+    read = Counted({"read": F.lit(True)})
+    whole = tag(df, settings, references.exclusions, read)
+    outcomes = Counted(report.run_counters(whole))
+    tagged = materialise(outcomes.attach(whole), "tagged")
+    counted = outcomes.of(tagged, "initial_count")
     final = materialise(enrich_kept(survivors(tagged), settings, references), "final")
-    return Result(tagged, final, settings)
+    return Result(tagged, final, settings, read=read.seen("read"), counted=counted)

@@ -19,13 +19,14 @@ def blank_null(df: DataFrame, name: str) -> Column:
     return F.coalesce(column, F.lit("")).alias(name) if is_text else column
 
 
-def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), spreadsheet_ucc: bool = False) -> None:
-    """CSV with a header (K1); ``spreadsheet_ucc`` protects long codes from spreadsheets (K9)."""
+def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), spreadsheet_ucc: bool = False, **options) -> None:
+    """CSV with a header (K1); ``spreadsheet_ucc`` protects long codes from spreadsheets (K9).
+    Further options are those of Spark's writer."""
     ucc = next((name for name in df.columns if name.lower() == "ucc"), None)
     if spreadsheet_ucc and ucc:
         df = df.withColumn(ucc, spreadsheet_text(quoted(ucc)))
     df = df.select(*[quoted(n) if n in partition_by else blank_null(df, n) for n in df.columns])
-    df.write.options(header=True, escape='"', emptyValue="").partitionBy(*partition_by).csv(path)
+    df.write.options(header=True, escape='"', emptyValue="", **options).partitionBy(*partition_by).csv(path)
 
 
 def write_rejects(tagged: DataFrame, path: str) -> None:
@@ -38,30 +39,6 @@ def run_name(manufacturer: str, month: str, year: str) -> str:
     return f"{manufacturer.strip().lower().replace(' ', '_')}_{month.strip()}_{year.strip()}"
 
 
-def write_final(df: DataFrame, folder: str, manufacturer: str, month: str, year: str, **options) -> str:
-    """The final table (K4); returns its path."""
-    path = f"{folder}/{run_name(manufacturer, month, year)}_FINAL_OUTPUT"
-    write_csv(df, path, **options)
-    return path
-
-
-def write_channels(email: DataFrame, mail: DataFrame, folder: str, base: str, **options) -> list[str]:
-    """The e-mail and the mail output (K5)."""
-    paths = [f"{folder}/{base}_email", f"{folder}/{base}_mail"]
-    for df, path in zip((email, mail), paths, strict=True):
-        write_csv(df, path, **options)
-    return paths
-
-
-def write_panels(panel_rows: DataFrame, path: str) -> None:
-    """One file per panel and chunk, in list order (K6).
-
-    All chunks have the same size, so the shuffle on ``panel_file`` is even.
-    """
-    even = panel_rows.repartition("panel_file").sortWithinPartitions("panel_file", "panel_row")
-    write_csv(even.drop("panel_row"), path, partition_by=("panel_file",))
-
-
 def write_counts(counts: DataFrame, path: str) -> None:
     """The two-column run summary (K8)."""
     write_csv(counts.select(F.col("metric").alias("Metric"), F.col("n_rows").alias("Count")).coalesce(1), path)

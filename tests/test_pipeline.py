@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from listprep.operators import panel, report
 from listprep.plans import derived, pipeline
 from listprep.sinks import files as sinks
+from listprep.sinks import ordered
 from listprep.sources.files import scan_csv
 from listprep.streaming import screen_stream
 
@@ -102,22 +103,22 @@ def test_options(sales, tables):
 
 def test_outputs(spark, result, tmp_path):
     final = panel.final_table(result.final, "in.csv")
-    path = sinks.write_final(final, str(tmp_path), "Acme Co", "06", "2025", spreadsheet_ucc=True)
+    path = ordered.write_final(final, str(tmp_path), "Acme Co", "06", "2025", spreadsheet_ucc=True)
     assert path.endswith("acme_co_06_2025_FINAL_OUTPUT")
     back = scan_csv(spark, path)
     assert back.count() == result.final.count()
     assert back.filter("ucc LIKE '=\"%'").count() == result.final.filter("length(ucc) = 21").count()
 
     email, mail = panel.split_channels(final)
-    paths = sinks.write_channels(email, mail, str(tmp_path), "acme_06_2025")
+    paths = ordered.write_channels(email, mail, str(tmp_path), "acme_06_2025")
     assert scan_csv(spark, paths[0]).columns == [*panel.EMAIL_LAYOUT, "CHANNEL"]
     assert scan_csv(spark, paths[0]).count() + scan_csv(spark, paths[1]).count() == result.final.count()
 
-    sinks.write_panels(result.panels, str(tmp_path / "panels"))
-    folders = sorted(p for p in (tmp_path / "panels").iterdir() if p.is_dir())
-    assert [p.name for p in folders] == [f"panel_file={n}_panel_1_of_1" for n in ("gmail", "other", "yahoo_aol")]
-    assert all(len(list(p.glob("*.csv"))) == 1 for p in folders)
-    numbers = [int(r[0]) for r in scan_csv(spark, str(folders[1])).select("`SEQUENCE #(8)`").collect()]
+    ordered.write_panels(result.panels, str(tmp_path / "panels"), "acme_06_2025")
+    names = sorted(p.name for p in (tmp_path / "panels").iterdir() if p.suffix == ".csv")
+    assert names == [f"acme_06_2025_{n}_panel_1_of_1.csv" for n in ("gmail", "other", "yahoo_aol")]
+    assert not [p for p in (tmp_path / "panels").iterdir() if p.is_dir()]
+    numbers = [int(r[0]) for r in scan_csv(spark, str(tmp_path / "panels" / names[1])).select("`SEQUENCE #(8)`").collect()]
     assert numbers == sorted(numbers)
 
     sinks.write_rejects(result.tagged, str(tmp_path / "rejects"))
@@ -143,3 +144,77 @@ def test_stream_gives_the_single_record_verdicts(spark, sales, tmp_path):
     batch = screen_stream(sales, derived.SETTINGS).select("row_id", "reject_step")
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.count() == sales.count() and found.exceptAll(batch).isEmpty()
+
+
+def listed(spark, numbers, path, n_files=3):
+    frame = spark.createDataFrame([(str(n), f"row {n}") for n in numbers], "n string, name string")
+    frame.coalesce(1).write.options(header=True, maxRecordsPerFile=max(1, -(-len(numbers) // n_files))).csv(path)
+    return path
+
+
+def test_files_out_of_order_are_noticed(spark, tmp_path):
+    good = listed(spark, range(5, 50), str(tmp_path / "good"))
+    ordered.check_order(spark, good, "n")
+    for k, numbers in enumerate(([1, 2, 4, 3, 5, 6], [1, 2, 3, 5, 6, 7], [4, 5, 6, 1, 2, 3], [1, 1, 2, 3], [1, None, 3])):
+        path = listed(spark, numbers, str(tmp_path / f"bad{k}"))
+        with pytest.raises(ValueError, match="out of order"):
+            ordered.check_order(spark, path, "n")
+    ordered.check_order(spark, listed(spark, [1, 2, 3, 5, 9, 20], str(tmp_path / "gaps")), "n", contiguous=False)
+    with pytest.raises(ValueError, match="out of order"):
+        ordered.check_order(spark, listed(spark, [4, 5, 6, 1, 2, 3], str(tmp_path / "back")), "n", contiguous=False)
+
+
+def test_rows_written_in_order(spark, tmp_path):
+    frame = spark.range(1, 20_001, numPartitions=7).select((20_001 - F.col("id")).cast("string").alias("n"))
+    ordered.write_ordered(frame, str(tmp_path / "out"), "n")
+    parts = sorted((tmp_path / "out").glob("part-*.csv"))
+    numbers = [int(line) for part in parts for line in part.read_text().splitlines()[1:]]
+    assert numbers == list(range(1, 20_001))
+
+
+def test_panel_files_hold_whole_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "FILES_PER_TASK", 3)
+    panels = {"gmail": 1000, "other": 950, "yahoo_aol": 1}
+    rows = [(p, n, f"{p}_panel_x", 0, str(10 * n)) for p, count in panels.items() for n in range(1, count + 1)]
+    frame = spark.createDataFrame(rows, "panel string, panel_row long, panel_file string, n_chunks long, `SEQUENCE #(8)` string")
+    index = ordered.write_panels(frame.repartition(5), str(tmp_path / "p"), "x", 100)
+    assert sorted(index.columns) == ["chunk", "n_rows", "name", "panel"]
+    assert {r.panel: r.n_rows for r in index.groupBy("panel").agg(F.sum("n_rows").alias("n_rows")).collect()} == panels
+    for panel_name, count in panels.items():
+        of = -(-count // 100)
+        for i in range(1, of + 1):
+            lines = (tmp_path / "p" / f"x_{panel_name}_panel_{i}_of_{of}.csv").read_text().splitlines()
+            assert [int(line) for line in lines[1:]] == [10 * n for n in range(100 * i - 99, min(100 * i, count) + 1)]
+
+
+def test_counters_of_the_run_are_those_of_the_table(result):
+    assert result.read == result.tagged.count()
+    again = {r.metric: r.n_rows for r in report.named_counts(result.tagged, report.run_counters(result.tagged)).collect()}
+    assert dict(result.counted) == again
+    assert {r.metric for r in result.counts.collect()} == {*again, *report.final_counters("x")}
+
+
+def test_a_row_observed_twice_is_counted_once(spark):
+    from listprep.operators.counting import Counted
+
+    written = spark.range(10)
+    counted = Counted({"every": F.lit(True), "even": F.col("id") % 2 == 0})
+    counted.attach(spark.range(10).union(spark.range(3))).write.format("noop").mode("overwrite").save()
+    assert counted.seen("every") == 13 and counted.of(written, "every") == {"every": 10, "even": 5}
+
+
+def test_report_sections(result):
+    breakdowns = {"E-mail domains": result.domains, "Sales types": result.sales_types}
+    text = report.markdown(result.audit, result.reconciliation, result.counts, "Acme", "06/2025", 1, breakdowns)
+    numbers = {r.metric: r.n_rows for r in result.counts.collect()}
+    for line in (
+        f"- blank ZIP codes: {numbers['blank_zip']:,}", f"- blank names: {numbers['blank_name']:,}", f"- expected final: {result.final.count():,}",
+        f"- without cell: {numbers['vin_missing_cell']:,}", f"- without description: {numbers['missing_descriptions']:,}",
+        f"- e-mail records: {numbers['email_count']:,}", f"- records after: {numbers['initial_count'] - numbers['blank_name']:,}",
+    ):
+        assert line in text
+    assert numbers["blank_zip"] > 0 and numbers["missing_descriptions"] > 0
+    domains = result.domains.collect()
+    assert sum(r.n_kept for r in domains) == numbers["email_count"] and all(f"- {r.domain}: {r.n_rows:,} records" in text for r in domains)
+    assert "## Sales types" in text and "## Further counts" not in text
+    assert sum(r.n_rows for r in result.vin_profile.collect()) == numbers["initial_count"]
