@@ -23,6 +23,8 @@ PENDING = "PENDING"
 PENDING_DESCRIPTION = "PENDING DESCRIPTION"
 
 KEYS = list(ADDRESS_KEYS)
+#: Size of the filter that the run's VINs put on exclusion lists: 16 MB at most.
+FILTER_BITS = 1 << 27
 
 
 def survivors(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str], row_id: str = "row_id") -> DataFrame:
@@ -58,19 +60,52 @@ def split_duplicate_addresses(df: DataFrame, blank_is_duplicate: bool = True) ->
     return keyed.join(first, "row_id", "left_semi"), dropped.withColumn("drop_reason", F.lit(DUPLICATE_ADDRESS))
 
 
+def key_bits(df: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Which of ``bits`` hash values the keys have, as a bitmap of fixed size: a row per 32768 of them."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    marked = df.filter(F.col(key).isNotNull()).select(
+        F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit")
+    )
+    return marked.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+
+
+def with_bits(df: DataFrame, key: str, found: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key has a marked hash value: all that ``found`` was made of, and few others.
+
+    The bitmap has at most ``bits / 8`` bytes, whatever the tables, and is broadcast.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    marked = df.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)})
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+    return marked.join(F.broadcast(found), "_bucket").filter(hit).drop("_bucket", "_bit", "_bitmap")
+
+
+def exclusion_hits(vins: DataFrame, listed: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(vin, sources) of the VINs that are on a list, with the sorted names of all lists they are on.
+
+    ``listed`` has ``vin`` and ``source``. The lists may be larger than the run by any factor:
+    rows of VINs that the run does not have are left out in the scan of the lists.
+    """
+    near = with_bits(listed, "vin", key_bits(vins, "vin", bits), bits)
+    sources = near.groupBy("vin").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    return sources.join(vins.select("vin").distinct(), "vin", "left_semi")
+
+
 def vin_survivors(
     df: DataFrame, exclusions: DataFrame | None, order: Sequence[str], carry: Sequence[str] = ()
 ) -> DataFrame:
     """The first row of every VIN: its order, ``row_id``, ``carry`` and ``excluded``.
 
     The exclusions are joined after the reduction, when each VIN is there once and the table is
-    already partitioned by it.
+    already partitioned by it; only those that the run may have are shuffled.
     """
     first = df.groupBy("vin").agg(F.min(F.struct(*order, "row_id", *carry)).alias("_first"))
     if exclusions is None:
         listed = first.withColumn("excluded", F.lit(False))
     else:
-        marks = exclusions.select("vin", F.lit(True).alias("_listed"))
+        near = with_bits(exclusions.select("vin"), "vin", key_bits(df, "vin")).distinct()
+        marks = near.withColumn("_listed", F.lit(True))
         listed = first.join(marks, "vin", "left").withColumn("excluded", F.coalesce("_listed", F.lit(False)))
     return listed.select("_first.*", "excluded")
 

@@ -56,7 +56,7 @@ def apply_vin_rules(
     keyed = df.withColumns({**_segment_keys(), "_model": _model_key("bodycode")})
     small = fits_broadcast(rules) if broadcast is None else broadcast
     joined = lookup(keyed, flat_rule(own, "_own"), [*_segment_keys(), "_model"], small)
-    joined = lookup(joined, flat_rule(shared, "_shared"), list(_segment_keys()), small)
+    joined = lookup(joined, flat_rule(shared, "_shared"), list(_segment_keys()), small, keys=keyed)
 
     def chosen(field: str, default: str) -> Column:
         return (

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import materialise
+
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+#: Rows that one task can have of one key without harm.
+LEAST_HOT = 100_000
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -37,22 +40,50 @@ def lookup(
     on: Sequence[str],
     broadcast: bool,
     spread_by: str = "row_id",
-    salts: int = SALTS,
+    keys: DataFrame | None = None,
+    least_hot: int = LEAST_HOT,
 ) -> DataFrame:
     """Left join to ``reference``, which has one row per key.
 
     ``broadcast`` is the outcome of ``fits_broadcast``: a small reference is broadcast, so
-    ``df`` is not shuffled. A larger one is joined by shuffle on key and salt: each reference
-    row is repeated ``salts`` times and the rows of one key are dealt over as many tasks, by the
-    hash of ``spread_by``.
+    ``df`` is not shuffled. A larger one is joined by a shuffle on the key. Keys that hold more
+    rows than a task should get are found by a count first; the rows of each are dealt over as
+    many tasks as its share asks for, by the hash of ``spread_by``, and only the reference rows
+    of these keys are repeated. ``keys`` is a frame with the keys of ``df`` that is cheaper to count.
     """
     on = list(on)
     if broadcast:
         return df.join(F.broadcast(reference), on, "left")
-    salted = reference.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     # a sort-merge join spills, whatever the planner believes about the size
-    return dealt.join(salted.hint("merge"), [*on, "_salt"], "left").drop("_salt")
+    hot = hot_keys(df if keys is None else keys, on, least_hot)
+    if hot is None:
+        return df.join(reference.hint("merge"), on, "left")
+    dealt = _met(df, hot, on).withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")), F.lit(0)).cast("int"))
+    salts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)).cast("int") - 1)
+    salted = _met(reference, hot, on).withColumn("_salt", F.explode(salts)).drop("_salts")
+    return dealt.drop("_salts").join(salted.hint("merge"), [*on, "_salt"], "left").drop("_salt")
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], least: int = LEAST_HOT) -> DataFrame | None:
+    """The keys with more rows than the mean task of a shuffle, and than ``least``: ``_hot_`` columns
+    and ``_salts``, how many tasks' worth they have. None when there is no such key.
+
+    There are fewer of them than tasks, whatever the table. NULL keys, which match nothing but
+    would meet in one task, are one key here.
+    """
+    counts = materialise(df.groupBy(*on).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(total / tasks, least)
+    hot = counts.filter(F.col("_n") > share)
+    if hot.isEmpty():
+        return None
+    return hot.select(*[F.col(name).alias(f"_hot_{name}") for name in on], F.ceil(F.col("_n") / share).alias("_salts"))
+
+
+def _met(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
+    same = [df[name].eqNullSafe(hot[f"_hot_{name}"]) for name in on]
+    return df.join(F.broadcast(hot), same, "left").drop(*[f"_hot_{name}" for name in on])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], descending: bool = False) -> DataFrame:

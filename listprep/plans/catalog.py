@@ -287,6 +287,19 @@ def exclusion_hits(spark, sf_dir):
     return found.filter("excluded").select("row_id")
 
 
+@query
+def exclusion_hits_by_source(spark, sf_dir):
+    """The lists every record is on; one of them is of other records for the greater part."""
+    sales = vehicle_sales(spark, sf_dir)
+    first, second = exclusion_tables(sales)
+    foreign = sales.select(F.concat(F.lit("X"), vin.clean_vin(F.col("vin"))).alias("vin"))
+    third = foreign.unionByName(sales.filter("row_id % 26 = 0").select(vin.clean_vin(F.col("vin")).alias("vin")))
+    listed = masters.exclusion_sources({"earlier": first, "other": second, "third": third, "earlier again": first})
+    rows = valid_vins(spark, sf_dir).select("row_id", "vin")
+    hits = dedup.exclusion_hits(rows, listed).withColumn("sources", F.array_join("sources", ", "))
+    return rows.join(hits, "vin").select("row_id", "vin", "sources")
+
+
 @query
 def exclusion_set(spark, sf_dir):
     return masters.exclusion_set(exclusion_tables(vehicle_sales(spark, sf_dir)))

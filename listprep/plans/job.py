@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -16,6 +17,8 @@ from ..sources import files, masters, rules
 from ..storage import materialise
 from . import ingest, pipeline
 
+log = logging.getLogger(__name__)
+
 #: Lines of a breakdown in the report; the tables beside it are whole.
 MOST_FREQUENT = 20
 
@@ -72,19 +75,31 @@ def load_settings(spark: SparkSession, inputs: Inputs) -> tuple[pipeline.Setting
     return settings, vin_rules
 
 
+def preflight(spark: SparkSession, inputs: Inputs) -> None:
+    """Everything that can be known before the first job: inputs, the manufacturer's rule file,
+    the output (S12). Earlier lists that are not there are left out, and said so in the log."""
+    rule_file = rules.rule_file(inputs.vin_rule_files, inputs.manufacturer)
+    files.check_paths(spark, {**inputs.required_paths(), "vin_rules": rule_file})
+    for path in inputs.exclusions:
+        if not files.is_there(spark, path):
+            log.warning("exclusion file %s is not there", path)
+    files.check_output(spark, f"{inputs.output.rstrip('/')}/{sinks.run_name(inputs.manufacturer, inputs.month, inputs.year)}")
+
+
 def process(spark: SparkSession, inputs: Inputs) -> pipeline.Result:
     """Read, run, and write every output under ``inputs.output``."""
-    files.check_paths(spark, inputs.required_paths())
+    preflight(spark, inputs)
     settings, vin_rules = load_settings(spark, inputs)
     config = rules.load_yaml(spark, inputs.column_map)
     scan = ingest.read_raw(spark, inputs.records, settings.manufacturer, config, inputs.multi_line)
     records = ingest.ingest(scan.records, settings.manufacturer, config, inputs.row_key)
-    exclusions, _ = masters.read_exclusions(spark, inputs.exclusions)
+    listed, _ = masters.read_exclusion_sources(spark, inputs.exclusions)
     references = pipeline.References(
         vin_rules=vin_rules,
         ucc_master=masters.ucc_master(masters.read_ordered_master(spark, inputs.ucc_master)),
         description_master=masters.description_master(masters.read_ordered_master(spark, inputs.description_master)),
-        exclusions=exclusions,
+        exclusions=listed and listed.select("vin"),
+        listed=listed,
     )
     result = pipeline.run(records, settings, references)
     require_rows(result.final)
@@ -111,6 +126,8 @@ def write(spark: SparkSession, inputs: Inputs, settings: pipeline.Settings, resu
     breakdowns = {"E-mail domains": materialise(result.domains, "domains")}
     if (sales_types := result.sales_types) is not None:
         breakdowns["Sales types"] = materialise(sales_types, "sales-types")
+    if (hits := result.exclusion_hits) is not None:
+        sinks.write_csv(hits, f"{folder}/exclusion_hits")
     for name, table in {
         "cellcode_report": result.cell_report,
         "missing_cell_codes": result.default_cells,

@@ -322,6 +322,9 @@ STATEMENTS = {
     "vin_dedup": f"""SELECT row_id, vin, CASE WHEN n > 1 THEN 'Duplicate VIN in file' WHEN listed THEN 'Duplicate record' END AS dedup_reason
  FROM ({VIN_ROWS})""",
     "exclusion_hits": f"SELECT row_id FROM ({VIN_ROWS}) WHERE n = 1 AND listed",
+    "exclusion_hits_by_source": """SELECT b.row_id, b.vin, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM base b JOIN (
+ SELECT vin, unnest(['earlier', 'earlier again']) AS source FROM base WHERE row_id % 11 = 0 UNION ALL SELECT vin, 'other' FROM base WHERE row_id % 13 = 0
+ UNION ALL SELECT vin, 'third' FROM base WHERE row_id % 26 = 0) USING (vin) WHERE length(b.vin) = 17 GROUP BY b.row_id, b.vin""",
     "exclusion_set": "SELECT vin FROM exclusions",
     "vin_rule_lookup": RULE_LOOKUP,
     "vin_rule_lookup_large": RULE_LOOKUP,

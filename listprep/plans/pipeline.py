@@ -64,12 +64,14 @@ class Settings:
 
 @dataclass(frozen=True)
 class References:
-    """Tables joined on, as ``sources.rules`` and ``sources.masters`` return them."""
+    """Tables joined on, as ``sources.rules`` and ``sources.masters`` return them; ``listed`` is
+    ``exclusions`` with the list each VIN is from."""
 
     vin_rules: DataFrame
     ucc_master: DataFrame
     description_master: DataFrame
     exclusions: DataFrame | None = None
+    listed: DataFrame | None = None
 
     @cached_property
     def broadcast(self) -> dict[str, bool]:
@@ -81,7 +83,8 @@ class References:
 @dataclass(frozen=True)
 class Result:
     """``read`` and ``unreadable``: records and bad lines counted at the scan, where there was one;
-    ``counted``: the counters of the tagged records, taken while they were written."""
+    ``counted``: the counters of the tagged records, taken while they were written; ``listed``: VINs
+    of earlier lists with the list each is from."""
 
     tagged: DataFrame
     final: DataFrame
@@ -89,6 +92,7 @@ class Result:
     read: int | None = None
     unreadable: int = 0
     counted: Mapping[str, int] | None = None
+    listed: DataFrame | None = None
 
     @property
     def rejected(self) -> DataFrame:
@@ -119,6 +123,15 @@ class Result:
         column = headers.resolve(self.tagged.columns, headers.SALES_TYPE_NAMES)
         return profile.sales_type_breakdown(self.tagged, column) if column else None
 
+    @property
+    def exclusion_hits(self) -> DataFrame | None:
+        """Records rejected because of an earlier list, per list; a VIN may be on several."""
+        if self.listed is None:
+            return None
+        rejected = self.tagged.filter(F.col("reject_reason") == dedup.DUPLICATE_RECORD).select("vin")
+        hits = dedup.exclusion_hits(rejected, self.listed).select(F.explode("sources").alias("source"))
+        return hits.groupBy("source").agg(F.count("*").alias("n_rows"))
+
     @property
     def vin_profile(self) -> DataFrame:
         """Of the VINs as they were cleaned."""
@@ -302,4 +315,4 @@ def run(df: DataFrame, settings: Settings, references: References) -> Result:
     tagged = materialise(outcomes.attach(whole), "tagged")
     counted = outcomes.of(tagged, "initial_count")
     final = materialise(enrich_kept(survivors(tagged), settings, references), "final")
-    return Result(tagged, final, settings, read=read.seen("read"), counted=counted)
+    return Result(tagged, final, settings, read=read.seen("read"), counted=counted, listed=references.listed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,20 +57,44 @@ def choose_layout(names: Sequence[str], legacy: Mapping, current: Mapping, marke
     return legacy if any(marker in name.strip().lower() for name in names) else current
 
 
+def _file_system(spark: SparkSession, path: str):
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = make(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names anything; other errors than its absence rise."""
+    system, place = _file_system(spark, path)
+    found = system.globStatus(place)
+    return bool(found)
+
+
 def check_paths(spark: SparkSession, paths: Mapping[str, str]) -> None:
     """Name every input that is not given or cannot be found, before any job starts."""
-    absent = []
-    for role, path in paths.items():
-        try:
-            found = bool(path) and spark.read.text(path) is not None
-        except Exception:
-            found = False
-        if not found:
-            absent.append(role)
+    absent = [role for role, path in paths.items() if not path or not is_there(spark, path)]
     if absent:
         raise ValueError(f"missing inputs: {', '.join(absent)}")
 
 
+def check_output(spark: SparkSession, path: str) -> None:
+    """Raise when the output is there already, or its folder cannot be made and written to."""
+    system, place = _file_system(spark, path)
+    if system.exists(place):
+        raise ValueError(f"{path} is there already; outputs are never overwritten")
+    folder = path.rstrip("/").rsplit("/", 1)[0]
+    _, parent = _file_system(spark, folder)
+    _, probe = _file_system(spark, f"{folder}/.writable-{uuid.uuid4().hex}")
+    try:
+        before = system.exists(parent)
+        system.create(probe, False).close()
+        system.delete(probe, False)
+        if not before:
+            system.delete(parent, False)
+    except Exception as error:
+        raise ValueError(f"{path} cannot be written: {error}") from error
+
+
 def header_line(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).limit(1).select(decoded(F.col("value"))).collect()
     if not first:

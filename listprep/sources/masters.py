@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,9 +98,16 @@ def exclusion_set(tables: Iterable[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, lists).distinct() if lists else None
 
 
-def read_exclusions(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFrame | None, list[str]]:
-    """Exclusion set of many CSV files, and the files that could not be used."""
-    tables, skipped = [], []
+def exclusion_sources(tables: Mapping[str, DataFrame]) -> DataFrame | None:
+    """(vin, source) of all tables, which a VIN may be in more than once."""
+    lists = [(name, vin_list(table)) for name, table in tables.items()]
+    named = [found.withColumn("source", F.lit(name)) for name, found in lists if found is not None]
+    return reduce(DataFrame.unionByName, named) if named else None
+
+
+def read_exclusion_sources(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFrame | None, list[str]]:
+    """(vin, source) of many CSV files, named by their paths, and the files that could not be used."""
+    tables, skipped = {}, []
     for path in paths:
         try:
             table = scan_csv(spark, path, sep=detect_delimiter(header_line(spark, path)))
@@ -109,7 +116,13 @@ def read_exclusions(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFram
             log.warning("exclusion file %s skipped: %s", path, error)
             usable = False
         if usable:
-            tables.append(table)
+            tables[path] = table
         else:
             skipped.append(path)
-    return exclusion_set(tables), skipped
+    return exclusion_sources(tables), skipped
+
+
+def read_exclusions(spark: SparkSession, paths: Iterable[str]) -> tuple[DataFrame | None, list[str]]:
+    """Exclusion set of many CSV files, and the files that could not be used."""
+    listed, skipped = read_exclusion_sources(spark, paths)
+    return None if listed is None else listed.select("vin").distinct(), skipped

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-MACHINE_LOCAL = ("/tmp", "/var/tmp")
+MACHINE_LOCAL = ("/tmp", "/var/tmp", "/local_disk0")
 _own_folders: dict[str, str] = {}
 
 
@@ -23,7 +23,7 @@ def working_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
     local = spark.conf.get("spark.master", "").startswith("local")
     if folder:
-        if not local and _machine_local(folder):
+        if not local and _machine_local(folder, _default_scheme(spark)):
             raise ValueError(f"{SETTING} names {folder}, which other machines cannot reach")
         return folder.rstrip("/")
     if not local:
@@ -34,10 +34,16 @@ def working_dir(spark: SparkSession) -> str:
     return _own_folders[application]
 
 
-def _machine_local(folder: str) -> bool:
+def _default_scheme(spark: SparkSession) -> str:
+    """The scheme of paths that name none."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(configuration).getScheme()
+
+
+def _machine_local(folder: str, default: str = "file") -> bool:
     scheme, _, path = folder.rpartition(":")
     path = "/" + path.lstrip("/")
-    return scheme == "file" and any(path == top or path.startswith(f"{top}/") for top in MACHINE_LOCAL)
+    return (scheme or default) == "file" and any(path == top or path.startswith(f"{top}/") for top in MACHINE_LOCAL)
 
 
 def application_dir(spark: SparkSession) -> str:

@@ -134,3 +134,19 @@ def test_columns_are_checked_before_anything_is_written(spark, inputs, tmp_path)
     with pytest.raises(ValueError):
         job.process(spark, replace(inputs, records=str(tmp_path / "records.csv"), output=str(tmp_path / "out")))
     assert not (tmp_path / "out").exists()
+
+
+def test_preflight(spark, inputs, result, tmp_path, caplog):
+    fresh = replace(inputs, output=str(tmp_path / "out"))
+    job.preflight(spark, replace(fresh, exclusions=("/nowhere/list.csv",)))
+    assert "/nowhere/list.csv" in caplog.text and not list((tmp_path / "out").glob("*"))
+    with pytest.raises(ValueError, match="there already"):
+        job.preflight(spark, inputs)
+    with pytest.raises(FileNotFoundError, match="no rule file"):
+        job.preflight(spark, replace(fresh, manufacturer="nobody"))
+    gone = [path.replace("mercedes", "MERCEDES") + ".gone/mercedes.yaml" for path in inputs.vin_rule_files]
+    with pytest.raises(ValueError, match="vin_rules"):
+        job.preflight(spark, replace(fresh, vin_rule_files=gone))
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(ValueError, match="cannot be written"):
+        job.preflight(spark, replace(fresh, output=str(tmp_path / "file" / "under")))

@@ -129,15 +129,50 @@ def test_rule_lookup(rows, rules, broadcast):
     assert column(enrich.default_cell_rows(found, "ZZZ").withColumn("row_id", F.col("vin13")), "vin13") == [None, "EQS", "NUL"]
 
 
-def test_salted_lookup_is_the_broadcast_lookup(spark):
-    df = spark.range(0, 5000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
-    ref = df.select("k").distinct().withColumn("v", F.concat(F.lit("v"), "k"))
-    small, large = lookup.lookup(df, ref, ["k"], True), lookup.lookup(df, ref, ["k"], False)
-    assert small.exceptAll(large).isEmpty() and large.count() == 5000
+def keyed(spark, n, hot, share):
+    """Rows of which ``share`` percent fall on ``hot`` keys, some on none, the rest on keys of their own."""
+    key = F.when(F.col("id") % 100 < share, F.concat(F.lit("hot"), F.col("id") % hot)).when(F.col("id") % 10 < 9, F.col("id").cast("string"))
+    return spark.range(0, n).select(F.col("id").alias("row_id"), key.alias("k"))
+
+
+@pytest.mark.parametrize("hot,share", [(1, 66), (3, 90), (1000, 66), (1, 0)])
+def test_large_lookup_is_the_broadcast_lookup(spark, hot, share):
+    df = keyed(spark, 20_000, hot, share)
+    ref = df.select("k").distinct().dropna().filter("k NOT LIKE '%7'").withColumn("v", F.concat(F.lit("v"), "k"))
+    small, large = lookup.lookup(df, ref, ["k"], True), lookup.lookup(df, ref, ["k"], False, least_hot=1)
+    assert small.exceptAll(large).isEmpty() and large.count() == 20_000 and large.columns == small.columns
     assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
     assert lookup.fits_broadcast(ref) and not lookup.fits_broadcast(ref, limit=10)
 
 
+def test_only_hot_keys_are_salted(spark):
+    found = lookup.hot_keys(keyed(spark, 20_000, 1, 66), ["k"], least=1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [(r["_hot_k"], r["_salts"]) for r in found.collect()] == [("hot0", -(-13_200 * tasks // 20_000))]
+    # a thousand keys of one size are fewer rows each than a task has
+    assert lookup.hot_keys(keyed(spark, 20_000, 1000, 66), ["k"], least=1) is None
+    plain = lookup.lookup(keyed(spark, 20_000, 1000, 66), keyed(spark, 10, 1, 0).select("k").distinct(), ["k"], False)
+    assert "_salt" not in plain._jdf.queryExecution().analyzed().toString()
+    # keys that are null are dealt as well
+    nulls = spark.range(1000).select(F.col("id").alias("row_id"), F.lit(None).cast("string").alias("k"))
+    assert lookup.hot_keys(nulls, ["k"], least=1).first()["_salts"] == tasks
+
+
+def test_lists_are_filtered_before_they_are_shuffled(spark):
+    vins = spark.range(1000).select(F.concat(F.lit("V"), F.col("id")).alias("vin"))
+    foreign = spark.range(200_000).select(F.concat(F.lit("F"), F.col("id")).alias("vin"), F.lit("big").alias("source"))
+    own = vins.filter("vin LIKE '%5'").withColumn("source", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))))
+    near = dedup.with_bits(foreign, "vin", dedup.key_bits(vins, "vin"))
+    assert near.count() < 20
+    hits = dedup.exclusion_hits(vins, foreign.union(own))
+    assert {tuple(r.sources) for r in hits.collect()} == {("a", "b")} and hits.count() == 100
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(vin") < plan.index("getbit")
+    # a filter that is full lets all through, and the join decides
+    assert dedup.exclusion_hits(vins, foreign.union(own), bits=8).count() == 100
+    assert dedup.exclusion_hits(vins.limit(0), own).count() == 0
+
+
 def test_ucc(spark, rows):
     master = spark.createDataFrame(
         [(1, "a1", 2025, "9"), (2, "A1 ", 2025, "8"), (3, "b", 2025, " ")], "ord bigint, cell string, modyy int, ucc string"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from listprep.operators import panel, report
 from listprep.plans import derived, pipeline
 from listprep.sinks import files as sinks
-from listprep.sinks import ordered
+from listprep.sinks import ordered, versions
 from listprep.sources.files import scan_csv
 from listprep.streaming import screen_stream
 
@@ -218,3 +218,41 @@ def test_report_sections(result):
     assert sum(r.n_kept for r in domains) == numbers["email_count"] and all(f"- {r.domain}: {r.n_rows:,} records" in text for r in domains)
     assert "## Sales types" in text and "## Further counts" not in text
     assert sum(r.n_rows for r in result.vin_profile.collect()) == numbers["initial_count"]
+
+
+def test_two_writers_of_a_master_lose_no_row(spark, tables, tmp_path):
+    from listprep.operators.dedup import upsert_master
+
+    folder, master = str(tmp_path / "master"), tables.ucc_master
+
+    def pending(*cells):
+        return spark.createDataFrame([(cell, 2025) for cell in cells], "cell string, modyy int")
+
+    def merged(rows, *cells):
+        return upsert_master(rows.withColumn("ord", F.lit(0).cast("long")), pending(*cells))
+
+    assert versions.current_version(spark, folder) is None
+    assert versions.update_master(spark, folder, lambda rows: master.select("cell", "modyy", "ucc", "description")) == 1
+    seen = []
+
+    def slow(rows):
+        # the other run is first, once
+        if not seen:
+            versions.update_master(spark, folder, lambda other: merged(other, "NEW-A", "NEW-B"))
+        seen.append(versions.current_version(spark, folder)[0])
+        return merged(rows, "NEW-C")
+
+    assert versions.update_master(spark, folder, slow) == 3 and seen == [2, 2]
+    number, rows = versions.current_version(spark, folder)
+    assert number == 3 and {r.cell for r in rows.filter("ucc = 'PENDING' AND cell LIKE 'NEW%'").collect()} == {"NEW-A", "NEW-B", "NEW-C"}
+
+
+def test_a_manifest_has_its_content_before_its_number(spark, tmp_path):
+    folder = tmp_path / "master"
+    place = versions._Folder(spark, str(folder))
+    assert versions.update_master(spark, str(folder), lambda _: spark.range(3)) == 1
+    assert not place.create(1, "other") and place.read(1) != "other"
+    # what a run that broke off has left is no version
+    (folder / versions.MANIFESTS / "0a1b").write_text("")
+    assert versions.update_master(spark, str(folder), lambda rows: rows.union(spark.range(4))) == 2
+    assert versions.current_version(spark, str(folder))[1].count() == 7
