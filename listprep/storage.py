@@ -8,6 +8,7 @@ session on a ``local`` master gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted now, not when the driver next runs short of
+    memory: Spark's cleaner removes them once no plan refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, after its last reader."""
+    for name in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables this application wrote; frames that read them are of no use afterwards."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
