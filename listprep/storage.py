@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+SETTLE_SECONDS = 1.0
 MACHINE_LOCAL = ("/tmp", "/var/tmp", "/local_disk0")
 _own_folders: dict[str, str] = {}
 
@@ -65,9 +67,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Have the shuffle files of finished jobs deleted now, not when the driver next runs short of
-    memory: Spark's cleaner removes them once no plan refers to them any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    memory: Spark's cleaner removes them once no plan refers to them any more. The listeners let
+    go of a plan some time after its job, hence the second collection."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(SETTLE_SECONDS)
 
 
 def drop(table: DataFrame) -> None:
