@@ -20,7 +20,9 @@ links are found by joins (``components``).
 
 Words are as in ``words``. Null and empty texts, and texts without words, have no shingles and
 no links. A row without ``doc_id`` has no links and is its own component. Rows that repeat a
-``doc_id`` are documents of their own under one id.
+``doc_id`` are documents of their own under one id: each has the links of its text. A table without
+rows gives none; columns beside ``doc_id`` and ``text`` are not looked at, whatever their names. Texts
+come in slices of a few MB, a longer one by itself.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lookup import fits_broadcast
 from ..storage import materialise
 from . import words
 from .components import components
@@ -43,7 +46,7 @@ MISS = 1e-5
 LIST = 32
 BLOCK = 512
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>"
+SIGNED = "doc_id long, copy long, n_shingles long, set_a long, set_b long, signature array<long>"
 
 
 def matches_needed(similarity: float, coordinates: int, miss: float = MISS) -> int:
@@ -73,33 +76,44 @@ def _signed(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(i, j - i),
+                    batch.column("copy").slice(i, j - i),
                     pa.array(counts),
                     pa.array(np.ascontiguousarray(keys[:, 0])),
                     pa.array(np.ascontiguousarray(keys[:, 1])),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * coordinates, coordinates, dtype=np.int32)), flat),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                names=["doc_id", "copy", "n_shingles", "set_a", "set_b", "signature"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return arrow_map(rows, SIGNED, per_batch)
+    return arrow_map(_rows(documents).select("doc_id", _copy(), "text"), SIGNED, per_batch)
 
 
-def _sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``node`` and its sorted distinct shingles, for the given ids."""
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _copy() -> Column:
+    return F.xxhash64("text").alias("copy")
+
+
+def _sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``node`` and its sorted distinct shingles, for classes with ``node``, ``first_id``, ``set_a``
+    and ``set_b``: of the texts under the id, the one with that set."""
 
     def per_batch(batch):
-        texts, keys = batch.column("text"), batch.column("node")
+        texts, keys = batch.column("text"), batch.column("node").to_pylist()
+        wanted = np.stack([batch.column(name).to_numpy() for name in ("set_a", "set_b")], axis=1)
         for i, j in words.slices(texts):
             runs, first = words.shingles(words.words_of(texts.slice(i, j - i)), size)
-            sets = [own.tobytes() for own in words.distinct_runs(runs, first)]
-            yield pa.RecordBatch.from_arrays(
-                [keys.slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "shingles"]
-            )
+            nodes, sets = [], []
+            for k, own in enumerate(words.distinct_runs(runs, first), i):
+                if len(own) and (np.frombuffer(words.set_hash(own), dtype=np.int64) == wanted[k]).all():
+                    nodes.append(keys[k])
+                    sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(ids, "node", "left_semi")
-    return arrow_map(rows, "node long, shingles binary", per_batch)
+    rows = _rows(documents).join(classes.select("node", F.col("first_id").alias("doc_id"), "set_a", "set_b"), "doc_id")
+    return arrow_map(rows.select("node", "set_a", "set_b", "text"), "node long, shingles binary", per_batch)
 
 
 def linked(shared: int, a: int, b: int, percent: int) -> bool:
@@ -230,17 +244,22 @@ def near_duplicates(
     Sets of ``shingle``-word shingles are linked when 100 times their intersection is at least
     ``percent`` times their union; ``component_id`` is the smallest id reachable.
     """
+    return _with_copies(documents, shingle, percent, coordinates, miss).drop("copy")
+
+
+def _with_copies(documents: DataFrame, shingle: int, percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> DataFrame:
+    """``near_duplicates`` with ``copy``, a hash of the text, which tells rows of one id apart."""
     spark = documents.sparkSession
     ship(spark)
     matches = matches_needed(percent / 100, coordinates, miss)
     signed = materialise(_signed(documents, shingle, coordinates), "signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    # written, so that the join on a set that many documents have can be split
-    classes = materialise(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "classes")
-    classed = full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"])
-    # the signature of a class is that of its smallest document
-    facts = full.join(classes.select("node", F.col("set_a").alias("a"), F.col("set_b").alias("b")), [F.col("doc_id") == F.col("node"), F.col("set_a") == F.col("a"), F.col("set_b") == F.col("b")])
-    facts = materialise(facts.select("node", F.col("n_shingles").alias("size"), "signature").dropDuplicates(["node"]), "facts")
+    # equal sets have equal signatures; written, so that the join on a set that many documents have can be split
+    classes = full.groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")
+    )
+    classes = _with_nodes(materialise(classes, "sets-once"))
+    facts = classes.select("node", "size", "signature")
 
     postings = facts.select("node", F.posexplode("signature").alias("coordinate", "hash"))
     postings = postings.select("node", F.xxhash64("coordinate", "hash").alias("value"))
@@ -251,21 +270,48 @@ def near_duplicates(
     posted = materialise(posted, "posted")
     lengths = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
     lists = materialise(posted.join(lengths, "value"), "lists")
-    edges = links(lists, facts, lambda wanted: _sets(documents, wanted, shingle), matches, percent)
+    edges = links(lists, facts, lambda wanted: _sets(documents, classes.join(wanted, "node", "left_semi"), shingle), matches, percent)
     found = components(materialise(edges, "links"))
 
-    named = classed.select("doc_id", "n_shingles", "node").join(found, "node", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = classes.select("set_a", "set_b", "node", "first_id").join(found, "node", "left")
+    named = _named(named, classes.filter("node <> first_id").select("node", "first_id"), found)
+    named = full.select("doc_id", "copy", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"]).drop("set_a", "set_b")
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "copy", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def dedup(documents: DataFrame, **options) -> DataFrame:
+def _with_nodes(classes: DataFrame) -> DataFrame:
+    """``node``, one for every class: its smallest id, or a hash where that id has other texts as
+    well and is the smallest of another class, too."""
+    clashing = classes.groupBy("first_id").agg(F.count("*").alias("n")).filter("n > 1").select("first_id", F.lit(True).alias("clash"))
+    own = F.when(F.col("clash"), F.xxhash64("first_id", "set_a", "set_b")).otherwise(F.col("first_id"))
+    return materialise(classes.join(clashing, "first_id", "left").withColumn("node", own).drop("clash"), "classes")
+
+
+def _named(named: DataFrame, hashed: DataFrame, found: DataFrame) -> DataFrame:
+    """``set_a``, ``set_b`` and the smallest id of the component. That is the component itself but
+    for those with a node that is a hash, which are looked through."""
+    smallest = F.coalesce("component", "first_id")
+    if hashed.isEmpty():
+        return named.select("set_a", "set_b", smallest.alias("component_id"))
+    members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    touched = members.join(hashed, "node", "left_semi").select("component").distinct()
+    members = members.join(touched, "component", "left_semi").join(hashed.withColumnRenamed("first_id", "own"), "node", "left")
+    least = materialise(members.groupBy("component").agg(F.min(F.coalesce("own", "node")).alias("least")), "least")
+    least = F.broadcast(least) if fits_broadcast(least) else least
+    rows = named.withColumn("label", F.coalesce("component", "node")).join(least.withColumnRenamed("component", "label"), "label", "left")
+    return rows.select("set_a", "set_b", F.coalesce("least", smallest).alias("component_id"))
+
+
+def dedup(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents`` that are the smallest of their component. Rows that agree in
     ``doc_id`` and text stay once; rows without ``doc_id`` all stay."""
-    kept = near_duplicates(documents, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    version, again = free_names(documents, "_version", "_again")
-    rows = documents.join(kept, "doc_id", "left_semi").withColumn(version, F.xxhash64("text"))
+    kept = _with_copies(documents, shingle, percent).filter("kept and doc_id is not null").select("doc_id", "copy").distinct()
+    of_id, of_copy, version, again = free_names(documents, "_of_id", "_of_copy", "_version", "_again")
+    kept = kept.select(F.col("doc_id").alias(of_id), F.col("copy").alias(of_copy))
+    rows = documents.withColumn(version, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (F.col("doc_id").cast("long") == F.col(of_id)) & (F.col(version) == F.col(of_copy))
+    rows = rows.join(kept, same, "left_semi")
     number = F.row_number().over(Window.partitionBy("doc_id", version).orderBy("doc_id"))
     once = rows.withColumn(again, number).filter(F.col(again) == 1).drop(again, version)
     return once.unionByName(documents.filter("doc_id is null"))

@@ -88,6 +88,33 @@ def test_rows_without_or_with_repeated_ids(spark):
     assert kept == [(3, "a b c d e"), (3, "other words of the text"), (None, "a b c d e")]
 
 
+def brute_rows(rows, size, percent):
+    """As ``brute``, with the rows as documents, whatever their ids."""
+    own = sets([t for _, t in rows], size)
+    edges = [
+        (a, b) for a, b in itertools.combinations(range(len(rows)), 2)
+        if own[a] and own[b] and 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b])
+    ]
+    root = groups(edges)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root.get(k, k)] = min(i, least.get(root.get(k, k), i))
+    return sorted((i, len(own[k]), least[root.get(k, k)]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_copies_of_texts_under_one_id(spark, seed):
+    rng = random.Random(seed)
+    rows = copies(rng, 25, 100, most=6) + copies(rng, 25, 300, most=6) + [(900, "alone with these words"), (900, "and with these")]
+    rows = [(rng.randint(1, 14) if rng.random() < 0.8 else i, text) for i, text in rows] + [rows[0], rows[30]]
+    a, b = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z 1 2 3 4 5 6"
+    rows += [(-1, a), (-1, b), (50, a + " more"), (60, b + " more")]
+    assert got(spark, rows, shingle=3, percent=80) == brute_rows(rows, 3, 80)
+    kept = neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert {r.doc_id for r in kept} == {i for i, _, c in brute_rows(rows, 3, 80) if i == c}
+    assert (50, a + " more") not in map(tuple, kept) and len(kept) == len(set(map(tuple, kept)))
+
+
 def test_forest_connects_what_links_connect():
     import numpy as np
 
