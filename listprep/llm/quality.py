@@ -3,8 +3,9 @@
 Every line is a place in a chain with two states, bad and good. Its inputs are measures of the
 line itself (shares of letters, capitals, digits, marks and repeated words, lengths, and what
 is common in it) and of its neighbours on both sides; two states in a row have a weight of
-their own. The field is fitted on labelled documents by its likelihood, the state of every line
-of a document being the document's label. A document's score is the mean of its lines' marginal
+their own. The field is fitted on labelled documents by its likelihood, every document weighing
+the same, the state of every line of a document being the document's label; the sums of each step
+are taken where the documents' inputs lie. A document's score is the mean of its lines' marginal
 probabilities of being good, from the forward-backward pass, weighed by their lengths in bytes.
 
 The fit uses ``SAMPLE`` labelled documents at most, as many of either label as there are up to
@@ -12,11 +13,13 @@ half of it, taken by a hash of ``doc_id``, and of each all its lines. Only the t
 input. Null and empty texts are one empty line. Labels that are null count as missing; of
 several labels for one document the smaller counts. Without labels of both kinds the score is
 the share of good labels, 0.5 without any. Rows that repeat a ``doc_id``, or have none, are
-scored each by its own text.
+scored each by its own text. A table without rows gives none; columns beside those named are not
+looked at, whatever their names. A chain is as long as its document. Scores have no ties to break.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +32,12 @@ from . import words
 from .tables import arrow_map
 
 SAMPLE = 4000
-STEPS = 250
+#: Most steps of the fit, and steps it remembers; the fit ends when the loss hardly falls.
+STEPS = 60
+MEMORY = 8
 PENALTY = 1e-3
-#: Most lines of a chain while the field is fitted; scores use whole documents.
-LONGEST = 256
-#: Lines of one chain whose states are worked out in one go; only the memory depends on it.
+FIT_TASKS = 8
+#: Lines of chains that are worked out in one go; only the memory depends on it.
 GROUP_LINES = 1 << 16
 
 _CLASSES = np.zeros((6, 256), dtype=bool)
@@ -121,78 +125,135 @@ class Field:
     constant: float | None = None
 
 
-def _by_length(first: np.ndarray) -> list[np.ndarray]:
-    """Chains in groups of similar length, none of more than ``GROUP_LINES`` lines with its filling."""
-    lengths = np.diff(first)
-    groups, held = [], []
-    for k in np.argsort(lengths, kind="stable"):
-        if held and (len(held) + 1) * lengths[k] > GROUP_LINES or held and lengths[k] > 2 * lengths[held[0]]:
-            groups.append(np.array(held))
-            held = []
-        held.append(k)
-    return groups + ([np.array(held)] if held else [])
+def _products(factors: np.ndarray, place: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of each place's 2 x 2 factor with those before it in its chain, over spans that double:
+    ``place`` counts from 0 in the chain. The logarithm of what was divided out is kept aside."""
+    cells, scale, reach = [factors[:, i, j].copy() for i in (0, 1) for j in (0, 1)], scale.copy(), 1
+    far = np.flatnonzero(place >= reach)
+    while len(far):
+        a, b, c, d = (cell[far - reach] for cell in cells)
+        e, f, g, h = (cell[far] for cell in cells)
+        joined = [a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h]
+        top = np.maximum.reduce(joined)
+        scale[far] = scale[far - reach] + scale[far] + np.log(top)
+        for cell, product in zip(cells, joined):
+            cell[far] = product / top
+        reach *= 2
+        far = far[place[far] >= reach]
+    return np.stack(cells, axis=1).reshape(-1, 2, 2), scale
 
 
-def marginals(score: np.ndarray, first: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def marginals(
+    score: np.ndarray, first: np.ndarray, between: np.ndarray, weights: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Probability of the good state per line, expected counts of [from, to], and the sum of the
-    chains' log partition functions; ``score`` is the good state's, the bad one has 0."""
-    good = np.empty(len(score))
-    pairs, total = np.zeros((2, 2)), 0.0
+    chains' log partition functions, both weighed per chain; ``score`` is the good state's, the bad
+    one has 0.
+
+    Messages forward and backward are products of a 2 x 2 matrix per line, taken over spans that
+    double, so that a chain of any length takes as many steps as its length has binary digits.
+    """
     lengths = np.diff(first)
-    for group in _by_length(first):
-        n, steps = len(group), int(lengths[group].max())
-        place = first[group][:, None] + np.arange(steps)
-        inside = np.arange(steps) < lengths[group][:, None]
-        local = np.where(inside, score[np.minimum(place, len(score) - 1)], 0.0)
-        ahead = np.zeros((steps, n, 2))
-        ahead[0, :, 1] = local[:, 0]
-        for t in range(1, steps):
-            moved = np.logaddexp(ahead[t - 1, :, :1] + between[0], ahead[t - 1, :, 1:] + between[1])
-            moved[:, 1] += local[:, t]
-            ahead[t] = np.where(inside[:, t, None], moved, ahead[t - 1])
-        z = np.logaddexp(ahead[-1, :, 0], ahead[-1, :, 1])
-        total += z.sum()
-        back = np.zeros((n, 2))
-        for t in range(steps - 1, -1, -1):
-            here = inside[:, t]
-            p = np.exp(np.clip(ahead[t, :, 1] + back[:, 1] - z, -700, 0))
-            good[place[here, t]] = p[here]
-            if t:
-                follow = back.copy()
-                follow[:, 1] += local[:, t]
-                joint = ahead[t - 1][:, :, None] + between[None] + follow[:, None, :] - z[:, None, None]
-                pairs += np.exp(np.clip(joint[here], -700, 0)).sum(axis=0)
-                moved = np.logaddexp(between[:, 0] + follow[:, :1], between[:, 1] + follow[:, 1:])
-                back = np.where(here[:, None], moved, back)
-    return good, pairs, total
-
-
-def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> Field:
-    """Weights of highest likelihood (with a small penalty), by Adam on the exact gradient."""
-    if len(labels) == 0 or labels.min() == labels.max():
-        return Field(np.zeros(WIDTH), np.zeros((2, 2)), float(labels.mean()) if len(labels) else 0.5)
+    weights = np.ones(len(lengths)) if weights is None else weights
+    n = len(score)
+    if n == 0:
+        return np.empty(0), np.zeros((2, 2)), 0.0
+    score = np.clip(score, -300, 300)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(n) - first[owner]
+    moves = between[None] + np.stack([np.zeros(n), score], axis=1)[:, None, :]
+    opening = place == 0
+    # the first line has no line before it: both rows are its own scores
+    moves[opening] = np.stack([np.zeros(opening.sum()), score[opening]], axis=1)[:, None, :]
+    top = moves.max(axis=(1, 2))
+    factors = np.exp(moves - top[:, None, None])
+    ahead, scale = _products(factors, place, top)
+    ahead = ahead[:, 0, :]
+    # from the end: the line after, transposed, so that the products run the same way
+    behind = np.ones((n, 2))
+    left = np.flatnonzero(place < lengths[owner] - 1)
+    turned = np.repeat(np.eye(2)[None], n, axis=0)
+    turned[left] = np.transpose(factors[left + 1], (0, 2, 1))
+    back, _ = _products(turned[::-1], (lengths[owner] - 1 - place)[::-1], np.zeros(n))
+    behind = back[::-1].sum(axis=1)
+    joint = ahead * behind
+    good = joint[:, 1] / joint.sum(axis=1)
+    inner = np.flatnonzero(~opening)
+    pair = ahead[inner - 1][:, :, None] * factors[inner] * behind[inner][:, None, :]
+    pair *= (weights[owner[inner]] / pair.sum(axis=(1, 2)))[:, None, None]
+    ends = first[1:] - 1
+    total = float(weights @ (scale[ends] + np.log(ahead[ends].sum(axis=1))))
+    return good, pair.sum(axis=0), total
+
+
+def objective(theta: np.ndarray, x: np.ndarray, first: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """The chains' negative log-likelihood, weighed per chain, and its gradient; without penalty."""
+    score, between = x @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
     lines = np.diff(first)
-    state = np.repeat(labels, lines).astype(float)
-    # every document and either label weighs the same
-    share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) / lines
-    weight = np.repeat(share, lines)
-    # the chains of long documents are cut, as a chain's lines follow each other in time
-    first = np.unique(np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(first, first[1:])] + [first[-1:]]))
-    theta, moment, power = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
-    observed = np.zeros((2, 2))
+    good, pairs, total = marginals(score, first, between, weights)
+    state, weight = np.repeat(labels, lines).astype(float), np.repeat(weights, lines)
+    stays = np.zeros((2, 2))
     for mark in (0, 1):
-        observed[mark, mark] = (np.diff(first)[state[first[:-1]] == mark] - 1).sum()
-    for step in range(1, steps + 1):
-        good, pairs, _ = marginals(x @ theta[:WIDTH], first, theta[WIDTH:].reshape(2, 2))
-        gradient = np.concatenate([x.T @ (weight * (good - state)), ((pairs - observed) / lines.sum()).ravel()])
-        gradient += penalty * theta
-        moment = 0.9 * moment + 0.1 * gradient
-        power = 0.99 * power + 0.01 * gradient**2
-        rate = 0.2 * min(1.0, 2 * (1 - step / (steps + 1)))
-        theta -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(power / (1 - 0.99**step)) + 1e-8)
+        stays[mark, mark] = weights[labels == mark] @ (lines[labels == mark] - 1)
+    loss = total - float(weight @ (state * score)) - float((stays * between).sum())
+    return loss, np.concatenate([x.T @ (weight * (good - state)), (pairs - stays).ravel()])
+
+
+def minimise(measure: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
+    """The weights of least loss (with a small penalty), by limited-memory BFGS; ``measure`` is
+    called about once a step."""
+
+    def whole(theta):
+        loss, gradient = measure(theta)
+        return loss + penalty / 2 * float(theta @ theta), gradient + penalty * theta
+
+    theta, pasts = np.zeros(size), []
+    loss, gradient = whole(theta)
+    for _ in range(steps):
+        direction, held = -gradient, []
+        for moved, turned, rho in reversed(pasts):
+            held.append(rho * float(moved @ direction))
+            direction = direction - held[-1] * turned
+        if pasts:
+            moved, turned, _ = pasts[-1]
+            direction = direction * (float(moved @ turned) / float(turned @ turned))
+        else:
+            direction = direction / max(1.0, float(np.linalg.norm(direction)))
+        for (moved, turned, rho), share in zip(pasts, reversed(held)):
+            direction = direction + (share - rho * float(turned @ direction)) * moved
+        slope, length = float(gradient @ direction), 1.0
+        while True:
+            new_loss, new_gradient = whole(theta + length * direction)
+            if new_loss <= loss + 1e-4 * length * slope or length < 1e-6:
+                break
+            length /= 2
+        moved, turned = length * direction, new_gradient - gradient
+        gained = loss - new_loss
+        theta, loss, gradient = theta + moved, new_loss, new_gradient
+        if float(moved @ turned) > 1e-12:
+            pasts = [*pasts[-(MEMORY - 1) :], (moved, turned, 1 / float(moved @ turned))]
+        if gained < 1e-6 * max(1.0, abs(loss)):
+            break
+    return theta
+
+
+def _field(theta: np.ndarray) -> Field:
     return Field(theta[:WIDTH], theta[WIDTH:].reshape(2, 2))
 
 
+def chain_weights(lines: np.ndarray, labels: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Every document of a label, and either label, weighs the same, whatever its lines."""
+    return np.where(labels == 1, 0.5 / max(n_good, 1), 0.5 / max(n_bad, 1)) / lines
+
+
+def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Field:
+    """The field of highest likelihood for chains that lie in memory."""
+    if len(labels) == 0 or labels.min() == labels.max():
+        return Field(np.zeros(WIDTH), np.zeros((2, 2)), float(labels.mean()) if len(labels) else 0.5)
+    weights = chain_weights(np.diff(first), labels, int((labels == 0).sum()), int((labels == 1).sum()))
+    return _field(minimise(lambda theta: objective(theta, x, first, labels, weights), WIDTH + 4))
+
+
 def document_scores(texts: pa.Array, field: Field) -> np.ndarray:
     if field.constant is not None:
         return np.full(len(texts), field.constant)
@@ -215,18 +276,42 @@ def train(documents: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) ->
     # at most ``sample_size`` rows of two numbers
     sample = texts.join(F.broadcast(materialise(chosen, "quality-labels")), "doc_id")
 
-    def per_batch(batch):
+    counts = {row.quality: row.n for row in sample.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return Field(np.zeros(WIDTH), np.zeros((2, 2)), float(next(iter(counts), 0.5)))
+
+    def inputs(batch):
         for i, j in words.slices(batch.column("text")):
             x, first, _ = line_features(batch.column("text").slice(i, j - i))
             held = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first, first[1:])]
             parts = [batch.column(name).slice(i, j - i) for name in ("doc_id", "quality")]
             yield pa.RecordBatch.from_arrays([*parts, pa.array(held, pa.binary())], names=["doc_id", "quality", "held"])
 
-    rows = arrow_map(sample, "doc_id long, quality int, held binary", per_batch).toArrow().sort_by("doc_id")
-    held = [np.frombuffer(h, dtype=np.float32).reshape(-1, WIDTH) for h in rows.column("held").to_pylist()]
-    x = np.concatenate(held).astype(np.float64) if held else np.zeros((0, WIDTH))
-    first = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(int)
-    return fit(x, first, rows.column("quality").to_numpy())
+    rows = materialise(arrow_map(sample, "doc_id long, quality int, held binary", inputs).repartition(FIT_TASKS, "doc_id"), "quality-inputs")
+
+    def measure(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss and gradient, summed in the tasks; of each batch some numbers come to the driver."""
+
+        def per_batch(batch):
+            labels, held = batch.column("quality").to_numpy(), batch.column("held")
+            chains = [np.frombuffer(h.as_buffer(), dtype=np.float32).reshape(-1, WIDTH) for h in held]
+            bounds = np.cumsum([0, *map(len, chains)])
+            total, begin = np.zeros(1 + len(theta)), 0
+            while begin < len(chains):
+                # chains of some lines together, one at least
+                end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + GROUP_LINES, side="right")) - 1)
+                first = bounds[begin : end + 1] - bounds[begin]
+                weights = chain_weights(np.diff(first), labels[begin:end], counts[0], counts[1])
+                loss, gradient = objective(theta, np.concatenate(chains[begin:end]).astype(np.float64), first, labels[begin:end], weights)
+                total += np.concatenate([[loss], gradient])
+                begin = end
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(0, 1), pa.array([total.tolist()])], names=["doc_id", "sums"])
+
+        sums = arrow_map(rows, "doc_id long, sums array<double>", per_batch).collect()
+        total = np.sum([row.sums for row in sorted(sums, key=lambda row: row.doc_id)], axis=0)
+        return float(total[0]), total[1:]
+
+    return _field(minimise(measure, WIDTH + 4))
 
 
 def score(documents: DataFrame, field: Field) -> DataFrame:

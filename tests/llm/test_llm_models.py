@@ -52,6 +52,49 @@ def test_the_chain_finds_toxic_documents_and_leaves_the_others(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k, p in found.items() if p < 0.5}
 
 
+def test_the_chains_probabilities_recomputed_plainly(spark):
+    """Word by word in dictionaries, with the models' weights."""
+    from listprep.llm import words
+
+    rows, labels = toxic_rows(400)
+    chain = toxicity.train(documents(spark, rows), labels_of(spark, labels))
+    place = {int(form): k for k, form in enumerate(chain.forms)}
+
+    def number(text, n=None):
+        found = words.words_of(pa.array([text]))
+        return int(found.hashes[0]) if n is None else int(words.span_hashes(words.prefix_sums(words.lowered(found.data)), np.array([0]), np.array([n]))[0]) ^ n
+
+    for row in toxicity.score(documents(spark, rows[:40]), chain).collect():
+        held = set()
+        for word in "".join(c if c.isalnum() else " " for c in dict(rows)[row.doc_id].lower()).split():
+            forms = [number(word), *[number(word, n) for n in toxicity.PREFIXES if len(word) > n]]
+            held |= {place[f] for f in forms if f in place}
+        earlier = []
+        for weights in chain.weights:
+            inputs = sum(weights[k] for k in held) + sum(w * p for w, p in zip(weights[len(place) :], earlier)) + weights[-1]
+            earlier.append(1 / (1 + np.exp(-inputs)))
+        assert np.allclose([*(row.categories[name] for name in chain.names[:-1]), row.toxic_probability], earlier)
+
+
+def test_a_folds_labels_have_no_part_in_its_forms(spark, monkeypatch):
+    """Other labels for one fold change the forms of the other folds alone."""
+    monkeypatch.setattr(toxicity, "FORMS", 40)
+    rows, labels = toxic_rows(300)
+
+    def chosen(turned):
+        docs, marks = documents(spark, rows), labels_of(spark, [(k, q, 1 - t if k in turned else t) for k, q, t in labels])
+        sample = toxicity._sample(docs, marks, 300)
+        return sample, toxicity._chosen_forms(sample)
+
+    sample, before = chosen(())
+    first_fold = {r.doc_id for r in sample.filter("fold = 0").collect()}
+    after = chosen(first_fold)[1]
+    assert len(first_fold) > 30 and np.array_equal(before[1], after[1])
+    assert not np.array_equal(before[0], after[0]) and not np.array_equal(before[2], after[2])
+    a, b = np.array([1, 2, 3], dtype=np.uint64), np.array([7, 8], dtype=np.uint64)
+    assert [m.tolist() for m in toxicity._aligned([np.array([8], dtype=np.uint64), a[:2]], [a, b, b[:1]])] == [[1, 2], [8], []]
+
+
 def test_toxicity_of_odd_tables(spark):
     rows, labels = toxic_rows(300)
     chain = toxicity.train(documents(spark, rows), labels_of(spark, [*labels, (None, 1, 1), (5, 1, None), (0, 1, 0), (0, 1, 1)]))
@@ -101,6 +144,42 @@ def test_marginals_are_those_of_all_state_sequences():
     assert np.allclose(good, expected) and np.allclose(pairs, expected_pairs) and np.isclose(total, log_z)
 
 
+def test_the_gradient_is_that_of_the_weighed_likelihood():
+    rng = np.random.default_rng(3)
+    first, labels, weights = np.array([0, 1, 20, 45, 60]), np.array([0, 1, 1, 0]), np.array([0.3, 0.1, 0.02, 0.2])
+    x, theta = rng.normal(size=(60, quality.WIDTH)), rng.normal(size=quality.WIDTH + 4) * 0.3
+    _, gradient = quality.objective(theta, x, first, labels, weights)
+    steps = np.eye(len(theta)) * 1e-6
+    plain = [(quality.objective(theta + s, x, first, labels, weights)[0] - quality.objective(theta - s, x, first, labels, weights)[0]) / 2e-6 for s in steps]
+    assert np.allclose(gradient, plain, atol=1e-7)
+    best = quality.minimise(lambda t: quality.objective(t, x, first, labels, weights), len(theta), steps=300)
+    assert np.abs(quality.objective(best, x, first, labels, weights)[1] + quality.PENALTY * best).max() < 1e-3
+
+
+def test_chains_of_any_length_have_finite_marginals():
+    rng = np.random.default_rng(4)
+    score, between = rng.normal(size=100_001) * 30, rng.normal(size=(2, 2)) * 5
+    good, pairs, total = quality.marginals(score, np.array([0, 100_000, 100_001]), between)
+    assert np.isfinite(good).all() and np.isfinite(total) and np.isclose(pairs.sum(), 99_999)
+    weighed = quality.marginals(score[:50], np.array([0, 30, 50]), between, np.array([2.0, 0.5]))
+    parts = [quality.marginals(score[a:b], np.array([0, b - a]), between) for a, b in ((0, 30), (30, 50))]
+    assert np.allclose(weighed[1], 2 * parts[0][1] + 0.5 * parts[1][1]) and np.isclose(weighed[2], 2 * parts[0][2] + 0.5 * parts[1][2])
+
+
+def test_the_fit_over_tasks_is_that_in_memory(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(80):
+        bad = k % 3 == 0
+        own = ["!!! ### BUY $$$ 99" if bad and rng.random() < 0.7 else "a plain line of words that goes on" for _ in range(rng.randint(1, 30))]
+        rows.append((k, "\n".join(own)))
+        labels.append((k, int(not bad), 0))
+    spread = quality.train(documents(spark, rows), labels_of(spark, labels))
+    x, first, _ = quality.line_features(pa.array([text for _, text in rows]))
+    whole = quality.fit(x.astype(np.float32).astype(float), first, np.array([q for _, q, _ in labels]))
+    assert np.allclose(spread.weights, whole.weights, atol=1e-2) and np.allclose(spread.between, whole.between, atol=1e-2)
+
+
 def test_line_features_of_one_text_do_not_depend_on_the_others():
     texts = ["One line\n\nTHREE!! THREE!!\n", "", "x", None, "a a a a a\nb"]
     x, first, length = quality.line_features(pa.array(texts))
