@@ -6,15 +6,22 @@ looks at it. Seeds of the benchmark and of the documents are joined on the hash;
 hit the item is laid over the document (item word ``i`` on document word ``diagonal + i``) and
 the longest stretch of words that agree well enough is measured.
 
+The masks were chosen so that every stretch of ``MIN_WORDS`` to 20 words that reaches
+``MIN_AGREEMENT`` has a window in which one of them sees equal words only, wherever the others
+are (the tests try all placements); longer stretches have more such windows. An item of fewer
+words is searched as a whole, word for word, by one window of its own length.
+
 Words are runs of letters, digits and non-ASCII bytes in lower case; other ASCII characters
-separate them. An item with fewer words than the longest mask is searched with no seeds and
-never reported: so few words prove nothing. Nulls count as empty texts; a null id takes no
-part. Rows that repeat an ``item_id`` or a ``doc_id`` count as separate texts under one id.
+separate them. Nulls count as empty texts; a null id takes no part; items without words and
+tables without rows give nothing. Rows that repeat an ``item_id`` or a ``doc_id`` count as separate
+texts under one id. Of equally good places the first in the document counts. Columns beside
+the ids and ``text`` are not looked at, whatever their names. Texts come in slices of a few MB, a
+longer one by itself; every hit takes only the words under its item on, however long the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -27,13 +34,16 @@ from ..storage import materialise
 from . import words
 from .tables import arrow_map
 
-#: Spans of 11 words, of which 6 have to agree, and 6 words in a row, which changed neighbours further on cannot hide.
-MASKS = ("11010010011", "10110001101", "11001101001", "111111")
+MASKS = ("111011", "110100011", "10010111", "1000100111")
 MIN_WORDS = 11
 MIN_AGREEMENT = 0.75
+#: Words of a short item that prove contamination; overlaps with shorter ones are reported only.
+LEAST_WORDS = 5
 #: Bits of the filter of benchmark hashes that goes to every task: 4 MB for each of two, whatever the benchmark's size.
 FILTER_BITS = 22
 
+_SHORT = 1 << 16
+
 HITS = "doc_id long, copy long, seeds array<long>, places array<int>, words binary"
 FOUND = "doc_id long, item_id long, doc_word int, item_word int, n_words int, n_agree int, item_words int"
 
@@ -42,14 +52,14 @@ def _hashes(texts: pa.Array) -> words.Words:
     return words.words_of(pc.utf8_lower(texts.fill_null("")), lower=False, breaks=words.NO_LETTER)
 
 
-def _seeds(found: words.Words, masks: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per mask: the hash of every window that lies within one text, and its first word."""
+def _seeds(found: words.Words, masks: Mapping[int, str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Per mask, by its number: the hash of every window that lies within one text, and its first word."""
     out = []
     h, first = found.hashes, found.first
-    for k, mask in enumerate(masks):
+    for number, mask in masks.items():
         span = len(mask)
         m = max(len(h) - span + 1, 0)
-        total = np.full(m, k + 1, dtype=np.uint64)
+        total = np.full(m, number, dtype=np.uint64)
         for j, bit in enumerate(mask):
             if bit == "1":
                 total *= np.uint64(words._BASE)
@@ -59,10 +69,26 @@ def _seeds(found: words.Words, masks: Sequence[str]) -> list[tuple[np.ndarray, n
             over = first[1:-1] - j
             inside[over[(over >= 0) & (over < m)]] = False
         place = np.flatnonzero(inside)
-        out.append((words.mix(total[place]), place))
+        out.append((number, words.mix(total[place]), place))
     return out
 
 
+def _numbered(masks: Sequence[str], short: Sequence[int]) -> dict[int, str]:
+    """The masks from 1 on; those of short items, which see every word, from ``_SHORT`` on."""
+    return {k: mask for k, mask in enumerate(masks, 1)} | {_SHORT + n: "1" * n for n in short}
+
+
+def _short_lengths(benchmark: DataFrame, min_words: int) -> list[int]:
+    """Numbers of words, below ``min_words``, that some item has: fewer than ``min_words`` numbers."""
+
+    def per_batch(batch):
+        counts = np.diff(_hashes(batch.column("text")).first)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(counts[counts < min_words]))], names=["n"])
+
+    found = arrow_map(benchmark.filter("item_id is not null").select("text"), "n long", per_batch).distinct()
+    return sorted(row.n for row in found.collect() if row.n)
+
+
 def _low(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -71,14 +97,17 @@ def _high(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def benchmark_seeds(benchmark: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
+def benchmark_seeds(benchmark: DataFrame, masks: Mapping[int, str], min_words: int) -> DataFrame:
     """``seed``, ``item_id``, ``item_place`` of every window of every item, each once."""
 
     def per_batch(batch):
         found = _hashes(batch.column("text"))
         ids = batch.column("item_id").to_numpy(zero_copy_only=False)
-        for seed, place in _seeds(found, masks):
+        counts = np.diff(found.first)
+        for number, seed, place in _seeds(found, masks):
             owner = np.searchsorted(found.first, place, side="right") - 1
+            own = counts[owner] == number - _SHORT if number > _SHORT else counts[owner] >= min_words
+            seed, place, owner = seed[own], place[own], owner[own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(seed.view(np.int64)), pa.array(ids[owner]), pa.array((place - found.first[owner]).astype(np.int32))],
                 names=["seed", "item_id", "item_place"],
@@ -100,7 +129,7 @@ def _filters(seeds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tables[0], tables[1]
 
 
-def _scan(documents: DataFrame, seeds: DataFrame, masks: Sequence[str]) -> DataFrame:
+def _scan(documents: DataFrame, seeds: DataFrame, masks: Mapping[int, str]) -> DataFrame:
     """Documents with a window that may be one of the benchmark's: those windows and all words."""
     shared = documents.sparkSession.sparkContext.broadcast(_filters(seeds))
 
@@ -110,7 +139,7 @@ def _scan(documents: DataFrame, seeds: DataFrame, masks: Sequence[str]) -> DataF
         for i, j in words.slices(texts):
             found = _hashes(texts.slice(i, j - i))
             hit_seed, hit_place = [], []
-            for seed, place in _seeds(found, masks):
+            for _, seed, place in _seeds(found, masks):
                 maybe = np.flatnonzero(low[_low(seed)])
                 maybe = maybe[high[_high(seed[maybe])]]
                 hit_seed.append(seed[maybe])
@@ -172,13 +201,15 @@ def overlaps(
 ) -> DataFrame:
     """One row per document and item that share a stretch of at least ``min_words`` words of
     which the share ``min_agreement`` agrees; on one diagonal the longest, of several diagonals the one
-    with most agreement. A stretch in which no mask agrees is not found.
+    with most agreement. An item of fewer words has to be there word for word. With other masks
+    than the default, a stretch in which none of them agrees is not found.
 
     ``doc_word``, ``item_word``: first word of the stretch in either text; ``n_words``: its
     length; ``n_agree``: words that agree; ``item_words``: length of the item.
     """
-    seeds = materialise(benchmark_seeds(benchmark, masks), "seeds")
-    scanned = materialise(_scan(documents, seeds, masks), "scanned")
+    numbered = _numbered(masks, _short_lengths(benchmark, min_words))
+    seeds = materialise(benchmark_seeds(benchmark, numbered, min_words), "seeds")
+    scanned = materialise(_scan(documents, seeds, numbered), "scanned")
     hits = scanned.select("doc_id", "copy", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     hits = hits.select("doc_id", "copy", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     laid = (
@@ -200,18 +231,23 @@ def overlaps(
         "item_id long, item binary",
         item_words,
     )
-    pairs = laid.join(scanned.select("doc_id", "copy", "words"), ["doc_id", "copy"]).join(items, "item_id")
+    # of the document only the words under the item
+    pairs = laid.join(materialise(items, "items"), "item_id").join(scanned.select("doc_id", "copy", "words"), ["doc_id", "copy"])
+    begin = F.greatest("diagonal", F.lit(0))
+    size = F.col("diagonal") + (F.octet_length("item") / 8).cast("int") - begin
+    pairs = pairs.select("doc_id", "item_id", "diagonal", F.substring("words", begin * 8 + 1, size * 8).alias("words"), "item")
 
     def measure(batch):
         out = []
         columns = [batch.column(name).to_pylist() for name in ("doc_id", "item_id", "diagonal", "words", "item")]
         for doc_id, item_id, diagonal, text, item in zip(*columns):
             text, item = np.frombuffer(text, dtype=np.uint64), np.frombuffer(item, dtype=np.uint64)
-            low, high = max(0, -diagonal), min(len(item), len(text) - diagonal)
-            if high - low < min_words:
-                continue
-            agree = text[low + diagonal : high + diagonal] == item[low:high]
-            begin, end = _best_stretch(agree, min_agreement, min_words)
+            low = max(0, -diagonal)
+            agree = text == item[low : low + len(text)]
+            if len(item) < min_words:
+                begin, end = (0, len(item)) if len(text) == len(item) and agree.all() else (0, 0)
+            else:
+                begin, end = _best_stretch(agree, min_agreement, min_words)
             if end > begin:
                 begin, end = begin + low, end + low
                 same = int(agree[begin - low : end - low].sum())
@@ -230,5 +266,5 @@ def overlaps(
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The ids of documents that overlap with an item, each once."""
-    return overlaps(documents, benchmark, **options).select("doc_id").distinct()
+    """The ids of documents that overlap with an item in ``LEAST_WORDS`` words at least, each once."""
+    return overlaps(documents, benchmark, **options).filter(F.col("n_words") >= LEAST_WORDS).select("doc_id").distinct()

@@ -8,7 +8,9 @@ window and may lie inside one.
 
 A null text stays null and an empty one empty; a text of fewer than three lines has no window.
 Rows that agree in ``doc_id`` and text are one document and are treated alike. Other columns
-are kept; one named ``n_lines`` or ``n_removed`` is replaced.
+are kept; one named ``n_lines`` or ``n_removed``, in whatever case, is replaced by ``dedup_lines``
+and kept by ``cut_lines``, which adds free names. A table without rows gives none. A text is
+split by itself, whatever its length.
 """
 
 from __future__ import annotations
@@ -65,15 +67,15 @@ def without(text: str | None, places: list[int] | None) -> tuple[str | None, int
     return "\n".join(line for i, line in enumerate(lines) if i not in covered), len(lines), len(covered)
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """All rows of ``documents`` with ``text`` rid of repeated windows, ``n_lines`` (lines before)
-    and ``n_removed``."""
-    kept = [name for name in documents.columns if name not in ("n_lines", "n_removed")]
+def cut_lines(documents: DataFrame) -> tuple[DataFrame, str, str]:
+    """All rows and columns of ``documents`` with ``text`` rid of repeated windows, and two columns
+    more under free names: the number of lines before, and of lines removed."""
+    kept = documents.columns
     later = later_windows(documents.select("doc_id", "text"))
-    of_id, version, held = free_names(documents, "_later_id", "_later_version", "_places")
+    of_id, version, held, lines, removed = free_names(documents, "_later_id", "_later_version", "_places", "_lines", "_removed")
     later = later.select(F.col("doc_id").alias(of_id), F.col("version").alias(version), F.col("places").alias(held))
     same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(version))
-    rows = documents.select(*[F.col(f"`{name}`") for name in kept]).join(later, same, "left").drop(of_id, version)
+    rows = documents.join(later, same, "left").drop(of_id, version)
 
     def per_batch(batch):
         texts, places = batch.column("text").to_pylist(), batch.column(held).to_pylist()
@@ -81,10 +83,18 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         new = {"text": pa.array(text, batch.schema.field("text").type)}
         columns = [new.get(name, batch.column(name)) for name in kept]
         counts = [pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())]
-        yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*kept, "n_lines", "n_removed"])
+        yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*kept, lines, removed])
+
+    schema = T.StructType(list(documents.schema.fields)).add(lines, "integer").add(removed, "integer")
+    return arrow_map(rows, schema, per_batch), lines, removed
 
-    schema = T.StructType([documents.schema[name] for name in kept]).add("n_lines", "integer").add("n_removed", "integer")
-    return arrow_map(rows, schema, per_batch)
+
+def dedup_lines(documents: DataFrame) -> DataFrame:
+    """All rows of ``documents`` with ``text`` rid of repeated windows, ``n_lines`` (lines before)
+    and ``n_removed``."""
+    cut, lines, removed = cut_lines(documents)
+    kept = [F.col(f"`{name}`") for name in documents.columns if name.lower() not in ("n_lines", "n_removed")]
+    return cut.select(*kept, F.col(lines).alias("n_lines"), F.col(removed).alias("n_removed"))
 
 
 #: The rows of ``dedup_lines`` in DuckDB; ``{documents}`` is the table.

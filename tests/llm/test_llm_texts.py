@@ -256,29 +256,58 @@ def test_passages_with_changed_words_are_found_and_others_left(spark, items):
             assert (r.doc_word, r.item_word, r.n_words, r.n_agree) == (30, 0, r.item_words, r.item_words)
 
 
-def test_hits_are_those_of_a_plain_search(spark, items):
-    """Every placement that a mask hits and that agrees well enough, found by trying all."""
+def test_hits_are_those_of_a_plain_search(spark):
+    """Every stretch of enough words that agrees well enough, found by trying all begin and end pairs."""
     rng = random.Random(5)
     vocabulary = [f"v{k}" for k in range(6)]
     small = [(k, " ".join(rng.choice(vocabulary) for _ in range(16))) for k in range(6)]
     rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(40))) for k in range(60)]
+    for k in range(60, 100):
+        own = rng.choice(small)[1].split()
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(16)] = "x"
+        rows.append((k, " ".join(["y"] * rng.randint(0, 3) + own)))
     expected = set()
     for (d, text), (i, item) in itertools.product(rows, small):
         a, b = text.split(), item.split()
         for diagonal in range(-len(b), len(a)):
             low, high = max(0, -diagonal), min(len(b), len(a) - diagonal)
             agree = [a[k + diagonal] == b[k] for k in range(low, high)]
-            hit = any(
-                all(agree[s + j] for j, bit in enumerate(mask) if bit == "1")
-                for mask in decontaminate.MASKS
-                for s in range(len(agree) - len(mask) + 1)
-            )
-            if hit and high - low >= 11:
-                begin, end = decontaminate._best_stretch(__import__("numpy").array(agree), 0.75)
-                if end - begin >= 11:
+            for begin, end in itertools.combinations(range(len(agree) + 1), 2):
+                if end - begin >= 11 and agree[begin] and agree[end - 1] and 4 * sum(agree[begin:end]) >= 3 * (end - begin):
                     expected.add((d, i))
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(documents(spark, rows), bench(spark, small)).collect()}
-    assert got == expected
+    assert got == expected and len(expected) > 30
+
+
+@pytest.mark.parametrize("n", range(11, 21))
+def test_some_mask_hits_wherever_the_other_words_are(n):
+    """All ways to place as many changed words as the agreement allows inside a stretch."""
+    changed = n - -(-3 * n // 4)
+    seen = [sum(1 << (o + j) for j, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for o in range(n - len(m) + 1)]
+    missed = total = 0
+    for places in itertools.combinations(range(1, n - 1), changed):
+        at = sum(1 << k for k in places)
+        total += 1
+        missed += all(mask & at for mask in seen)
+    assert missed <= 0.001 * total
+
+
+def test_short_items_have_to_be_there_word_for_word(spark):
+    items = [(n, " ".join(f"s{n}w{k}" for k in range(n))) for n in range(1, 11)] + [(20, "")]
+    texts = {n: f"Before it, {text.upper()}! after it" for n, text in items}
+    rows = [*texts.items(), (30, "s4w0 s4w1 x s4w3"), (31, "s10w0 s10w1 s10w2 s10w3 s10w4 s10w5 s10w6 s10w7 s10w8 x"), (32, "s2w0 and s2w1")]
+    found = decontaminate.overlaps(documents(spark, rows), bench(spark, items)).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_words, r.n_agree, r.doc_word) for r in found) == [(n, n, n, n, 2) for n in range(1, 11)]
+    gone = decontaminate.contaminated(documents(spark, rows), bench(spark, items)).collect()
+    assert sorted(r.doc_id for r in gone) == [n for n in range(1, 11) if n >= decontaminate.LEAST_WORDS]
+
+
+def test_one_word_over_and_over(spark):
+    item = " ".join(["word"] * 12 + [f"z{k}" for k in range(12)])
+    rows = [(1, "word " * 100_000), (2, "word " * 50_000 + " ".join(f"z{k}" for k in range(12)))]
+    found = decontaminate.overlaps(documents(spark, rows), bench(spark, [(1, item)])).collect()
+    assert sorted((r.doc_id, r.doc_word, r.item_word, r.n_words, r.n_agree) for r in found) == [(1, 0, 0, 12, 12), (2, 49_988, 0, 24, 24)]
 
 
 def test_decontamination_of_odd_tables(spark, items):
@@ -286,7 +315,7 @@ def test_decontamination_of_odd_tables(spark, items):
     rows = [(1, None), (2, ""), (None, passage), (4, passage), (4, passage), (5, (passage + " . ") * 400), (6, "one two three")]
     odd = [*items, (None, passage), (50, None), (51, ""), (52, "one two three"), (3, items[3][1])]
     found = decontaminate.overlaps(documents(spark, rows), bench(spark, odd)).collect()
-    assert sorted((r.doc_id, r.item_id) for r in found) == [(4, 3), (5, 3)]
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(4, 3), (5, 3), (6, 52)]
     assert decontaminate.contaminated(documents(spark, rows), bench(spark, odd)).count() == 2
     assert decontaminate.overlaps(documents(spark, []), bench(spark, items)).count() == 0
     assert decontaminate.overlaps(documents(spark, rows), bench(spark, [])).count() == 0
