@@ -30,8 +30,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = linededup.dedup_lines(docs)
-    changed = F.col("n_removed") > 0
+    cleaned, _, removed = linededup.cut_lines(docs)
+    changed = F.col(removed) > 0
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         cleaned = cleaned.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
