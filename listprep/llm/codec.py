@@ -21,8 +21,8 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-#: Places where the order-0 frequencies counted so far come into force.
-RENEWALS = frozenset((64, 192, 448, 960, 1984))
+#: Places where the order-0 frequencies counted so far come into force, up to the block's end.
+RENEWALS = frozenset((64, 192, 448, 960, 1472, 1984, 2496, 3008, 3520))
 SLOTS = (512, 1024)
 BITS = 12
 TOTAL = 1 << BITS
@@ -162,13 +162,20 @@ def _lengths(total: int) -> tuple[int, int]:
     return count, total - (count - 1) * BLOCK
 
 
+def checked(ids: np.ndarray) -> np.ndarray:
+    """The ids in 16 bits; an error where one does not fit."""
+    if len(ids) and (int(ids.max()) > 65535 or int(ids.min()) < 0):
+        raise ValueError("ids have to be below 65536")
+    return ids.astype(np.uint16)
+
+
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """The ids in blocks of ``BLOCK`` (the last may be shorter), each coded by itself."""
     count, tail = _lengths(len(ids))
     if count == 0:
         return []
     padded = np.zeros((count, BLOCK), dtype=np.uint16)
-    padded.ravel()[: len(ids)] = ids
+    padded.ravel()[: len(ids)] = checked(np.asarray(ids))
     steps = np.ascontiguousarray(padded.T)
     models, coder = _Models(count, slots=False), _Writer(count)
     for t in range(BLOCK):

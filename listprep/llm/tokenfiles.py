@@ -8,8 +8,11 @@ in bytes (u32) and the checksum of its ids (u32, see ``codec.checksum``); then t
 (``codec``), each of ``codec.BLOCK`` ids but the last. A frame ends with the document that
 brings it to ``FRAME`` ids, so that it can be read without any other.
 
-Documents are sorted by ``doc_id`` (null first), rows that repeat one by their text. Null texts
-are empty and have the end id alone.
+Documents are sorted by ``doc_id`` (null first), rows that repeat one by a hash of their text, so
+that an id of many rows is no single task's. Null texts are empty and have the end id alone. A
+table without rows gives no frames; columns beside ``doc_id`` and ``text`` are not looked at,
+whatever their names. Texts come in slices of a few MB, a longer one by itself and in a frame that
+it closes. Ids of 65536 and more are an error.
 """
 
 from __future__ import annotations
@@ -72,7 +75,9 @@ def write(documents: DataFrame, folder: str, path: str | None = None, end_id: in
     ship(documents.sparkSession)
     path = path or tokens.vocabulary_path(tokens.WORD_BPE)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # an id that many rows have, or none, is dealt over several ranges by its texts
+    key = F.xxhash64("text").alias("key")
+    rows = rows.select("*", key).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text").drop("key")
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path, drops_white_space=True)
@@ -92,7 +97,7 @@ def write(documents: DataFrame, folder: str, path: str | None = None, end_id: in
             for i, j in words.slices(texts):
                 ids, first = encoder.encode(texts.slice(i, j - i))
                 # the end id after each document
-                held.append(np.insert(ids, first[1:], end_id).astype(np.uint16))
+                held.append(codec.checked(np.insert(ids, first[1:], end_id)))
                 lengths.append(np.diff(first) + 1)
                 doc_ids += batch.column("doc_id").slice(i, j - i).to_pylist()
                 size += len(held[-1])

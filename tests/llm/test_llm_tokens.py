@@ -43,6 +43,12 @@ def test_coded_blocks_give_their_ids_back(n, kind):
     assert (codec.decode_blocks(blocks, n) == ids).all()
 
 
+def test_ids_that_do_not_fit_are_an_error():
+    for ids in ([65536], [3, -1]):
+        with pytest.raises(ValueError, match="65536"):
+            codec.encode_blocks(np.array(ids))
+
+
 def test_blocks_do_not_depend_on_each_other():
     ids = np.arange(2 * codec.BLOCK) % 977
     both = codec.encode_blocks(ids)
