@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..operators.dedup import key_bits, with_bits
+from ..storage import drop, materialise, sweep
 from . import words
 from .components import components
 from .neardup import links
@@ -221,15 +222,26 @@ def repeats(
     """Spans to remove: ``doc_id``, ``copy``, ``start`` and ``end`` (characters, the end not
     included), ``n_words``, ``paragraphs`` and ``first_doc_id`` (of the first paragraph's first
     occurrence)."""
-    ship(documents.sparkSession)
+    spark = documents.sparkSession
+    ship(spark)
     bands, rows = tuned_bands(percent / 100, recall)
     # the bands follow from the set and are carried along; places are not needed before the end, and read from the texts then
     units = _units(documents, shingle, least, (bands, rows))
-    classes = units.groupBy("set_a", "set_b", "size", "bands").agg(F.min(F.struct("doc_id", "copy", "segment")).alias("at"), F.count("*").alias("copies"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    posted = classes.select("node", F.explode("bands").alias("value"))
-    lengths = posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    lists = materialise(posted.join(lengths, "value"), "lists")
+    # equal sets have equal bands; places are not needed before the end, and read from the texts then
+    classes = units.groupBy("set_a", "set_b").agg(
+        F.min(F.struct("doc_id", "copy", "segment")).alias("at"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")
+    )
+    banded = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    del units, classes
+    sweep(spark)
+    posted = banded.select("node", F.explode("bands").alias("value"))
+    lengths = materialise(posted.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1"), "lengths")
+    # nearly all values belong to one class; a bitmap of fixed size leaves them in the scan
+    lists = materialise(with_bits(posted, "value", key_bits(lengths, "value")).join(lengths, "value"), "lists")
+    classes = materialise(banded.drop("bands"), "classes")
+    del posted, lengths
+    drop(banded)
+    sweep(spark)
     # classes that share a list agree on one band at least: no signature is compared
     colliding = classes.join(lists.select("node").distinct(), "node", "left_semi")
     colliding = materialise(colliding.select("node", "size", F.array().cast("array<long>").alias("signature")), "colliding")
@@ -238,12 +250,15 @@ def repeats(
         lists, colliding, lambda wanted: _sets_of(documents, whereabouts.join(wanted, "node", "left_semi"), shingle, least), 0, percent
     )
     found = components(materialise(edges, "links"))
+    del edges
+    sweep(spark)
     # classes that occur once and link with nothing have no repeats
     linked = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component")).distinct()
     groups = classes.select("set_a", "set_b", "node", "copies").join(linked, "node", "left").filter("copies > 1 or component is not null")
     groups = materialise(groups.select("set_a", "set_b", F.coalesce("component", "node").alias("component")), "groups")
     places = _units(documents, shingle, least)
     places = materialise(places.join(groups, ["set_a", "set_b"]).drop("set_a", "set_b"), "places")
+    sweep(spark)
     here = F.struct("doc_id", "copy", "start", "end", "lead_words")
     first = materialise(places.groupBy("component").agg(F.min(here).alias("first")), "firsts")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
