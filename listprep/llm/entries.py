@@ -59,7 +59,7 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt without the held-out third of the labels."""
     documents = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     field = quality.train(documents, table(spark, sf_dir, "labels").filter(~held_out))
     scored = quality.score(documents, field)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -137,4 +137,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_top_k": topk.SQL,
         "op6_line_dedup": linededup.SQL.format(documents="documents"),
+        "op11_fill_in_middle": fim.SQL,
     }

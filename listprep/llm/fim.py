@@ -300,3 +300,26 @@ def digests(outputs: DataFrame, setting: Setting = Setting()) -> DataFrame:
         "output_sha256 string, restored_sha256 string",
         lambda reader, form: (_digest(reader.stream(0, reader.size)), _digest(restored(reader, form, setting))),
     )
+
+
+#: The rows of ``op11_fill_in_middle`` in DuckDB, with the default setting.
+SQL = r"""
+WITH base AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+           [CAST('0x' || substr(h, 8 * k + 1, 8) AS UBIGINT) FOR k IN range(4)] AS h FROM base
+), placed AS (
+    SELECT doc_id, text, lines, h, len(lines) AS n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS a,
+           greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS b FROM drawn
+), parts AS (
+    SELECT doc_id, text, n, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle,
+           array_to_string(lines[b + 1:], '') AS suffix,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""

@@ -18,7 +18,7 @@ def test_queries_give_the_rows_of_their_sql(spark, name):
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = set(entry_points.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
 
