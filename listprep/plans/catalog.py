@@ -735,25 +735,43 @@ def small_splits(spark: SparkSession, size: int):
         spark.conf.set(name, before)
 
 
+#: Lines of one written file, the work of one task, where there are more than the least number of files.
+FILE_LINES = 500_000
+#: Splits that files written for a query are cut into, where these are neither very small nor very large.
+MANY_SPLITS = 256
+
+
 def written_lines(df: DataFrame, line: Column, path: str, n_files: int = 2, header: str | None = None, charset: str = "UTF-8") -> str:
-    """Text files of one line per row, as they are, in the order of ``row_id``, each with the header."""
+    """Text files of one line per row, as they are, in the order of ``row_id``, each with the header;
+    ``n_files``, or more where they would grow beyond ``FILE_LINES``."""
+    n_files = max(n_files, -(-df.count() // FILE_LINES))
     first = F.monotonically_increasing_id().bitwiseAND(F.lit(files.SPLIT_ROWS - 1)) == 0
-    ordered = df.repartitionByRange(n_files, "row_id").sortWithinPartitions("row_id")
-    value = F.when(first, F.concat(F.lit(f"{header}\n"), line)).otherwise(line) if header else line
+    # the lines, not the rows, are sorted
+    ordered = df.select("row_id", line.alias("_line")).repartitionByRange(n_files, "row_id").sortWithinPartitions("row_id")
+    value = F.when(first, F.concat(F.lit(f"{header}\n"), F.col("_line"))).otherwise(F.col("_line")) if header else F.col("_line")
     ordered.select(F.encode(value, charset).cast("string").alias("value")).write.text(path)
     return path
 
 
+def split_bytes(spark: SparkSession, folder: str, least: int = 4096, most: int = 128 << 20) -> int:
+    """The size of splits that cuts the files of a folder into some ``MANY_SPLITS``."""
+    system, place = files.file_system(spark, folder)
+    return min(max(least, system.getContentSummary(place).getLength() // MANY_SPLITS), most)
+
+
 @query
 def quoted_line_breaks(spark, sf_dir):
-    """Fields over several lines, in files of two character sets that are cut into many splits."""
+    """Fields over several lines, in files of two character sets that are cut into many splits.
+
+    Their number is bounded, as each is a task of every pass over the lines.
+    """
     row = F.col("row_id")
     note = F.when(row % 3 == 0, F.concat(F.lit('"Zürich\n, ""'), row, F.lit('""\n\nend"'))).when(row % 3 == 1, '5" pipe').otherwise('""')
     line, folder = F.concat_ws(",", row, note, F.col("city")), new_path(spark, "quoted-breaks")
     for part, charset in enumerate(("UTF-8", "ISO-8859-1")):
         half = vehicle_sales(spark, sf_dir).filter(row % 2 == part)
         written_lines(half, line, f"{folder}/{charset}", header="row_id,note,city", charset=charset)
-    with small_splits(spark, 4096):
+    with small_splits(spark, split_bytes(spark, folder)):
         scan = records.scan_records(spark, f"{folder}/*", quoted_breaks=True)
         return materialise(scan.records.drop(files.PLACE), "read-quoted")
 

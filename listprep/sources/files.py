@@ -57,7 +57,7 @@ def choose_layout(names: Sequence[str], legacy: Mapping, current: Mapping, marke
     return legacy if any(marker in name.strip().lower() for name in names) else current
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     place = make(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
@@ -65,7 +65,7 @@ def _file_system(spark: SparkSession, path: str):
 
 def is_there(spark: SparkSession, path: str) -> bool:
     """Whether a path or pattern names anything; other errors than its absence rise."""
-    system, place = _file_system(spark, path)
+    system, place = file_system(spark, path)
     found = system.globStatus(place)
     return bool(found)
 
@@ -79,12 +79,12 @@ def check_paths(spark: SparkSession, paths: Mapping[str, str]) -> None:
 
 def check_output(spark: SparkSession, path: str) -> None:
     """Raise when the output is there already, or its folder cannot be made and written to."""
-    system, place = _file_system(spark, path)
+    system, place = file_system(spark, path)
     if system.exists(place):
         raise ValueError(f"{path} is there already; outputs are never overwritten")
     folder = path.rstrip("/").rsplit("/", 1)[0]
-    _, parent = _file_system(spark, folder)
-    _, probe = _file_system(spark, f"{folder}/.writable-{uuid.uuid4().hex}")
+    _, parent = file_system(spark, folder)
+    _, probe = file_system(spark, f"{folder}/.writable-{uuid.uuid4().hex}")
     try:
         before = system.exists(parent)
         system.create(probe, False).close()
