@@ -796,12 +796,13 @@ def _positional_lines(spark: SparkSession, sf_dir: str) -> records.Scan:
     row = F.col("row_id")
     line = F.when(row % 7 == 0, F.concat_ws(",", row, F.lit('"'), "vin")).otherwise(F.concat_ws(",", row, "vin", F.lit('5" x')))
     path = written_lines(vehicle_sales(spark, sf_dir), line, new_path(spark, "positional-lines"), n_files=1)
-    return records.scan_records(spark, path, ",", positions={0: "row_id", 1: "vin"})
+    return records.scan_records(spark, path, ",", positions={0: "row_id", 1: "vin"}, parts=True)
 
 
 @query
 def positional_bad_lines(spark, sf_dir):
-    """Lines of a file without header that leave a quote open, with their numbers in the file."""
+    """Lines of a file without header that leave a quote open, with their numbers in the file,
+    which comes in parts when it is large."""
     return _positional_lines(spark, sf_dir).bad_lines.select("line_no", "reason", "line")
 
 

@@ -53,10 +53,12 @@ def scan_records(
     positions: Mapping[int, str] | None = None,
     optional: Sequence[str] = (),
     fallback: str = "ISO-8859-1",
+    parts: bool = False,
 ) -> Scan:
     """Files with a header line each (S1, S3-S5), or, with ``positions``, columns named by their
     place in files without one (S2). With ``quoted_breaks`` a record ends at a line feed outside
-    quotes, else at any line end."""
+    quotes, else at any line end. With ``parts`` the files are one that was cut between records:
+    the numbers of their lines go on through them, in the order of their names."""
     sep = sep or detect_delimiter(header_line(spark, path))
     lines = placed_lines(spark, path, sep, quoted_breaks)
     joined, unclosed = _records(lines, quoted_breaks)
@@ -138,10 +140,10 @@ def _composed(opens: np.ndarray, stays: np.ndarray, inside: bool) -> np.ndarray:
     return base ^ (turned % 2 == 1)
 
 
-def split_table(lines: DataFrame, quoted_breaks: bool) -> DataFrame:
-    """One row per split: the number of its file, of lines before it, and, with quoted breaks,
-    whether it begins ``inside`` a field, the line its first record began on, and the line from
-    which on the file's last record is never closed."""
+def split_table(lines: DataFrame, quoted_breaks: bool, parts: bool = False) -> DataFrame:
+    """One row per split: the number of its file, of lines before it (in the file, or with ``parts``
+    in all), and, with quoted breaks, whether it begins ``inside`` a field, the line its first record
+    began on, and the line from which on the file's last record is never closed."""
     keys = ("file", "start")
     aggregates = [F.count("*").alias("n"), F.min("place").alias("first")]
     if quoted_breaks:
@@ -154,9 +156,10 @@ def split_table(lines: DataFrame, quoted_breaks: bool) -> DataFrame:
     numbered = splits.withColumns(
         {
             "file_no": F.dense_rank().over(Window.orderBy("file")).cast("long"),
-            "shift": F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1,
+            "shift": F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first") + 1,
         }
     )
+    ahead = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1) if parts else before
     if not quoted_breaks:
         return numbered.select(*keys, "file_no", "shift")
 
@@ -187,9 +190,10 @@ def split_table(lines: DataFrame, quoted_breaks: bool) -> DataFrame:
     )
 
 
-def _records(lines: DataFrame, quoted_breaks: bool) -> tuple[DataFrame, DataFrame]:
+def _records(lines: DataFrame, quoted_breaks: bool, parts: bool) -> tuple[DataFrame, DataFrame]:
     """Records as ``file``, ``file_no``, ``line_no`` and raw ``line``, and the lines that belong to none."""
-    splits = split_table(lines, quoted_breaks)
+    # written, as every later pass over the lines needs it
+    splits = materialise(split_table(lines, quoted_breaks, parts), "splits")
     splits = F.broadcast(splits) if fits_broadcast(splits) else splits
     keys = ["file", "start"]
     rows = lines.join(splits, keys).withColumn("line_no", F.col("place") + F.col("shift")).withColumn("line", F.col("line").cast("string"))
@@ -203,10 +207,10 @@ def _records(lines: DataFrame, quoted_breaks: bool) -> tuple[DataFrame, DataFram
     open_end = F.coalesce(F.col("line_no") >= F.col("unclosed"), F.lit(False))
     closed, unclosed = rows.filter(~open_end), rows.filter(open_end).select(*found)
     alone = ~F.col("_inside") & ~F.col("_ends_inside")
-    parts = closed.filter(~alone).groupBy("file", "file_no", "_begin")
-    parts = parts.agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
+    several = closed.filter(~alone).groupBy("file", "file_no", "_begin")
+    several = several.agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda part: part["line"]), "\n")
-    several = parts.select("file", "file_no", F.col("_begin").alias("line_no"), joined.alias("line"))
+    several = several.select("file", "file_no", F.col("_begin").alias("line_no"), joined.alias("line"))
     return closed.filter(alone).select(*found).unionByName(several), unclosed
 
 
