@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blank_to_null
+from ..functions.text import is_blank
 from ..operators.lookup import fits_broadcast
 from ..storage import materialise
 from . import headers
@@ -160,7 +160,7 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
     """NULL in place of text without content, at ingest."""
     return df.select(
         *[
-            F.when(blank_to_null(headers.quoted(f.name)).isNotNull(), headers.quoted(f.name)).alias(f.name)
+            F.when(~is_blank(headers.quoted(f.name)), headers.quoted(f.name)).alias(f.name)
             if isinstance(f.dataType, T.StringType)
             else headers.quoted(f.name)
             for f in df.schema.fields
@@ -176,11 +176,12 @@ def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     differently. The splits, not the rows, are then put in order; there is one line per split.
     """
     if key is not None:
-        keyed = df.withColumn("row_id", headers.quoted(key).try_cast("bigint"))
+        # written, so that the steps behind, which read the rows several times, do not parse them again
+        keyed = materialise(df.withColumn("row_id", headers.quoted(key).try_cast("bigint")).drop(PLACE), "keyed-input")
         total, full, distinct = keyed.agg(F.count("*"), F.count("row_id"), F.count_distinct("row_id")).first()
         if not total == full == distinct:
             raise ValueError(f"{key} is no key: {total - full} of {total} rows lack a number, {full - distinct} repeat one")
-        return keyed.drop(PLACE)
+        return keyed
     if PLACE in df.columns:
         return df.withColumn("row_id", F.col(PLACE)).drop(PLACE)
     split = {"_file": F.input_file_name(), "_start": F.expr("input_file_block_start()"), "_part": F.spark_partition_id()}

@@ -61,8 +61,8 @@ def scan_records(
     the numbers of their lines go on through them, in the order of their names."""
     sep = sep or detect_delimiter(header_line(spark, path))
     lines = placed_lines(spark, path, sep, quoted_breaks)
-    joined, unclosed = _records(lines, quoted_breaks)
-    text = F.regexp_replace(decoded(F.col("line"), fallback), "^﻿|\r\\z", "")
+    joined, unclosed = _records(lines, quoted_breaks, parts)
+    text = _bare(decoded(F.col("line"), fallback))
     rows = joined.select("file", "file_no", "line_no", text.alias("line")).filter("line != ''")
     unclosed = unclosed.select("file", "line_no", F.lit(NOT_CLOSED).alias("reason"), text.alias("line"))
     if positions is None:
@@ -71,6 +71,13 @@ def scan_records(
     return Scan(_by_position(rows, sep, positions, optional), unclosed)
 
 
+def _bare(line: Column) -> Column:
+    """Without the mark that begins a file and the carriage return that ends a line; no pattern is
+    tried at every character."""
+    marked = F.when(F.startswith(line, F.lit("\ufeff")), F.substring(line, F.lit(2), F.length(line))).otherwise(line)
+    return F.when(F.endswith(marked, F.lit("\r")), F.left(marked, F.length(marked) - 1)).otherwise(marked)
+
+
 def ends_inside(line: Column, sep: str) -> tuple[Column, Column]:
     """Whether a line ends inside a quoted field, if it begins outside one and if inside one.
 
@@ -152,6 +159,7 @@ def split_table(lines: DataFrame, quoted_breaks: bool, parts: bool = False) -> D
     splits = lines.groupBy(*keys).agg(*aggregates)
     in_file = Window.partitionBy("file").orderBy("start")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1) if parts else before
     # one row per split in one task
     numbered = splits.withColumns(
         {
@@ -159,7 +167,6 @@ def split_table(lines: DataFrame, quoted_breaks: bool, parts: bool = False) -> D
             "shift": F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first") + 1,
         }
     )
-    ahead = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1) if parts else before
     if not quoted_breaks:
         return numbered.select(*keys, "file_no", "shift")
 

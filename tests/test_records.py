@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from listprep.plans import catalog
 from listprep.plans.catalog import small_splits
 from listprep.sources import records
 from listprep.sources.files import PLACE, with_row_id
@@ -142,3 +143,53 @@ def test_numbers_follow_files_and_lines(spark, tmp_path):
         numbered = with_row_id(records.scan_records(spark, path, ",").records)
         keys = [r.k for r in numbered.orderBy("row_id").collect()]
     assert numbered.columns == ["k", "row_id"] and len(keys) == 905 and keys == sorted(keys)
+
+
+@pytest.mark.parametrize("quoted_breaks", [False, True])
+def test_lines_of_a_file_in_parts_are_numbered_on(spark, tmp_path, quoted_breaks):
+    files = {f"part-{k}": "".join(f'{n},{"V" if n % 7 else chr(34)}{n}\n' for n in range(40 * k, 40 * k + 40 - k)) for k in range(3)}
+    lines = "".join(files.values()).splitlines()
+    path = written(tmp_path, {name: content.replace('"', "q" if quoted_breaks else '"') for name, content in files.items()})
+    with small_splits(spark, 90):
+        scan = records.scan_records(spark, path, ",", quoted_breaks, positions={0: "id"}, parts=True)
+    found = [(r.line_no, r.line) for r in scan.bad_lines.orderBy("line_no").collect()]
+    assert found == ([] if quoted_breaks else [(k, line) for k, line in enumerate(lines, 1) if '"' in line])
+    assert [r.id for r in scan.records.orderBy(PLACE).collect()] == [line.split(",")[0] for line in lines if quoted_breaks or '"' not in line]
+
+
+def test_marks_and_carriage_returns_are_taken_off(spark):
+    lines = ["\ufeffid\r", "a\r\r", "\ufeff\ufeffb", "c\rd", "\r", "\ufeff", "", "é\ufeff", None]
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    expected = df.select(F.regexp_replace("line", "^\ufeff|\r\\z", "")).collect()
+    assert df.select(records._bare(F.col("line"))).collect() == expected
+
+
+def test_written_files_do_not_grow_beyond_their_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_LINES", 50)
+    rows = spark.range(1000).select((1000 - F.col("id")).alias("row_id"))
+    path = catalog.written_lines(rows, F.col("row_id").cast("string"), str(tmp_path / "out"), n_files=1, header="h")
+    parts = [part.read_text().split() for part in sorted((tmp_path / "out").glob("part-*"))]
+    assert len(parts) == 20 and all(part[0] == "h" and len(part) < 200 for part in parts)
+    assert [int(n) for part in parts for n in part[1:]] == list(range(1, 1001))
+    assert path == str(tmp_path / "out")
+
+
+def test_files_of_any_size_are_cut_into_a_bounded_number_of_splits(spark, tmp_path, monkeypatch):
+    sizes = []
+
+    def noted(session, size):
+        sizes.append(size)
+        return small_splits(session, size)
+
+    monkeypatch.setattr(catalog, "small_splits", noted)
+    monkeypatch.setattr(catalog, "MANY_SPLITS", 4)
+    assert catalog.quoted_line_breaks(spark, "/root/testdata/sf0.001").count() == 1500
+    # 4,096 bytes each made the splits grow with the table
+    assert sizes[0] > 4096
+    (tmp_path / "small").write_text("x")
+    assert catalog.split_bytes(spark, str(tmp_path)) == 4096
+
+
+def test_keyed_rows_are_written_once(spark):
+    numbered = with_row_id(spark.createDataFrame([("7",), ("8",)], "k string"), "k")
+    assert numbered.inputFiles() and sorted(r.row_id for r in numbered.collect()) == [7, 8]
