@@ -2,7 +2,7 @@
 
 A file holds the frames of one range of ids, as rows of a Parquet table: ``part`` (of the
 range), ``frame`` (from 0 in it), ``n_ids`` and ``data``. A frame's bytes are, all numbers
-little-endian: the mark ``LPT1``; the number of documents (u32), their ids (i64), which of them
+little-endian: the mark ``LPT2``; the number of documents (u32), their ids (i64), which of them
 are null (u8) and their numbers of ids (i64); the number of blocks (u32) and for each its length
 in bytes (u32) and the checksum of its ids (u32, see ``codec.checksum``); then the blocks
 (``codec``), each of ``codec.BLOCK`` ids but the last. A frame ends with the document that
@@ -30,7 +30,7 @@ from . import codec, tokens, words
 from .tables import arrow_map, ship
 
 FRAME = 8_000_000
-MARK = b"LPT1"
+MARK = b"LPT2"
 WRITTEN = "part int, frame int, n_ids long, data binary"
 READ = "part int, frame int, place long, doc_id long, n_tokens long, ids_crc32 long"
 

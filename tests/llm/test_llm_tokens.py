@@ -43,6 +43,52 @@ def test_coded_blocks_give_their_ids_back(n, kind):
     assert (codec.decode_blocks(blocks, n) == ids).all()
 
 
+def test_a_place_of_all_blocks_is_one_step(monkeypatch):
+    places = []
+    predict = codec._Models.predict
+    monkeypatch.setattr(codec._Models, "predict", lambda self, n: places.append(n) or predict(self, n))
+    ids = np.random.default_rng(4).integers(0, 700, 3 * codec.BLOCK)
+    blocks = codec.encode_blocks(ids)
+    assert len(places) == codec.PLACES < codec.BLOCK and sum(places) == len(ids)
+    assert (codec.decode_blocks(blocks, len(ids)) == ids).all()
+    assert len(places) == 2 * codec.PLACES
+
+
+@pytest.mark.parametrize("group", [1, 2, 3])
+def test_blocks_are_the_same_in_groups_of_any_size(monkeypatch, group):
+    rng = np.random.default_rng(group)
+    ids = rng.zipf(1.3, 4 * codec.BLOCK + 777) % 65536
+    whole = codec.encode_blocks(ids)
+    monkeypatch.setattr(codec, "GROUP", group)
+    assert codec.encode_blocks(ids) == whole
+    assert (codec.decode_blocks(whole, len(ids)) == ids).all()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ids_of_any_likelihood_come_back(seed):
+    # long runs that are broken by ids never seen: the widest and the narrowest parts of a span
+    rng = np.random.default_rng(seed)
+    ids = np.where(rng.random(2 * codec.BLOCK + 300) < 0.1**seed, rng.integers(0, 65536, 2 * codec.BLOCK + 300), 65535)
+    assert (codec.decode_blocks(codec.encode_blocks(ids), len(ids)) == ids).all()
+
+
+def test_ids_take_less_space_than_by_zlib():
+    rng = np.random.default_rng(9)
+    follows = rng.zipf(1.2, (500, 4)) % 40000
+    ids = np.where(rng.random((3000, 4)) < 0.8, follows[rng.integers(0, 500, 3000)], rng.zipf(1.2, (3000, 4)) % 40000).ravel()
+    raw = codec.checked(ids)
+    plain = sum(len(zlib.compress(raw[k : k + codec.BLOCK].tobytes(), 9)) for k in range(0, len(raw), codec.BLOCK))
+    ours = sum(map(len, codec.encode_blocks(ids)))
+    assert ours < plain
+
+
+def test_lanes_that_do_not_have_a_blocks_length_are_an_error():
+    blocks = codec.encode_blocks(np.arange(2 * codec.BLOCK) % 977)
+    for bad in (blocks[1][:-1], blocks[1] + b"x", b"", blocks[1][:5]):
+        with pytest.raises(ValueError, match="broken"):
+            codec.decode_blocks([blocks[0], bad], 2 * codec.BLOCK)
+
+
 def test_ids_that_do_not_fit_are_an_error():
     for ids in ([65536], [3, -1]):
         with pytest.raises(ValueError, match="65536"):
