@@ -33,7 +33,7 @@ PLACES = BLOCK // LANES
 #: Blocks coded in step; more of them do not fit the caches.
 GROUP = 256
 #: Places of the lanes where what was counted so far comes into force, up to the block's end.
-RENEWALS = frozenset((4, 8, 12, 20, 28, 44, 60, 92, 124, 156, 188, 220))
+RENEWALS = frozenset((4, 8, 16, 32, 64, 96, 128, 160, 192, 224))
 SLOTS = (2048, 4096)
 BITS = 12
 TOTAL = 1 << BITS
@@ -42,25 +42,31 @@ TRUSTS = 16
 _SMALL, _BITS, _HALF = np.uint64(1 << 32), np.uint64(BITS), np.uint64(32)
 _FULL = np.uint64((1 << 64) - 1)
 #: The table of the low byte by the high byte's bit length; table 0 is the high byte's own.
-_CLASS = np.array([1 + int(h).bit_length() for h in range(256)], dtype=np.int64)
+_CLASS = np.array([1 + int(h).bit_length() for h in range(256)], dtype=np.int32)
 TABLES = 10
 #: How a confidence moves: halved by another id than the remembered one, one up by the same.
-_MOVES = np.array([(s >> 1) - s for s in range(TRUSTS)] + [1] * (TRUSTS - 1) + [0], dtype=np.int64)
+_MOVES = np.array([(s >> 1) - s for s in range(TRUSTS)] + [1] * (TRUSTS - 1) + [0], dtype=np.int32)
+_KEYS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _BYTES = np.tile(np.arange(256, dtype=np.uint8), GROUP * TABLES)
 
 
+def _at(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``table[places]`` of places that are inside; faster, as they are not looked at first."""
+    return table.take(places, mode="clip")
+
+
 class _Models:
     """Models of the blocks of ``lanes`` lanes."""
 
     def __init__(self, lanes: int, decoding: bool):
         self.blocks = n = -(-lanes // LANES)
-        self.lane = np.arange(lanes, dtype=np.int64) // LANES
+        self.lane = np.arange(lanes, dtype=np.int32) // LANES
         self.row = self.lane * TABLES
         # of each slot its id and, in the last four bits, the confidence
-        self.slots = [np.zeros(n * size, dtype=np.int64) for size in SLOTS]
+        self.slots = [np.zeros(n * size, dtype=np.int32) for size in SLOTS]
         self.base = [self.lane * size for size in SLOTS]
         self.at = list(self.base)
-        self.before = np.zeros(lanes, dtype=np.int64)
+        self.before = np.zeros(lanes, dtype=np.uint32)
         # misses and hits by the confidences of order 1 and 2, and those since the last renewal
         self.seen = np.zeros((2, TRUSTS, TRUSTS, n), dtype=np.int64)
         self.outcomes: list[np.ndarray] = []
@@ -113,27 +119,28 @@ class _Models:
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id and the probability of a hit, from 1 to ``TOTAL - 1``."""
-        self.held = [slots.take(at[:n]) for slots, at in zip(self.slots, self.at)]
+        self.held = [_at(slots, at[:n]) for slots, at in zip(self.slots, self.at)]
         self.sure = [held & TRUSTS - 1 for held in self.held]
         first, second = self.sure
         self.cell = (first * TRUSTS + second) * self.blocks + self.lane[:n]
-        return np.where(second > 0, self.held[1], self.held[0]) >> 4, self.p.take(self.cell)
+        return np.where(second > 0, self.held[1], self.held[0]) >> 4, _at(self.p, self.cell)
 
     def learn(self, n: int, hit: np.ndarray, missed: np.ndarray, ids: np.ndarray) -> None:
         """Takes in the ids of a place; ``missed`` are the lanes without a hit."""
-        self.outcomes.append(self.cell + hit * (self.seen.size // 2))
-        self.missed.append(self.row.take(missed) << 16 | ids.take(missed))
+        self.outcomes.append(self.cell + hit * np.int32(self.seen.size // 2))
+        self.missed.append(_at(self.row, missed) << 16 | _at(ids, missed))
         own = ids << 4
         for slots, at, held, sure in zip(self.slots, self.at, self.held, self.sure):
             same = (held ^ own) < TRUSTS
-            slots[at[:n]] = np.where(sure == 0, own, held) + _MOVES.take(same * TRUSTS + sure)
-        keys = (ids * 0x9E3779B1 >> 15, ids * 0x85EBCA6B + self.before[:n] >> 13)
-        self.at = [base[:n] + (key & size - 1) for base, key, size in zip(self.base, keys, SLOTS)]
-        self.before = ids * 0xC2B2AE35
+            slots[at[:n]] = np.where(sure == 0, own, held) + _at(_MOVES, same * np.int32(TRUSTS) + sure)
+        one = ids.view(np.uint32)
+        keys = (one * _KEYS[0], one * _KEYS[1] + self.before[:n])
+        self.at = [base[:n] + (key >> 32 - size.bit_length() + 1).view(np.int32) for base, key, size in zip(self.base, keys, SLOTS)]
+        self.before = one * _KEYS[2]
 
     def spans_of(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the bytes of these cells begin and how wide they are."""
-        span = self.spans.take(cell)
+        span = _at(self.spans, cell)
         return (span >> 16).astype(np.uint64), (span & 0xFFFF).astype(np.uint64)
 
 
@@ -169,15 +176,15 @@ class _Writer:
         """Codes an id of each of the first lanes; ``ids`` are those of the lanes ``missed``."""
         spans = self.span[: len(p)]
         bound = (spans >> _BITS) * p
-        low, skipped = self.low[missed], bound[missed]
-        span = spans[missed] - skipped
-        high, row = ids >> 8, models.row[missed]
+        low, skipped = _at(self.low, missed), _at(bound, missed)
+        span = _at(spans, missed) - skipped
+        high, row = ids >> 8, _at(models.row, missed)
         begin, width = models.spans_of(row * 256 + high)
         span >>= _BITS
         low = self._raise(missed, low, skipped + span * begin)
         span *= width
         self._shift(missed, low, span)
-        begin, width = models.spans_of((row + _CLASS.take(high)) * 256 + (ids & 255))
+        begin, width = models.spans_of((row + _at(_CLASS, high)) * 256 + (ids & 255))
         span >>= _BITS
         low = self._raise(missed, low, span * begin)
         span *= width
@@ -244,8 +251,8 @@ class _Reader:
     def _byte(code: np.ndarray, span: np.ndarray, row: np.ndarray, models: _Models) -> np.ndarray:
         """The byte by the frequencies of ``row``, to whose part ``code`` and ``span`` are narrowed."""
         span >>= _BITS
-        value = np.minimum(code // span, np.uint64(TOTAL - 1)).astype(np.int64)
-        byte = models.symbols.take(row * TOTAL + value).astype(np.int64)
+        value = np.minimum(code // span, np.uint64(TOTAL - 1)).astype(np.int32)
+        byte = _at(models.symbols, row * TOTAL + value).astype(np.int32)
         begin, width = models.spans_of(row * 256 + byte)
         code -= span * begin
         span *= width
@@ -257,11 +264,11 @@ class _Reader:
         bound = (spans >> _BITS) * p
         hit = codes < bound
         missed = np.flatnonzero(~hit)
-        skipped, row = bound[missed], models.row[missed]
-        code, span = codes[missed] - skipped, spans[missed] - skipped
+        skipped, row = _at(bound, missed), _at(models.row, missed)
+        code, span = _at(codes, missed) - skipped, _at(spans, missed) - skipped
         high = self._byte(code, span, row, models)
         self._shift(missed, code, span)
-        low = self._byte(code, span, row + _CLASS.take(high), models)
+        low = self._byte(code, span, row + _at(_CLASS, high), models)
         spans[:] = bound
         codes[missed], spans[missed] = code, span
         self._shift(None, codes, spans)
@@ -301,11 +308,11 @@ def _encode(ids: np.ndarray) -> list[bytes]:
             break
         if t in RENEWALS:
             models.renew()
-        own = steps[t, :n].astype(np.int64)
+        own = steps[t, :n].astype(np.int32)
         guess, p = models.predict(n)
         hit = guess == own
         missed = np.flatnonzero(~hit)
-        coder.write(p, missed, own[missed], models)
+        coder.write(p, missed, _at(own, missed), models)
         models.learn(n, hit, missed, own)
     return coder.parts()
 

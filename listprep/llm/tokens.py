@@ -22,6 +22,8 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 REMEMBERED = 1_500_000
 _SLOT_BITS = 22
 _BATCH = 4096
+#: Spans without white space of their own are encoded so many at a time, as one text with this word between them.
+_JOINED, _BETWEEN = 512, "~"
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -41,12 +43,18 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """Ids of texts by one vocabulary file; keep one for all batches of a worker."""
 
+    #: The id of the word between spans that are encoded as one text; none, if they are encoded apart.
+    between: int | None = None
+
     def __init__(self, path: str, drops_white_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_white_space = drops_white_space
+        between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        if drops_white_space and len(between) == 1:
+            self.between = between[0]
         self._forget()
 
     def _forget(self) -> None:
@@ -63,11 +71,35 @@ class Encoder:
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + _BATCH], add_special_tokens=False)]
         return out
 
+    def _encode_apart(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = self._encode(spans)
+        lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        return np.fromiter((x for e in encoded for x in e), dtype=np.int32, count=int(lengths.sum())), lengths
+
+    def _encode_joined(self, spans: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and lengths of the spans, from one text or, if they cannot be told apart in it, from its halves."""
+        text = f" {_BETWEEN} ".join(spans)
+        if text.count(_BETWEEN) == len(spans) - 1:
+            ids = np.array(self._encode([text])[0], dtype=np.int32)
+            at = np.flatnonzero(ids == self.between)
+            if len(at) == len(spans) - 1:
+                return [(np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)]
+        half = len(spans) // 2
+        return self._encode_joined(spans[:half]) + self._encode_joined(spans[half:]) if half else [self._encode_apart(spans)]
+
+    def _encode_spans(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all spans in a row and how many each has."""
+        if self.between is None:
+            return self._encode_apart(spans)
+        parts = [part for k in range(0, len(spans), _JOINED) for part in self._encode_joined(spans[k : k + _JOINED])]
+        ids, lengths = zip(*parts)
+        return np.concatenate(ids), np.concatenate(lengths)
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if self.count + len(keys) > REMEMBERED and self.count:
             self._forget()
-        encoded = self._encode(texts)
-        n, lengths = self.count + len(keys), np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        ids, lengths = self._encode_spans(texts)
+        n = self.count + len(keys)
         if n > len(self.keys):
             size = max(n, 2 * len(self.keys))
             self.keys = np.concatenate([self.keys, np.zeros(size - len(self.keys), dtype=np.uint64)])
@@ -78,7 +110,7 @@ class Encoder:
         end = int(self.first[n])
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(end, 2 * len(self.ids)) - len(self.ids), dtype=np.int32)])
-        self.ids[begin:end] = np.fromiter((x for e in encoded for x in e), dtype=np.int32, count=end - begin)
+        self.ids[begin:end] = ids
         entries = np.arange(self.count, n, dtype=np.int32)
         slots = (keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         free = self.slots[slots] < 0

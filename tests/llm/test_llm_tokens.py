@@ -33,6 +33,17 @@ def test_ids_stay_right_when_the_memory_starts_anew(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [encoder.tokenizer.encode(t).ids for t in part]
 
 
+def test_new_spans_are_encoded_many_at_a_time(monkeypatch):
+    spans = [f"wörd{k}x" for k in range(3000)] + ["~", "a~b", "~~", "x" * 3000, "é", "ﬁ", "\u0301a", "İς", "!!"]
+    encoder = tokens.Encoder(tokens.vocabulary_path(tokens.WORD_BPE), True)
+    texts = []
+    encode = tokens.Encoder._encode
+    monkeypatch.setattr(tokens.Encoder, "_encode", lambda self, part: texts.extend(part) or encode(self, part))
+    ids, first = encoder.encode(pa.array([" ".join(spans[k::7]) for k in range(7)]))
+    assert len(texts) < 100
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [encoder.tokenizer.encode(" ".join(spans[k::7])).ids for k in range(7)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 100, codec.BLOCK, codec.BLOCK + 1, 3 * codec.BLOCK - 7])
 @pytest.mark.parametrize("kind", ["same", "any", "few"])
 def test_coded_blocks_give_their_ids_back(n, kind):
